@@ -7,16 +7,43 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import pick, read
+from .op4_warc import warc_round_trip
 from .op5_tokens import token_counts
+from .op7_secrets import secret_spans
+from .op8_packing import packed
+from .op10_chat import formatted_chats
+
+
+def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(read(spark, sf_dir, "pages"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(read(spark, sf_dir, "documents"))
+
+
+def op8_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = pick(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").unionByName(more)
+    return formatted_chats(turns, public_tokenizers.path("byte_bpe_50k.json")).drop("formatted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_warc_bundles": op4_warc_bundles,
     "op5_token_counts": op5_token_counts,
+    "op7_secret_spans": op7_secret_spans,
+    "op8_packed_sequences": op8_packed_sequences,
+    "op10_chat_masks": op10_chat_masks,
 }
 
 #: DuckDB SQL for those that SQL can express.
