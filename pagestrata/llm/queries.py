@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import pick, read
+from .op1_lines import without_boilerplate
 from .op4_warc import warc_round_trip
 from .op5_tokens import token_counts
+from .op6_language import languages
 from .op7_secrets import secret_spans
 from .op8_packing import packed
 from .op10_chat import formatted_chats
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_boilerplate(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_recurring", "n_dropped", "dropped", F.char_length("text").alias("kept_chars"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(read(spark, sf_dir, "pages"))
 
@@ -23,6 +31,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(read(spark, sf_dir, "documents"))
+
+
 def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(read(spark, sf_dir, "documents"))
 
@@ -39,8 +51,10 @@ def op10_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_templates": op1_line_templates,
     "op4_warc_bundles": op4_warc_bundles,
     "op5_token_counts": op5_token_counts,
+    "op6_languages": op6_languages,
     "op7_secret_spans": op7_secret_spans,
     "op8_packed_sequences": op8_packed_sequences,
     "op10_chat_masks": op10_chat_masks,
