@@ -15,6 +15,7 @@ from .op5_tokens import token_counts
 from .op6_language import languages
 from .op7_secrets import secret_spans
 from .op8_packing import packed
+from .op9_jaccard import jaccard_components
 from .op10_chat import formatted_chats
 
 
@@ -43,6 +44,10 @@ def op8_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op10_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_languages": op6_languages,
     "op7_secret_spans": op7_secret_spans,
     "op8_packed_sequences": op8_packed_sequences,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_masks": op10_chat_masks,
 }
 
