@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import pick, read
 from .op1_lines import without_boilerplate
+from .op2_vectors import near_vectors
+from .op3_leaks import leaks
 from .op4_warc import warc_round_trip
 from .op5_tokens import token_counts
 from .op6_language import languages
@@ -24,6 +26,14 @@ def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_recurring", "n_dropped", "dropped", F.char_length("text").alias("kept_chars"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(read(spark, sf_dir, "pages"))
 
@@ -57,6 +67,8 @@ def op10_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_templates": op1_line_templates,
+    "op2_near_vectors": op2_near_vectors,
+    "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_warc_bundles": op4_warc_bundles,
     "op5_token_counts": op5_token_counts,
     "op6_languages": op6_languages,
