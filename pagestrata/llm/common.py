@@ -57,3 +57,10 @@ def texts_of(column: pa.Array) -> Iterator[str]:
     """The texts of an Arrow column one by one, null as empty."""
     for x in column:
         yield x.as_py() or ""
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, for what is much larger after it than before."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

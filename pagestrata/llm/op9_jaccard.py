@@ -35,22 +35,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, saved
+from .common import pick, saved, slices
 from .graph import components
 
 WORDS, PERCENT = 5, 80
 #: A shingle that so many documents have comes late in the order of keys; of such at most so many are told apart.
-FREQUENT, MOST_FREQUENT = 48, 100_000
-#: Documents of a block in which a shingle must recur to be counted, and their characters.
-RECURS, BLOCK_CHARS = 3, 8_000_000
+FREQUENT, MOST_FREQUENT = 24, 500_000
+#: Shingles are counted in blocks of so many; those that don't recur in a block are left out of the count.
+BLOCK_HASHES = 2_000_000
 #: Weight of a block of a tile (a set weighs its size, or LEAST_WEIGHT if that is more), and the widest bitmap.
 BLOCK_WEIGHT, LEAST_WEIGHT, MOST_BITS = 1_000_000, 128, 1 << 14
 #: Words of which a worker remembers the hashes.
-REMEMBERED = 1_000_000
+REMEMBERED = 150_000
 #: Sizes of a band differ by less than this factor; it exceeds 100 / PERCENT, so only adjacent bands can link.
 BAND = 1.26
 #: Nodes of a key up to which all its pairs are candidates; beyond, its nodes are chained.
-ALL_PAIRS = 64
+ALL_PAIRS = 96
 #: Nodes up to which a list of them is broadcast.
 BROADCAST_ROWS = 1_000_000
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -102,33 +102,35 @@ def signed(hashes: np.ndarray) -> pa.Array:
 def members(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_shingles, node, frequent): node is null for an empty set.
 
-    frequent: on some rows, hashes of shingles that recur among neighbours, with their counts there.
+    Besides a row for each document there are rows without size: their ``frequent`` holds hashes of
+    shingles that recur among neighbouring documents, with their counts there.
     """
+    kind = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())]))
+    names = ["doc_id", "text_key", "n_shingles", "node", "frequent"]
+
+    def recurring(sets: list[np.ndarray]) -> pa.RecordBatch:
+        hashes, counts = np.unique(np.concatenate(sets), return_counts=True)
+        many = counts > 1
+        told = pa.StructArray.from_arrays([signed(hashes[many]), pa.array(counts[many].astype(np.int64))], ["hash", "n"])
+        none = pa.array([None], pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.ListArray.from_arrays(pa.array([0, len(told)], pa.int32()), told)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, sets, held = Shingler(), [], 0
         for batch in batches:
-            sizes, nodes, often, sets, held = [], [], [], [], 0
+            sizes, nodes = [], []
             for text in batch.column(2):
-                text = text.as_py() or ""
-                s = shingler.hashes(text)
+                s = shingler.hashes(text.as_py() or "")
                 sizes.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
-                often.append(None)
                 sets.append(s)
-                held += len(text)
-                if held >= BLOCK_CHARS:
-                    often[-1] = recurring(sets)
+                held += len(s)
+                if held >= BLOCK_HASHES:
+                    yield recurring(sets)
                     sets, held = [], 0
-            if sets:
-                often[-1] = recurring(sets)
-            kind = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(often, kind)], ["doc_id", "text_key", "n_shingles", "node", "frequent"])
-
-    def recurring(sets: list[np.ndarray]) -> list[dict]:
-        hashes, counts = np.unique(np.concatenate(sets), return_counts=True)
-        many = counts >= RECURS
-        return [{"hash": h, "n": n} for h, n in zip(hashes[many].view(np.int64).tolist(), counts[many].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(sizes), kind)], names)
+        if held:
+            yield recurring(sets)
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, frequent array<struct<hash: bigint, n: bigint>>")
 
@@ -190,7 +192,7 @@ def candidate_pairs(docs: DataFrame, late: np.ndarray, percent: int) -> DataFram
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in batches:
+        for batch in slices(batches, 1000):
             made, nodes, sizes = [np.empty(0, np.uint64)], [], []
             for text in batch.column(0):
                 s = shingler.hashes(text.as_py() or "")
@@ -334,34 +336,32 @@ def tiles_of(active: DataFrame) -> DataFrame:
     return dealt.select("node", "n", F.explode(made).alias("x")).select("node", "n", "x.tile", "x.side")
 
 
-def sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n, bitmap, members) of the listed nodes, each from one row of docs."""
+def sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
+    """(node, n, bitmap or members) of the listed nodes, each from one row of docs."""
     best = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("of"))
     chosen = saved(best.select("node", F.col("of.text_key").alias("of_key"), F.col("of.doc_id").alias("of_id")), "chosen")
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     texts = docs.join(chosen, (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("node", "text")
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in batches:
+        for batch in slices(batches, 200):
             sets = [shingler.hashes(text.as_py() or "") for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["node", "n", "bitmap", "members"],
-            )
+            told = [bitmap_of(s) if what == "bitmap" else s.tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(told, pa.binary())], ["node", "n", what])
 
-    return saved(texts.mapInArrow(to_sets, "node bigint, n bigint, bitmap binary, members binary"), "sets")
+    return saved(texts.mapInArrow(run, f"node bigint, n bigint, {what} binary"), what)
 
 
-def bounded_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def bounded_pairs(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs that the bit counts leave, and the chained ones."""
-    signs = sets.select("node", "n", "bitmap").dropDuplicates(["node"])
+    signs = bitmaps.dropDuplicates(["node"])
     sides = [signs.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bits_{x}")) for x in "ab"]
     met = pairs.where("NOT chained").join(sides[0], "a").join(sides[1], "b").select("a", "b", "bits_a", "n_a", "bits_b", "n_b")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2000):
             left = pa.array([may_link(*x, percent) for x in zip(*(c.to_pylist() for c in batch.columns[2:]))], pa.bool_())
             yield batch.select(["a", "b"]).filter(left)
 
@@ -382,7 +382,7 @@ def exact_links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame
             a, b = tile_links(np.array(nodes, np.int64), sets, side if crossing else np.zeros(len(side), np.int64), percent)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches, 500):
             for tile, side, node, own in zip(*(c.to_pylist() for c in batch.columns)):
                 if tile != held and len(nodes) > 1:
                     yield told()
@@ -398,14 +398,15 @@ def exact_links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, text_key, n_shingles and component_id."""
+    """Per row: doc_id, text_key, n_shingles, component_id and group (the component's smallest node; null for an empty set)."""
     keyed = pick(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
-    found = saved(members(keyed), "members")
-    pairs = saved(candidate_pairs(keyed, frequent_hashes(found), percent), "pairs")
-    sets = sets_of(keyed, found, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-    families = components(bounded_pairs(pairs, sets, percent))
-    joined = components(exact_links(sets, families, percent))
+    told = saved(members(keyed), "members")
+    found = told.where("n_shingles IS NOT NULL").drop("frequent")
+    pairs = saved(candidate_pairs(keyed, frequent_hashes(told), percent), "pairs")
+    bitmaps = sets_of(keyed, found, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "bitmap")
+    families = components(bounded_pairs(pairs, bitmaps, percent))
+    joined = components(exact_links(sets_of(keyed, found, families, "members"), families, percent))
     rows = found.select("doc_id", "text_key", "n_shingles", "node")
     named = rows.join(joined, "node", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "node").alias("group"))
     least = named.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "group", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return named.join(least, "group", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "group")
