@@ -55,7 +55,7 @@ def op8_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read(spark, sf_dir, "documents")).drop("text_key")
+    return jaccard_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
