@@ -18,12 +18,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows of an Arrow batch that goes to Python. Spark's 10,000 are too many where a row is a whole document.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows a batch, so that Python workers hold a few megabytes of text at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def pick(df: DataFrame, *names: str, **fresh: str) -> DataFrame:
     """The named columns only, by exact spelling, whatever other columns there are.
 
     Columns that differ from a wanted one only in case, or that carry the same name twice, don't
-    make the reference ambiguous: the first exact match counts. ``fresh`` renames (new=old).
+    make the reference ambiguous: the first exact match counts. ``fresh`` renames (new=old). Every
+    operator starts here, so batches for Python are made small here too.
     """
+    small_batches(df.sparkSession)
     have = df.columns
     plain = df.toDF(*(f"c{i}_" for i in range(len(have))))
     wanted = [(n, n) for n in names] + list(fresh.items())

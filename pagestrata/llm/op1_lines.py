@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, slices
 
 DIGIT = regex.compile(r"\p{N}").search
 FIELD = "<*>"
@@ -87,7 +87,7 @@ def without_boilerplate(docs: DataFrame, min_docs: int = 3, min_tokens: int = 5,
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema if f.name != "recurring")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 500):
             rows = []
             for text, known in zip(batch.column(len(kept)), batch.column(len(kept) + 1)):
                 text, known = text.as_py(), set(known.as_py() or ())

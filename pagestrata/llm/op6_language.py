@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, slices
 
 #: Languages by family; one that isn't listed is a family of its own.
 FAMILIES = {
@@ -161,7 +161,7 @@ def languages(docs: DataFrame, per_language: int = 300, keep: tuple[str, ...] =
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in ("doc_id", *keep) or f.name == "held_out")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 500):
             told = [model.predict(text.as_py()) for text in batch.column(1)]
             columns = {n: batch.column(i) for i, n in enumerate([*names, "held_out"]) if n != "text" or n in keep}
             columns |= {"lang_pred": pa.array([x for x, _ in told], pa.string()), "score": pa.array([x for _, x in told], pa.float64())}
