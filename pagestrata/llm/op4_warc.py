@@ -34,6 +34,8 @@ from .common import fresh_dir, pick, saved
 SKIP_INDEX, SKIP_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Uncompressed bytes after which a frame ends, and compressed bytes after which a bundle does.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 256 << 20
+#: Tasks that read bundles, at most.
+MOST_TASKS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 #: The record that stands for a missing page id.
 NO_ID = "null"
@@ -194,13 +196,15 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 100, level: int =
     return with_references(pages, least).mapInArrow(run, "path string, n_records bigint, n_frames bigint")
 
 
-def read_bundles(bundles: DataFrame, folder: str, frames_a_task: int = 64) -> DataFrame:
+def read_bundles(bundles: DataFrame, folder: str, frames_a_task: int = 16) -> DataFrame:
     """All records of the listed bundles: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
 
     Work is dealt out by ranges of frames, which the seek tables make independent. A response's digest
     and length are those of the payload that is read; a revisit has the ones that its header states.
     """
     ranges = bundles.select("path", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_frames") - 1, F.lit(0)), F.lit(frames_a_task))).alias("first"))
+    # the list is tiny however much it stands for: its rows are dealt out by number, not by size
+    tasks = max(1, min(MOST_TASKS, int(bundles.agg(F.sum(F.ceil(F.greatest(F.col("n_frames"), F.lit(1)) / frames_a_task))).head()[0] or 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -220,7 +224,7 @@ def read_bundles(bundles: DataFrame, folder: str, frames_a_task: int = 64) -> Da
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
-    return ranges.repartition(F.col("path"), F.col("first")).mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string")
+    return ranges.repartition(tasks, F.col("path"), F.col("first")).mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string")
 
 
 def warc_round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
