@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick, read
+from .oracles import ORACLE_SQL  # noqa: F401
 from .op1_lines import without_boilerplate
 from .op2_vectors import near_vectors
 from .op3_leaks import leaks
@@ -62,7 +63,7 @@ def op10_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     turns = pick(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").unionByName(more)
-    return formatted_chats(turns, public_tokenizers.path("byte_bpe_50k.json")).drop("formatted")
+    return formatted_chats(turns, public_tokenizers.path("byte_bpe_50k.json")).drop("formatted", "n_tokens", "loss_tokens")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -77,6 +78,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_masks": op10_chat_masks,
 }
-
-#: DuckDB SQL for those that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
