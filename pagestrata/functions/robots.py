@@ -27,7 +27,7 @@ def lines(body: Column) -> Column:
 
 def content_signals(value: Column) -> Column:
     """name=yes or name=no, comma-separated; a later one replaces an earlier."""
-    parts = F.filter(F.transform(F.split(F.lower(value), ","), F.trim), lambda p: p.rlike(r"^[a-z-]+\s*=\s*(yes|no)$"))
+    parts = F.filter(F.transform(F.split(F.lower(value), ","), lambda p: F.trim(p)), lambda p: p.rlike(r"^[a-z-]+\s*=\s*(yes|no)$"))
     pairs = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^([a-z-]+)", 1), F.regexp_extract(p, "(yes|no)$", 1)))
     return F.aggregate(pairs, F.create_map().cast(NO_SIGNALS), lambda m, p: merged(m, F.map_from_entries(F.array(p))))
 
@@ -131,7 +131,7 @@ def header_directives(header: Column) -> Column:
     directive holds for those after it."""
     valued = ["unavailable_after", "max-snippet", "max-image-preview", "max-video-preview"]
     agents = ["googlebot", "bingbot", *(b.lower() for b, _ in config.BOTS)]
-    parts = F.filter(F.transform(F.split(F.lower(header), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.lower(header), ","), lambda p: F.trim(p)), lambda p: p != "")
     start = F.struct(F.lit(None).cast("string").alias("agent"), F.array().cast("array<string>").alias("found")).cast("struct<agent: string, found: array<string>>")
 
     def step(s: Column, p: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Scheme, host with port, path, query with its mark, fragment.
-SHAPE = r"^(?i:(https?)://(?:[^/?#@]*@)?([^/?#\s]+))([^?#]*)(\?[^#]*)?(#.*)?$"
+SHAPE = r"^(?i:(https?)://(?:[^/?#@]*@)?([^/?#\s]+))((?:/[^?#]*)?)(\?[^#]*)?(#.*)?$"
 
 
 def _group(url: Column, k: int) -> Column:

@@ -186,7 +186,7 @@ def findings_json(pages: DataFrame) -> DataFrame:
 
 def snapshot_json(header: DataFrame, pages: DataFrame) -> DataFrame:
     """One JSON document a run: header, pages in the order of their paths, summary. A run's pages come together here."""
-    entries = pages.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("path", "url", "status", "error", "http_status", "total_score", "page_type", "categories", "checks", "findings"))).alias("pages"))
+    entries = pages.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("path", "url", "status", "error", "http_status", "total_score", "page_type", "categories", "checks", "findings")), lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0)).alias("pages"))
     return header.join(entries, "run_id").join(run_totals(pages, "run_id").withColumnRenamed("pages", "n_pages"), "run_id").select(F.to_json(F.struct("format", F.struct(F.col("tool_version").alias("version")).alias("tool"), "created_at", "label", "lang", "origin", "source", "pages", F.struct(F.col("n_pages").alias("pages"), "analyzed", "average_score").alias("summary"))).alias("value"))
 
 

@@ -52,5 +52,6 @@ def history_stream(entries: DataFrame) -> DataFrame:
 
 
 def daily_stream(reports: DataFrame, late: str = "1 day") -> DataFrame:
-    """One report a page and day; the state of a day goes when the watermark has passed it."""
-    return reports.withWatermark("ts", late).withColumn("day", F.window("ts", "1 day")).dropDuplicates(["url_norm", "day"])
+    """The first report of a page and day, when the watermark has passed the day; its state goes then."""
+    days = reports.withWatermark("ts", late).groupBy("url_norm", F.window("ts", "1 day"))
+    return days.agg(F.min_by(F.struct(*reports.columns), "ts").alias("first")).select("first.*")
