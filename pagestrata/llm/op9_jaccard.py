@@ -338,7 +338,8 @@ def tiles_of(active: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
     """(node, n, bitmap or members) of the listed nodes, each from one row of docs."""
-    best = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("of"))
+    # copies of a text are one row before they are dealt out by node
+    best = found.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("of")).join(nodes, "node", "left_semi")
     chosen = saved(best.select("node", F.col("of.text_key").alias("of_key"), F.col("of.doc_id").alias("of_id")), "chosen")
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
