@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from .numbers import clamp, size
+from .steps import once
 from .text import squeezed
 
 VOWELS = "[aeiouyäöüáéíóúàèìòùâêîôûãõ]"
@@ -81,9 +82,9 @@ def with_readability(df: DataFrame, blocks: Column, lang: Column, name: str = "r
     step = [f"_{name}_{k}" for k in ("blocks", "lang", "words", "sentences", "raw")]
     kept, own, words, sentences, raw = map(F.col, step)
     df = df.withColumns({step[0]: F.filter(F.transform(blocks, squeezed), lambda b: b != ""), step[1]: lang})
-    df = df.withColumns({step[2]: text_words(kept), step[3]: sentence_count(kept)})
+    df = once(df, {step[2]: text_words(kept), step[3]: sentence_count(kept)})
     english = F.coalesce(own == "en", F.lit(False))
-    df = df.withColumn(step[4], F.when(english, flesch(words, sentences)).otherwise(lix(words, sentences)))
+    df = once(df, {step[4]: F.when(english, flesch(words, sentences)).otherwise(lix(words, sentences))})
     score = clamp(F.when(english, (raw - 30) / F.lit(60.0)).otherwise((F.lit(65.0) - raw) / F.lit(25.0)))
     made = F.struct(score.alias("score"), raw.alias("raw"), F.when(english, F.lit("flesch")).otherwise(F.lit("lix")).alias("formula"))
     return df.withColumn(name, F.when((F.char_length(F.array_join(kept, " ")) >= 50) & raw.isNotNull(), made)).drop(*step)

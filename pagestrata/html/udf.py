@@ -18,8 +18,12 @@ BATCH = 64
 def page_data(pages: DataFrame) -> DataFrame:
     """All columns of pages but html, and the record's columns. pages: url, html and whatever else.
 
-    Null html is an empty page. Each page is parsed once, whatever is asked of it afterwards.
+    Null html is an empty page. Each page is parsed once, whatever is asked of it afterwards. Parsing is
+    the costly part, so an input with fewer partitions than cores (small files) is dealt out evenly first.
     """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if pages.rdd.getNumPartitions() < cores:
+        pages = pages.repartition(cores)
     kept = [f for f in pages.schema if f.name != "html"]
     record = T._parse_datatype_string(schema.PAGE_RECORD)
     out = T.StructType([*kept, *record])

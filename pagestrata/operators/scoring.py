@@ -10,6 +10,7 @@ from .. import config, schema
 from ..functions import readability as R
 from ..functions import text as X
 from ..functions.numbers import clamp, round1
+from ..functions.steps import once
 from . import criteria as C
 
 
@@ -68,9 +69,9 @@ def analyze(records: DataFrame, as_of: Column | None = None) -> DataFrame:
     parts = [build(let) for build, let in zip(builders, steps)]
     for depth in range(max(len(s.layers) for s in steps)):
         pages = pages.withColumns({n: c for s in steps if depth < len(s.layers) for n, c in s.layers[depth].items()})
-    pages = pages.withColumns({f"_{name}": F.filter(F.array(*rows), lambda r: r.isNotNull()) for name, (rows, _) in zip(config.CATEGORIES, parts)})
     fired = [F.when(F.coalesce(c, F.lit(False)), F.lit(key)) for _, findings in parts for key, c in findings]
-    pages = pages.withColumn("_fired", F.filter(F.array(*fired), lambda k: k.isNotNull()))
+    made = {f"_{name}": F.filter(F.array(*rows), lambda r: r.isNotNull()) for name, (rows, _) in zip(config.CATEGORIES, parts)}
+    pages = once(pages, made | {"_fired": F.filter(F.array(*fired), lambda k: k.isNotNull())})
     pages = pages.withColumns({name: category_score(F.col(f"_{name}")) for name in config.CATEGORIES})
     total = sum((F.col(n) for n in config.CATEGORIES[1:]), F.col(config.CATEGORIES[0]))
     table = finding_table()
@@ -87,13 +88,13 @@ def checks_map(rows: Column) -> Column:
 
 def criteria_table(results: DataFrame, *keys: str) -> DataFrame:
     """One row a criterion of a page."""
-    rows = results.select(*keys, F.posexplode("criteria").alias("ordinal", "c")).select(*keys, "ordinal", "c.*")
+    rows = results.select(*keys, F.posexplode_outer("criteria").alias("ordinal", "c")).where("c IS NOT NULL").select(*keys, "ordinal", "c.*")
     return rows.withColumn("applicable", F.col("weight") > 0).withColumn("met", F.col("found") & F.coalesce(F.col("current") >= F.col("target"), F.lit(True)))
 
 
 def findings_table(results: DataFrame, *keys: str) -> DataFrame:
     """One row a finding of a page, the most urgent first."""
-    return results.select(*keys, F.posexplode("findings").alias("ordinal", "f")).select(*keys, "ordinal", "f.*")
+    return results.select(*keys, F.posexplode_outer("findings").alias("ordinal", "f")).where("f IS NOT NULL").select(*keys, "ordinal", "f.*")
 
 
 def worst_first(results: DataFrame) -> DataFrame:

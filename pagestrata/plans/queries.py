@@ -55,8 +55,13 @@ def mean_value() -> Column:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with their scores, the worst first."""
-    return S.worst_first(results(spark, sf_dir).select("page_id", "url", "pageType", "totalScore", "rating", *config.CATEGORIES))
+    """Pages with their scores."""
+    return results(spark, sf_dir).select("page_id", "url", "pageType", "totalScore", "rating", *config.CATEGORIES)
+
+
+def worst_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred pages that need work most; a top-k, so no page is sorted that doesn't come near it."""
+    return S.worst_first(flagship(spark, sf_dir)).limit(100)
 
 
 def page_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +268,7 @@ def rating_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        flagship, page_criteria, page_findings, page_records, title_lengths, h1_check, landmark_score, link_counts, url_keys, pages_once, site_overview, robots_verdict,
+        flagship, worst_pages, page_criteria, page_findings, page_records, title_lengths, h1_check, landmark_score, link_counts, url_keys, pages_once, site_overview, robots_verdict,
         readability_lix, readability_flesch, readability_bands, content_language, fact_documents, citations, definitions, sentences, documents_once,
         trend_lag, history_newest, history_overview, daily_reports, asof_previous, run_page_changes, run_finding_changes, run_pages_added, run_pages_removed, run_totals, run_summaries,
         ticket_plan, sitemap_uniform, cache_misses, rating_counts,
