@@ -17,8 +17,10 @@ from ..html.udf import page_data
 from ..operators import criteria as C
 from ..operators import history as H
 from ..operators import inputs as I
+from ..operators import reports as P
 from ..operators import runs as D
 from ..operators import scoring as S
+from ..operators import targets as T
 from ..sources.pages import first_of_each
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -76,6 +78,14 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select("page_id", "lang", size(F.col("headings")).alias("n_headings"), size(F.col("paragraphs")).alias("n_paragraphs"), size(F.col("links")).alias("n_links"), F.col("crawler.chars").alias("n_chars"))
 
 
+def page_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.highlight_targets(results(spark, sf_dir), "page_id")
+
+
+def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.status_counts(results(spark, sf_dir), "page_id")
+
+
 def title_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = records(spark, sf_dir).select("page_id", F.char_length(X.squeezed(F.col("meta.title"))).cast("long").alias("title_length"))
     return found.withColumn("score_percent", C.percent(C.length_score(F.col("title_length"), 30, 60)).cast("long"))
@@ -268,7 +278,7 @@ def rating_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        flagship, worst_pages, page_criteria, page_findings, page_records, title_lengths, h1_check, landmark_score, link_counts, url_keys, pages_once, site_overview, robots_verdict,
+        flagship, worst_pages, page_criteria, page_findings, page_targets, page_status, page_records, title_lengths, h1_check, landmark_score, link_counts, url_keys, pages_once, site_overview, robots_verdict,
         readability_lix, readability_flesch, readability_bands, content_language, fact_documents, citations, definitions, sentences, documents_once,
         trend_lag, history_newest, history_overview, daily_reports, asof_previous, run_page_changes, run_finding_changes, run_pages_added, run_pages_removed, run_totals, run_summaries,
         ticket_plan, sitemap_uniform, cache_misses, rating_counts,

@@ -25,7 +25,8 @@ canonical STRING, hreflang STRUCT<alternates: ARRAY<STRUCT<hreflang: STRING, hre
 tables ARRAY<STRUCT<rows: INT, cols: INT, hasHeader: BOOLEAN, caption: STRING>>,
 local STRUCT<addresses: ARRAY<STRING>, postalCodes: ARRAY<STRING>, phones: ARRAY<STRING>, hasOpeningHours: BOOLEAN>,
 crawler STRUCT<chars: INT, headings: ARRAY<STRING>, hasH1: BOOLEAN, schemaBlocks: INT, hasPassword: BOOLEAN>,
-bingMeta BOOLEAN
+bingMeta BOOLEAN,
+paths STRUCT<headings: ARRAY<STRING>, paragraphs: ARRAY<STRUCT<path: STRING, sourced: BOOLEAN>>, images: ARRAY<STRING>>
 """.replace("\n", " ").strip()
 
 #: Optional inputs of a page: null means that the check did not run, and its criterion is absent.
