@@ -100,3 +100,26 @@ def file_name(src: Column) -> Column:
 def is_generic_image(src: Column) -> Column:
     p = F.regexp_replace(F.regexp_replace(src, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", ""), r"[?#].*$", "")
     return F.regexp_replace(F.element_at(F.split(p, "/"), -1), r"(?i)\.[a-z0-9]+$", "").rlike(config.GENERIC_IMAGE)
+
+
+def clip(text: Column, most: int = 60) -> Column:
+    """White space squeezed, and cut at a length."""
+    t = squeezed(text)
+    return F.when(F.char_length(t) > most, F.concat(F.rtrim(F.substring(t, 1, most - 1)), F.lit("…"))).otherwise(t)
+
+
+def excerpt(text: Column, most: int = 60) -> Column:
+    """Cut at a word, as long as that keeps more than half, and without a mark at the end."""
+    t = squeezed(text)
+    head = F.substring(t, 1, most - 1)
+    whole = F.regexp_replace(head, r"\s\S*$", "")
+    cut = F.when(F.char_length(whole).between(most // 2 + 1, most - 2), whole).otherwise(head)
+    return F.when(F.char_length(t) <= most, t).otherwise(F.concat(F.regexp_replace(F.rtrim(cut), "[.,:;]$", ""), F.lit("…")))
+
+
+def host_list(links: Column, most: int = 5) -> Column:
+    """Distinct hosts of links, the first ones, with a mark if there are more."""
+    from . import urls
+
+    hosts = F.array_distinct(F.transform(links, lambda x: urls.bare_host(x["href"])))
+    return F.concat(F.array_join(F.slice(hosts, 1, most), ", "), F.when(F.size(hosts) > most, F.lit(" …")).otherwise(F.lit("")))
