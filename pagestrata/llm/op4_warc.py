@@ -34,6 +34,8 @@ from .common import fresh_dir, pick, saved
 SKIP_INDEX, SKIP_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Uncompressed bytes after which a frame ends, and compressed bytes after which a bundle does.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 256 << 20
+#: Digests of repeated payloads up to which they are broadcast.
+BROADCAST_ROWS = 200_000
 #: Tasks that read bundles, at most.
 MOST_TASKS = 20_000
 DATE = "2024-01-01T00:00:00Z"
@@ -154,13 +156,15 @@ def page_of(urn: str) -> int | None:
 def with_references(pages: DataFrame, least: int = 100) -> DataFrame:
     """page_id, url, payload, digest, refers_to (null for a response).
 
-    Only ids and digests are compared across rows; of those only digests that occur more than once
-    take part in the join.
+    Only ids and digests are compared across rows, and only digests that occur more than once take part
+    in the join. As long as these are few, a checked count, they are broadcast and payloads stay where
+    they are read; else payloads are dealt out by digest.
     """
     raw = pick(pages, "page_id", "url", "html").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     known = raw.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload"))
     many = known.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    return known.join(many, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    many = saved(many, "repeated")
+    return known.join(F.broadcast(many) if many.count() <= BROADCAST_ROWS else many, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def write_bundles(pages: DataFrame, folder: str, least: int = 100, level: int = 3, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:

@@ -40,9 +40,9 @@ def test_bundle(monkeypatch):
     assert [k for k, _ in reader.records(2, 4)] == [k for k, f, _ in bundle.index if 2 <= f < 4]
 
 
-@pytest.mark.parametrize("frame", [op4_warc.FRAME_BYTES, 300])
-def test_round_trip(spark, monkeypatch, frame):
-    monkeypatch.setattr(op4_warc, "FRAME_BYTES", frame)
+@pytest.mark.parametrize("limit", [op4_warc.BROADCAST_ROWS, 0])
+def test_round_trip(spark, monkeypatch, limit):
+    monkeypatch.setattr(op4_warc, "BROADCAST_ROWS", limit)
     same, short = "é" * 60, "x" * 99
     rows = [(5, "u", same), (3, None, same), (9, "http://a b\r\nc/", same), (1, "u", short), (2, "u", short), (4, "u", None), (6, "u", ""), (7, "u", LONG), (None, "u", same), (8, "u", "\r\n\r\n" * 40)]
     table = spark.createDataFrame([(*r, 0, "z") for r in rows], "page_id bigint, url string, html string, digest int, URL string")
