@@ -407,7 +407,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     bitmaps = sets_of(keyed, found, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "bitmap")
     families = components(bounded_pairs(pairs, bitmaps, percent))
     joined = components(exact_links(sets_of(keyed, found, families, "members"), families, percent))
-    rows = found.select("doc_id", "text_key", "n_shingles", "node")
-    named = rows.join(joined, "node", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "node").alias("group"))
-    least = named.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "group", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "group")
+    # names are given to nodes first: a group of any size meets its smallest id there, not row by row
+    least = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
+    low = saved(joined.join(least, "node").groupBy("component").agg(F.min("least").alias("lowest")), "lowest")
+    linked = joined.join(F.broadcast(low) if low.count() <= BROADCAST_ROWS else low, "component")
+    named = saved(least.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("group"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("component_id")), "named")
+    met = found.select("doc_id", "text_key", "n_shingles", "node").join(named, "node", "left")
+    return met.select("doc_id", "text_key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group")
