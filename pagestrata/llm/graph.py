@@ -71,6 +71,8 @@ def components(links: DataFrame) -> DataFrame:
     links: two bigint columns without nulls; order, repetition and self-links don't matter.
     """
     a, b = links.columns
+    # what makes links is often Python too: written first, a task never holds two Python workers
+    links = saved(links, "raw-links")
     forest = saved(links.select(F.col(a).alias("node"), F.col(b).alias("component")).mapInArrow(_forest, "node bigint, component bigint"), "forest")
     if forest.count() > ONE_TASK:
         stars = _rounds(forest.where("node > component"))

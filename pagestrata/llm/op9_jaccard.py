@@ -42,7 +42,7 @@ WORDS, PERCENT = 5, 80
 #: A shingle that so many documents have comes late in the order of keys; of such at most so many are told apart.
 FREQUENT, MOST_FREQUENT = 24, 500_000
 #: Shingles are counted in blocks of so many; those that don't recur in a block are left out of the count.
-BLOCK_HASHES = 2_000_000
+BLOCK_HASHES = 1_000_000
 #: Weight of a block of a tile (a set weighs its size, or LEAST_WEIGHT if that is more), and the widest bitmap.
 BLOCK_WEIGHT, LEAST_WEIGHT, MOST_BITS = 1_000_000, 128, 1 << 14
 #: Words of which a worker remembers the hashes.
