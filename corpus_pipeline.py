@@ -36,7 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = without_boilerplate(docs, keep=DOCUMENT_COLUMNS)
+    cut = without_boilerplate(docs, keep=DOCUMENT_COLUMNS, proven=True)
     length = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", length).select(*DOCUMENT_COLUMNS)
 

@@ -7,9 +7,11 @@ open, so that lines which differ in one place share a template. Every template o
 the line alone, hence a template's documents can be counted anywhere and in any order.
 
 A template that recurs in at least ``min_docs`` documents is boilerplate, and every line that has one
-is dropped. A document of which more than ``max_share`` of the tokens would go is a copy of others
-rather than a bearer of boilerplate: it stays whole, for document deduplication to decide. Lines of
-fewer than ``min_tokens`` tokens are kept.
+is dropped. A document of which more than ``max_share`` of the tokens would go may be a copy of others
+rather than a bearer of boilerplate: it stays whole, for document deduplication to decide. With
+``proven``, as in the query and the pipeline, only those of these documents stay whole that op9 links
+to another of them (both stay, so deduplication meets them uncut and leaves one); the others lose
+their recurring lines whatever the share. Lines of fewer than ``min_tokens`` tokens are kept.
 
 Only hashes of templates are exchanged; each document sends each of its templates once, counts are
 summed before they are exchanged, and documents are met again by a join on id and text hash.
@@ -28,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices
+from .common import pick, saved, slices
+from .op9_jaccard import BROADCAST_ROWS, jaccard_components
 
 DIGIT = regex.compile(r"\p{N}").search
 FIELD = "<*>"
@@ -71,11 +74,11 @@ def document_templates(docs: DataFrame, min_tokens: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, text_key bigint, template bigint")
 
 
-def without_boilerplate(docs: DataFrame, min_docs: int = 3, min_tokens: int = 5, max_share: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def without_boilerplate(docs: DataFrame, min_docs: int = 3, min_tokens: int = 5, max_share: float = 0.5, keep: tuple[str, ...] = ("doc_id",), proven: bool = False) -> DataFrame:
     """Per row: the columns in ``keep``, the text without boilerplate lines, n_lines, n_recurring, n_dropped, dropped.
 
     n_recurring: lines with a recurring template. dropped: the numbers of the lines that go, from 0,
-    comma-joined; none in a document that stays whole as a copy.
+    comma-joined; none in a document that stays whole as a copy. proven: a copy must have a partner.
     """
     kept = [c for c in dict.fromkeys(["doc_id", *keep]) if c != "text"]
     keyed = pick(docs, *kept, "text").withColumn("text_key", F.xxhash64("text"))
@@ -93,19 +96,41 @@ def without_boilerplate(docs: DataFrame, min_docs: int = 3, min_tokens: int = 5,
                 text, known = text.as_py(), set(known.as_py() or ())
                 lines = [] if text is None else text.split("\n")
                 if not known:
-                    rows.append((text, len(lines), 0, 0, ""))
+                    rows.append((text, len(lines), 0, 0, "", None))
                     continue
                 made = [templates(line, min_tokens) for line in lines]
                 gone = [i for i, (own, _) in enumerate(made) if not known.isdisjoint(own)]
-                n = len(gone)
+                n, whole = len(gone), None
                 if sum(made[i][1] for i in gone) > max_share * sum(k for _, k in made):
-                    gone = []
+                    whole = text
+                    if not proven:
+                        gone = []
                 if gone:
                     drop = set(gone)
                     text = "\n".join(line for i, line in enumerate(lines) if i not in drop)
-                rows.append((text, len(lines), n, len(gone), ",".join(map(str, gone))))
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(c, t) for c, t in zip(columns, kinds))], [*kept, "text", "n_lines", "n_recurring", "n_dropped", "dropped"])
-
-    return met.mapInArrow(run, f"{out}, n_lines bigint, n_recurring bigint, n_dropped bigint, dropped string")
+                rows.append((text, len(lines), n, len(gone), ",".join(map(str, gone)), whole))
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(c, t) for c, t in zip(columns, kinds))], [*kept, *told])
+
+    told = ["text", "n_lines", "n_recurring", "n_dropped", "dropped", "whole"]
+    cut = met.mapInArrow(run, f"{out}, n_lines bigint, n_recurring bigint, n_dropped bigint, dropped string, whole string")
+    return with_copies(saved(cut, "cut"), kept) if proven else cut.drop("whole")
+
+
+def with_copies(cut: DataFrame, kept: list[str]) -> DataFrame:
+    """The rows of cut, those that are near copies of each other with their text in ``whole`` again."""
+    unsure = cut.where("whole IS NOT NULL")
+    if not unsure.head(1):
+        return cut.drop("whole")
+    rows = saved(jaccard_components(unsure.select("doc_id", F.col("whole").alias("text"))), "copies")
+    several = saved(rows.where("`group` IS NOT NULL").groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "several")
+    found = rows.join(F.broadcast(several) if several.count() <= BROADCAST_ROWS else several, "group", "left_semi")
+    found = saved(found.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key")).distinct(), "proven")
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.xxhash64("whole") == F.col("own_key"))
+    met = unsure.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, same, "left")
+    copy = F.col("own_key").isNotNull()
+    again = {"text": F.col("whole"), "n_dropped": F.lit(0).cast("bigint"), "dropped": F.lit("")}
+    columns = [*kept, "text", "n_lines", "n_recurring", "n_dropped", "dropped"]
+    told = met.select(*(F.when(copy, again[c]).otherwise(F.col(c)).alias(c) if c in again else F.col(c) for c in columns))
+    return cut.where("whole IS NULL").select(*columns).unionByName(told)
