@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
 
-1. language: documents without a recognisable language go (no letter at all, or a score below 0.2).
+1. language: documents without a recognisable language go (no letter at all, a score below 0.2, which takes
+   more languages than two a family, or n-grams too unlike those of the language told).
 2. lines: boilerplate lines, which recur over documents, are cut out of the texts.
 3. near_duplicates: of each group of documents linked by shingle similarity one stays, the one with the
    smallest doc_id; documents without words are no one's duplicate and stay.
@@ -31,8 +32,8 @@ MIN_SCORE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = languages(docs, keep=DOCUMENT_COLUMNS)
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*DOCUMENT_COLUMNS)
+    told = languages(docs, keep=DOCUMENT_COLUMNS, far=True)
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE) & (F.col("far") <= 1)).select(*DOCUMENT_COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

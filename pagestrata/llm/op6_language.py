@@ -6,6 +6,12 @@ descent) separate the families from each other and, within a family, each pair o
 machines are fitted on at most ``per_language`` labelled rows of each language, chosen by a hash of
 the row; features are made on the executors, and only those of the chosen rows come to the driver.
 
+The duels always have a winner, whose score is well above 0 for any text. Whether a text is in a learned
+language at all is told by ``far``: by how much the mean log chance of its n-grams, under the shares they
+have in its language's rows, is below what is usual there, in deviations that widen for short texts, over
+a limit. The limit is at least ``FAR`` and well above what rows have under the shares of other rows; a
+language with fewer than ``LEAST_ROWS`` rows has none.
+
 Defined results: a text that is null or has no letter gets ``und`` and score 0; without any labelled
 row all do. A row without doc_id is neither held out nor learned from. Repeated rows are predicted
 each; an empty table gives an empty result; further columns are ignored.
@@ -37,6 +43,8 @@ SIZE = 4096
 LETTERS = regex.compile(r"\p{L}+").findall
 #: Margin 1 counts as a chance of 95 %.
 STEEPNESS = math.log(19)
+#: The least limit of far, the room above the 99th percentile of rows, and the fewest rows that give a limit.
+FAR, ROOM, LEAST_ROWS = 7.0, 1.5, 20
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
 
@@ -79,12 +87,30 @@ def machine(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 30) -
     return weight
 
 
+def usual(x: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Of rows: the log of each feature's smoothed share, and the mean and variance of that for an n-gram."""
+    p = (x.astype(np.float64) ** 2).mean(axis=0)
+    p = 0.999 * p / p.sum() + 0.001 / len(p)
+    log = np.log(p)
+    mean = float(p @ log)
+    return log, mean, float(p @ log**2) - mean * mean
+
+
+def deviations(v: np.ndarray, log: np.ndarray, mean: float, variance: float) -> float:
+    """By how many deviations a text's n-grams are less likely than usual."""
+    share = v.astype(np.float64) ** 2
+    # the rarest n-gram of a text mostly occurs once; n-grams overlap, and documents differ from each other
+    n = share.sum() / share[share > 0].min()
+    return (mean - float(share @ log)) / math.sqrt(3 * variance / n + 0.02)
+
+
 @dataclass
 class Model:
-    """Pairs of classes with their machines; of each level, the classes in order."""
+    """Pairs of classes with their machines; of each level, the classes in order; what is usual in a language, and its limit."""
 
     families: dict[str, list[str]] = field(default_factory=dict)
     machines: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
+    limits: dict[str, tuple[tuple[np.ndarray, float, float], float]] = field(default_factory=dict)
 
     @classmethod
     def fit(cls, langs: list[str], x: np.ndarray) -> Model:
@@ -96,6 +122,11 @@ class Model:
             for a, b in combinations(names, 2):
                 rows = (column == a) | (column == b)
                 model.machines[a, b] = machine(x[rows], np.where(column[rows] == a, 1.0, -1.0))
+        for lang in sorted(set(langs)):
+            rows = x[own == lang]
+            if len(rows) >= LEAST_ROWS:
+                seen = [deviations(v, *usual(rows[1 - k :: 2])) for k in (0, 1) for v in rows[k::2]]
+                model.limits[lang] = usual(rows), max(FAR, ROOM * float(np.quantile(seen, 0.99)))
         return model
 
     def best(self, names: list[str], v: np.ndarray) -> tuple[str, float]:
@@ -121,6 +152,14 @@ class Model:
         lang, q = self.best(self.families[kin], v)
         return lang, p * q
 
+    def far(self, text: str | None, lang: str) -> float:
+        """How far the text is from the language, over the limit; 0 where there is no limit."""
+        v = features(text)
+        if v is None or lang not in self.limits:
+            return 0.0
+        known, limit = self.limits[lang]
+        return max(0.0, deviations(v, *known) / limit)
+
 
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -150,10 +189,11 @@ def learned(docs: DataFrame, per_language: int = 300) -> Model:
     return Model.fit([r["lang"] for r in kept], np.stack([np.frombuffer(r["v"], np.float32) for r in kept]))
 
 
-def languages(docs: DataFrame, per_language: int = 300, keep: tuple[str, ...] = (), model: Model | None = None) -> DataFrame:
+def languages(docs: DataFrame, per_language: int = 300, keep: tuple[str, ...] = (), model: Model | None = None, far: bool = False) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score, and the columns in ``keep`` as they are.
 
-    model: machines to use; without one they are learned from docs.
+    model: machines to use; without one they are learned from docs. far: adds the column far, above 1
+    for a text that isn't in the language told.
     """
     model = model or learned(docs, per_language)
     names = list(dict.fromkeys(["doc_id", "text", *keep]))
@@ -165,6 +205,8 @@ def languages(docs: DataFrame, per_language: int = 300, keep: tuple[str, ...] =
             told = [model.predict(text.as_py()) for text in batch.column(1)]
             columns = {n: batch.column(i) for i, n in enumerate([*names, "held_out"]) if n != "text" or n in keep}
             columns |= {"lang_pred": pa.array([x for x, _ in told], pa.string()), "score": pa.array([x for _, x in told], pa.float64())}
+            if far:
+                columns["far"] = pa.array([model.far(text.as_py(), lang) for text, (lang, _) in zip(batch.column(1), told)], pa.float64())
             yield pa.RecordBatch.from_pydict(columns)
 
-    return rows.mapInArrow(run, f"{out}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{out}, lang_pred string, score double{', far double' if far else ''}")

@@ -2,9 +2,11 @@
 
 import random
 
+import corpus_pipeline
 from pagestrata.llm.op1_lines import without_boilerplate
 
-from .helpers import ask, docs
+from .helpers import DOCS, ask, docs
+from .test_text_filters import spoken
 
 WORDS = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
 
@@ -21,3 +23,15 @@ def test_only_proven_copies_stay_whole(spark):
     # the last line of 6 has one more token: it has a template of its own
     want += [(4, copied, 3, 0, ""), (5, copied, 3, 0, ""), (6, copied + " more", 3, 0, ""), (7, None, 0, 0, ""), (8, "", 0, 0, "")]
     assert got == want
+
+
+def test_language_rejects_what_was_never_learned(spark):
+    draw = random.Random(5)
+    rows = [(i, "\n".join(spoken(draw, lang, 40) for _ in range(2)), lang) for i, lang in enumerate(["en", "de", "es", "fr"] * 40)]
+    known = {r[0] for r in rows} | {800}
+    rows += [(800, spoken(draw, "de", 3), None)]
+    rows += [(900, spoken(draw, "xx", 80), None)]
+    rows += [(901 + i, " ".join("".join(draw.sample(w, len(w))) for w in "".join(draw.sample(rows[i][1], len(rows[i][1]))).split()), None) for i in range(4)]
+    rows += [(910, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.", None)]
+    table = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], DOCS)
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, table, "").select("doc_id").collect()} == known
