@@ -1,8 +1,10 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Texts become words (runs of letters and digits, in lower case). A window of a document has the size of a
-benchmark item. Only windows that have a word shingle of an item, at its place in the item, are made:
-a window without a common shingle has similarity 0. Each window gets a 64-bit SimHash of its shingles,
+benchmark item. Windows are made where a word shingle of an item is at its place in the item, and at
+each shingle of an item from which on a window holds as many shingles of items as the threshold asks
+for: of the most similar windows one starts at such a shingle, since one that starts elsewhere is no
+less similar when it starts a word later. Each window gets a 64-bit SimHash of its shingles,
 weighted by how often they occur there. Fingerprints are cut into one block more than the radius, so two
 within the radius agree in a block at least; windows meet the items of their size by equal blocks, and bit
 counts leave those within the radius. These are verified by the exact weighted-shingle similarity: the sum
@@ -69,6 +71,13 @@ def weighted_similarity(a: str, b: str) -> Column:
     return both / (F.size(x) + F.size(y) - both)
 
 
+def enough_from(x: Column, i: Column, threshold: float) -> Column:
+    """Whether the window from x, the i-th of the sorted ``held``, holds threshold x the item's shingles: fewer can't be that similar."""
+    size = x["n_words"] - (WORDS - 1)
+    last = F.get(F.col("held"), i + F.greatest(F.ceil(size * threshold - 1e-6), F.lit(1)).cast("int") - 1)
+    return F.coalesce((last["n_words"] == x["n_words"]) & (last["start"] - x["start"] < size), F.lit(False))
+
+
 def with_blocks(df: DataFrame, radius: int) -> DataFrame:
     return df.withColumn("x", F.explode(blocks_of("fingerprint", radius))).select("*", "x.block", "x.value").drop("x")
 
@@ -77,7 +86,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
     """Per document and item that it holds: doc_id, text_key, item_id, start, n_words and similarity of the best window.
 
     text_key: the hash of the document's text. start: the number of the window's first word, from 0; of
-    equally similar windows it is the first. Equal texts are looked at once.
+    equally similar windows it is the first that has a shingle at its place in the item, or else the
+    first. Equal texts are looked at once.
     """
     items = pick(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", words_of("text").alias("words"))
     items = items.where(F.size("words") >= WORDS).select("item_id", F.size("words").alias("n_words"), shingles_of("words").alias("shingles")).distinct()
@@ -90,18 +100,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
 
     keyed = pick(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     shingles = keyed.select("text_key", words_of("text").alias("words")).select("text_key", F.posexplode(shingles_of("words")).alias("p", "hash"))
-    anchors = shingles.join(light(places), "hash").groupBy("text_key").agg(F.collect_set(F.struct(F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start"), "n_words")).alias("starts"))
-    anchors = saved(anchors, "anchors")
+    at_place = F.struct("n_words", F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start"))
+    anchors = shingles.join(light(places), "hash").groupBy("text_key").agg(F.collect_set(at_place).alias("placed"), F.array_sort(F.collect_set(F.struct("n_words", F.col("p").alias("start")))).alias("held"))
+    anchors = anchors.select("text_key", "placed", F.filter("held", lambda x, i: enough_from(x, i, threshold)).alias("full"))
+    marked = [F.transform(found, lambda x, k=k: F.struct(x["start"].alias("start"), x["n_words"].alias("n_words"), F.lit(k).alias("placed"))) for found, k in ((F.col("placed"), True), (F.array_except("full", "placed"), False))]
+    anchors = saved(anchors.select("text_key", F.concat(*marked).alias("starts")), "anchors")
     texts = keyed.join(F.broadcast(anchors) if anchors.count() <= BROADCAST_TEXTS else anchors, "text_key").select("text_key", "starts", words_of("text").alias("words"))
-    held = texts.select("text_key", "words", F.explode("starts").alias("at")).select("text_key", "at.start", "at.n_words", F.slice("words", F.col("at.start") + 1, F.col("at.n_words")).alias("words"))
-    windows = held.where(F.size("words") >= WORDS).select("text_key", "start", "n_words", shingles_of("words").alias("shingles")).dropDuplicates(["text_key", "start", "n_words"])
+    held = texts.select("text_key", "words", F.explode("starts").alias("at")).select("text_key", "at.start", "at.n_words", "at.placed", F.slice("words", F.col("at.start") + 1, F.col("at.n_words")).alias("words"))
+    windows = held.where(F.size("words") >= WORDS).select("text_key", "start", "n_words", "placed", shingles_of("words").alias("shingles")).dropDuplicates(["text_key", "start", "n_words"])
     windows = saved(windows.withColumn("fingerprint", simhash("shingles")), "fingerprints")
 
     sought = with_blocks(items.select("item_id", "n_words", "fingerprint"), radius).withColumnRenamed("fingerprint", "item_fingerprint")
     met = with_blocks(windows.select("text_key", "start", "n_words", "fingerprint"), radius).join(light(sought), ["n_words", "block", "value"])
     pairs = met.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= radius).select("text_key", "start", "n_words", "item_id").distinct()
-    both = pairs.join(windows.select("text_key", "start", "n_words", "shingles"), ["text_key", "start", "n_words"]).join(light(items.select("item_id", F.col("shingles").alias("item_shingles"), F.col("n_words").alias("item_words"))), "item_id")
+    both = pairs.join(windows.select("text_key", "start", "n_words", "placed", "shingles"), ["text_key", "start", "n_words"]).join(light(items.select("item_id", F.col("shingles").alias("item_shingles"), F.col("n_words").alias("item_words"))), "item_id")
     alike = both.where(F.col("n_words") == F.col("item_words")).withColumn("similarity", weighted_similarity("shingles", "item_shingles")).where(F.col("similarity") >= threshold)
-    best = alike.groupBy("text_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), "n_words")).alias("best"))
+    best = alike.groupBy("text_key", "item_id").agg(F.max(F.struct("similarity", "placed", (-F.col("start")).alias("before"), "n_words")).alias("best"))
     best = saved(best.select("text_key", "item_id", (-F.col("best.before")).cast("int").alias("start"), "best.n_words", "best.similarity"), "leaks")
     return keyed.select("doc_id", "text_key").join(F.broadcast(best) if best.count() <= BROADCAST_TEXTS else best, "text_key").select("doc_id", "text_key", "item_id", "start", "n_words", "similarity").distinct()

@@ -4,9 +4,10 @@ import random
 
 import corpus_pipeline
 from pagestrata.llm.op1_lines import without_boilerplate
+from pagestrata.llm.op3_leaks import leaks
 
 from .helpers import DOCS, ask, docs
-from .test_text_filters import spoken
+from .test_text_filters import plain_leaks, spoken
 
 WORDS = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
 
@@ -35,3 +36,24 @@ def test_language_rejects_what_was_never_learned(spark):
     rows += [(910, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.", None)]
     table = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], DOCS)
     assert {r["doc_id"] for r in corpus_pipeline.language(spark, table, "").select("doc_id").collect()} == known
+
+
+def test_leaks_with_inserted_words(spark):
+    draw = random.Random(4)
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in (58, 60, 64, 66, 80)]
+    texts = []
+    for i in range(30):
+        own = draw.choice(items)[1].split() if i >= 5 else items[i][1].split()
+        for _ in range(draw.choice((1, 2, 3)) if i >= 5 else 0):
+            own.insert(draw.randrange(len(own)), "in")
+        own[0], own[-1] = "other", "words"
+        half = len(own) // 2
+        if i < 5:
+            own[half:half] = ["in", "between"]
+        elif i % 5 == 0:
+            own = own[half:] + own[:half]
+        texts.append((i, " ".join(draw.choices(WORDS, k=draw.choice((0, 9)))) + " " + " ".join(own) + " and so on and on"))
+    want = plain_leaks(texts, items)
+    assert {(i, n) for i, (n, _) in enumerate(items[:4])} <= {w[:2] for w in want}
+    got = ask(leaks(docs(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")), "doc_id", "item_id", "similarity")
+    assert [(d, k, round(x, 9)) for d, k, x in got] == want
