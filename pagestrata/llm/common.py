@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,11 +46,17 @@ def pick(df: DataFrame, *names: str, **fresh: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only where master and executors are one process, as in tests, a folder of our own does where it is unset.
+    """
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not known:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: intermediate results need a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="pagestrata-")
+        atexit.register(shutil.rmtree, known.removeprefix("file://"), ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known)
     return known.rstrip("/")
@@ -77,3 +85,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def light(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows; they are counted, so df is best a written table."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -2,135 +2,147 @@
 
 A line goes down a tree of fixed depth: first by its number of tokens, then by its leading tokens. A
 token that holds a digit is a variable field and becomes ``<*>`` on the way. In the leaf, templates
-are the rest of the line as it stands and, for long lines, the rest with one of its segments left
-open, so that lines which differ in one place share a template. Every template of a line is made from
-the line alone, hence a template's documents can be counted anywhere and in any order.
-
-A template that recurs in at least ``min_docs`` documents is boilerplate, and every line that has one
-is dropped. A document of which more than ``max_share`` of the tokens would go may be a copy of others
-rather than a bearer of boilerplate: it stays whole, for document deduplication to decide. With
-``proven``, as in the query and the pipeline, only those of these documents stay whole that op9 links
-to another of them (both stay, so deduplication meets them uncut and leaves one); the others lose
-their recurring lines whatever the share. Lines of fewer than ``min_tokens`` tokens are kept.
-
-Only hashes of templates are exchanged; each document sends each of its templates once, counts are
-summed before they are exchanged, and documents are met again by a join on id and text hash.
-
-Defined results: null text has no line and stays null; an empty text has one empty line; repeated
-rows count as documents each; an empty table gives an empty result; further columns are ignored.
+leave further fields open: of a line of 5 to 11 tokens one token behind the leading ones, of a longer
+line two of the four segments behind them, of a shorter line nothing. So lines that agree in the rest share
+a template whatever their fields hold. Every template of a line is made from the line alone, hence a
+template's documents can be counted anywhere and in any order.
+
+A template that recurs in at least ``min_docs`` documents (``min_docs_long`` for lines of ``LONG`` tokens or
+more) is boilerplate, and every line that has one is dropped, whatever share of its document that is.
+Copies of a document aren't other documents: equal texts count once, and with ``copies_once`` so do near
+copies, which op9 tells among the texts of which at least ``copy_share`` of the tokens recur. Whole copies thus keep
+their lines, for document dedup to leave one of them.
+
+Each text is parsed once; only hashes are exchanged. Templates are counted first, and only those that
+occur twice are met again by line. Texts are joined with the numbers of their lines that go.
+
+Limits of the method: lines are told apart by 64-bit hashes; fields among the two leading tokens are only seen
+if they hold a digit; a field of several tokens changes a line's length and so its leaf.
+
+Defined results: null text has no line and stays null; an empty text has one empty line; lines without a
+letter (separators, numbers alone) have no template and stay; repeated rows and ties are treated alike, each
+row losing the same lines; texts of any length are read whole; an empty table gives an empty result; further
+columns, also with clashing names, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, saved, slices
-from .op9_jaccard import BROADCAST_ROWS, jaccard_components
+from .common import light, pick, saved, slices
+from .op9_jaccard import jaccard_components
 
 DIGIT = regex.compile(r"\p{N}").search
+LETTER = regex.compile(r"\p{L}").search
 FIELD = "<*>"
-#: Depth of the tree below the level of token counts, segments of the rest, and the least line with open segments.
-DEPTH, SEGMENTS, LEAST_OPEN = 3, 3, 12
-
-
-def templates(line: str, min_tokens: int) -> tuple[list[int], int]:
-    """Hashes of the templates of a line (none if it is short), and its number of tokens."""
+#: Leading tokens of a leaf, and the tokens from which on a line has open tokens, and open segments.
+DEPTH, SHORT, MIDDLE, SEGMENTS = 2, 5, 12, 4
+#: Pairs of segments that a long line keeps.
+KEPT = [(a, b) for a in range(SEGMENTS) for b in range(a)]
+#: Lines of so many tokens recur from two documents on.
+LONG = 50
+#: Templates or texts up to which a list of them is broadcast.
+BROADCAST_ROWS = 1_000_000
+WRAP = (1 << 64) - 1
+digest = xxhash.xxh3_64_intdigest
+
+
+def templates(line: str) -> tuple[list[int], int]:
+    """Hashes of the templates of a line (odd ones of long lines), and its number of tokens."""
     tokens = line.split()
     n = len(tokens)
-    if n < min_tokens:
-        return [], n
     if DIGIT(line):
         tokens = [FIELD if DIGIT(t) else t for t in tokens]
-    leaf, rest = f"{n} {' '.join(tokens[:DEPTH])}", tokens[DEPTH:]
-    made = [f"{leaf}\n{' '.join(rest)}"]
-    if n >= LEAST_OPEN:
-        cuts = [len(rest) * i // SEGMENTS for i in range(SEGMENTS + 1)]
-        made += [f"{leaf}\n{' '.join(rest[:a])}\n{i}\n{' '.join(rest[b:])}" for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in made], n
-
-
-def document_templates(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """(doc_id, text_key, template), each template once for a row of docs."""
+        if not LETTER(" ".join(tokens)):
+            return [], n
+    elif not LETTER(line):
+        return [], n
+    if n < SHORT:
+        made = [digest(f"{n} {' '.join(tokens)}")]
+    else:
+        leaf, rest = digest(f"{n} {tokens[0]} {tokens[1]}"), tokens[DEPTH:]
+        if n < MIDDLE:
+            own = [digest(f"{i} {t}") for i, t in enumerate(rest)]
+            total = sum(own, leaf)
+            made = [digest(((total - h) & WRAP).to_bytes(9, "little") + bytes([i])) for i, h in enumerate(own)]
+        else:
+            cuts = [len(rest) * i // SEGMENTS for i in range(SEGMENTS + 1)]
+            own = [digest(f"{i} {' '.join(rest[a:b])}") for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+            made = [digest(((leaf + own[a] + own[b]) & WRAP).to_bytes(9, "little") + bytes([a, b])) for a, b in KEPT]
+    odd = n >= LONG
+    return [((h >> 1 << 1 | odd) - (1 << 63)) for h in made], n
+
+
+def line_templates(texts: DataFrame) -> DataFrame:
+    """(template, text_key, line, n, total): each template of each line; n: the line's tokens, total: the text's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, made = [], []
-            for i, text in enumerate(batch.column(2)):
-                if text := text.as_py():
-                    own = set()
-                    for line in text.split("\n"):
-                        own.update(templates(line, min_tokens)[0])
+        for batch in slices(batches, 500):
+            at, made, lines, sizes, totals = [], [], [], [], []
+            for i, text in enumerate(batch.column(1)):
+                if not (text := text.as_py()):
+                    continue
+                first, total = len(made), 0
+                for k, line in enumerate(text.split("\n")):
+                    own, n = templates(line)
+                    total += n
                     made += own
-                    at += [i] * len(own)
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(made, pa.int64())], ["doc_id", "text_key", "template"])
-
-    return docs.mapInArrow(run, "doc_id bigint, text_key bigint, template bigint")
-
-
-def without_boilerplate(docs: DataFrame, min_docs: int = 3, min_tokens: int = 5, max_share: float = 0.5, keep: tuple[str, ...] = ("doc_id",), proven: bool = False) -> DataFrame:
-    """Per row: the columns in ``keep``, the text without boilerplate lines, n_lines, n_recurring, n_dropped, dropped.
-
-    n_recurring: lines with a recurring template. dropped: the numbers of the lines that go, from 0,
-    comma-joined; none in a document that stays whole as a copy. proven: a copy must have a partner.
+                    lines += [k] * len(own)
+                    sizes += [n] * len(own)
+                at += [i] * (len(made) - first)
+                totals += [total] * (len(made) - first)
+            small = [pa.array(np.array(x, np.int32)) for x in (lines, sizes, totals)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(made, np.int64)), batch.column(0).take(pa.array(at, pa.int64())), *small], ["template", "text_key", "line", "n", "total"])
+
+    return texts.mapInArrow(run, "template bigint, text_key bigint, line int, n int, total int")
+
+
+def recurring(hits: DataFrame, origin: str, min_docs: int, min_docs_long: int) -> DataFrame:
+    """(template): those of enough different origins."""
+    counted = hits.select("template", origin).distinct().groupBy("template").agg(F.count("*").alias("n"))
+    return counted.where(F.col("n") >= F.when(F.col("template").bitwiseAND(F.lit(1)) == 1, min_docs_long).otherwise(min_docs)).select("template")
+
+
+def boilerplate(keyed: DataFrame, min_docs: int, min_docs_long: int, copies_once: bool, copy_share: float) -> DataFrame:
+    """(text_key, drop): the numbers of the lines that go, from 0. keyed: text_key and text."""
+    parsed = saved(line_templates(keyed.select("text_key", "text")), "templates")
+    often = saved(parsed.groupBy("template").agg(F.count("*").alias("n")).where("n > 1").select("template"), "often")
+    hits = saved(parsed.join(light(often, BROADCAST_ROWS), "template", "left_semi"), "hits")
+    found = saved(recurring(hits, "text_key", min_docs, min_docs_long), "recurring")
+    hits = saved(hits.join(light(found, BROADCAST_ROWS), "template", "left_semi"), "recurring-lines")
+    if copies_once:
+        shares = hits.dropDuplicates(["text_key", "line"]).groupBy("text_key").agg((F.sum("n") / F.max("total")).alias("share"))
+        alike = saved(shares.where(F.col("share") >= copy_share).select("text_key"), "alike")
+        compared = keyed.join(light(alike, BROADCAST_ROWS), "text_key", "left_semi").select(F.col("text_key").alias("doc_id"), "text")
+        groups = saved(jaccard_components(compared).where("`group` IS NOT NULL").select("text_key", "group").distinct(), "copies")
+        hits = saved(hits.join(light(groups, BROADCAST_ROWS), "text_key", "left").withColumn("origin", F.coalesce("group", "text_key")), "origins")
+        found = saved(recurring(hits, "origin", min_docs, min_docs_long), "recurring-once")
+        hits = hits.join(light(found, BROADCAST_ROWS), "template", "left_semi")
+    return saved(hits.groupBy("text_key").agg(F.sort_array(F.collect_set("line")).alias("drop")), "drops")
+
+
+def without_boilerplate(docs: DataFrame, min_docs: int = 3, min_docs_long: int = 2, keep: tuple[str, ...] = ("doc_id",), copies_once: bool = True, copy_share: float = 0.5) -> DataFrame:
+    """Per row: the columns in ``keep``, the text without boilerplate lines, n_lines, n_dropped, dropped.
+
+    dropped: the numbers of the lines that went, from 0, comma-joined.
     """
     kept = [c for c in dict.fromkeys(["doc_id", *keep]) if c != "text"]
     keyed = pick(docs, *kept, "text").withColumn("text_key", F.xxhash64("text"))
-    found = document_templates(keyed.select("doc_id", "text_key", "text"), min_tokens)
-    recurring = found.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
-    own = found.join(recurring, "template", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("template").alias("recurring"))
-    own = own.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "recurring")
-    met = keyed.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")), "left").select(*kept, "text", "recurring")
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema if f.name != "recurring")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 500):
-            rows = []
-            for text, known in zip(batch.column(len(kept)), batch.column(len(kept) + 1)):
-                text, known = text.as_py(), set(known.as_py() or ())
-                lines = [] if text is None else text.split("\n")
-                if not known:
-                    rows.append((text, len(lines), 0, 0, "", None))
-                    continue
-                made = [templates(line, min_tokens) for line in lines]
-                gone = [i for i, (own, _) in enumerate(made) if not known.isdisjoint(own)]
-                n, whole = len(gone), None
-                if sum(made[i][1] for i in gone) > max_share * sum(k for _, k in made):
-                    whole = text
-                    if not proven:
-                        gone = []
-                if gone:
-                    drop = set(gone)
-                    text = "\n".join(line for i, line in enumerate(lines) if i not in drop)
-                rows.append((text, len(lines), n, len(gone), ",".join(map(str, gone)), whole))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(c, t) for c, t in zip(columns, kinds))], [*kept, *told])
-
-    told = ["text", "n_lines", "n_recurring", "n_dropped", "dropped", "whole"]
-    cut = met.mapInArrow(run, f"{out}, n_lines bigint, n_recurring bigint, n_dropped bigint, dropped string, whole string")
-    return with_copies(saved(cut, "cut"), kept) if proven else cut.drop("whole")
-
-
-def with_copies(cut: DataFrame, kept: list[str]) -> DataFrame:
-    """The rows of cut, those that are near copies of each other with their text in ``whole`` again."""
-    unsure = cut.where("whole IS NOT NULL")
-    if not unsure.head(1):
-        return cut.drop("whole")
-    rows = saved(jaccard_components(unsure.select("doc_id", F.col("whole").alias("text"))), "copies")
-    several = saved(rows.where("`group` IS NOT NULL").groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "several")
-    found = rows.join(F.broadcast(several) if several.count() <= BROADCAST_ROWS else several, "group", "left_semi")
-    found = saved(found.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key")).distinct(), "proven")
-    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.xxhash64("whole") == F.col("own_key"))
-    met = unsure.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, same, "left")
-    copy = F.col("own_key").isNotNull()
-    again = {"text": F.col("whole"), "n_dropped": F.lit(0).cast("bigint"), "dropped": F.lit("")}
-    columns = [*kept, "text", "n_lines", "n_recurring", "n_dropped", "dropped"]
-    told = met.select(*(F.when(copy, again[c]).otherwise(F.col(c)).alias(c) if c in again else F.col(c) for c in columns))
-    return cut.where("whole IS NULL").select(*columns).unionByName(told)
+    drops = boilerplate(keyed, min_docs, min_docs_long, copies_once, copy_share)
+    met = keyed.join(light(drops, BROADCAST_ROWS // 10), "text_key", "left")
+    lines = F.split("text", "\n")
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "drop"), lambda i: F.get("lines", i))
+    gone = F.col("drop").isNotNull() & F.col("text").isNotNull()
+    met = met.withColumn("lines", F.when(gone, lines))
+    return met.select(
+        *kept, F.when(gone, F.array_join(left, "\n")).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines"),
+        F.when(gone, F.size("drop")).otherwise(0).cast("bigint").alias("n_dropped"), F.when(gone, F.array_join(F.col("drop").cast("array<string>"), ",")).otherwise("").alias("dropped"),
+    )

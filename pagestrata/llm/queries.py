@@ -23,8 +23,8 @@ from .op10_chat import formatted_chats
 
 
 def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = without_boilerplate(read(spark, sf_dir, "documents"), proven=True)
-    return found.select("doc_id", "n_lines", "n_recurring", "n_dropped", "dropped", F.char_length("text").alias("kept_chars"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+    found = without_boilerplate(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", "dropped", F.char_length("text").alias("kept_chars"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
 def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,52 +1,64 @@
 """op1, op3 and op6 on small texts, against plain versions and held-out labels."""
 
 import random
+import unicodedata
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 
-from pagestrata.llm import op3_leaks
-from pagestrata.llm.op1_lines import DEPTH, LEAST_OPEN, SEGMENTS, templates, without_boilerplate
+from pagestrata.llm import op1_lines, op3_leaks
+from pagestrata.llm.op1_lines import templates, without_boilerplate
 from pagestrata.llm.op3_leaks import leaks
 from pagestrata.llm.op6_language import UNKNOWN, Model, features, languages
 
 from .helpers import LONG, ask, docs
+from .test_near import brute_jaccard
 
 # -- op1 --
 
 
-def plain_templates(line, min_tokens):
-    tokens = ["<*>" if any(c.isnumeric() for c in t) else t for t in line.split()]
+def plain_templates(line):
+    tokens = ["<*>" if any(unicodedata.category(c)[0] == "N" for c in t) else t for t in line.split()]
     n = len(tokens)
-    if n < min_tokens:
+    if not any(unicodedata.category(c)[0] == "L" for t in tokens if t != "<*>" for c in t):
         return set()
-    made = {(n, tuple(tokens))}
-    if n >= LEAST_OPEN:
-        rest = n - DEPTH
-        for i in range(SEGMENTS):
-            a, b = DEPTH + rest * i // SEGMENTS, DEPTH + rest * (i + 1) // SEGMENTS
-            made.add((n, i, tuple(tokens[:a]), tuple(tokens[b:])))
-    return made
-
-
-def plain_lines(texts, min_docs=3, min_tokens=5, max_share=0.5):
-    count = Counter(t for text in texts if text for t in {t for line in text.split("\n") for t in plain_templates(line, min_tokens)})
-    out = []
-    for text in texts:
-        lines = [] if text is None else text.split("\n")
-        gone = [i for i, line in enumerate(lines) if any(count[t] >= min_docs for t in plain_templates(line, min_tokens))]
-        n, total = len(gone), sum(len(x.split()) for x in lines)
-        if sum(len(lines[i].split()) for i in gone) > max_share * total:
-            gone = []
-        out.append((None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), n, len(gone)))
-    return out
+    rest = n - 2
+    if n < 5:
+        return {tuple(tokens)}
+    if n < 12:
+        return {(n, i, *tokens[:i], *tokens[i + 1 :]) for i in range(2, n)}
+    edges = [2 + rest * i // 4 for i in range(5)]
+    return {(n, *tokens[:2], *((i, *tokens[edges[i] : edges[i + 1]]) for i in pair)) for pair in combinations(range(4), 2)}
+
+
+def plain_lines(texts, min_docs=3, min_docs_long=2, copies_once=True, copy_share=0.5):
+    """(text, lines, dropped) of each text, by comparing everything with everything."""
+    distinct = {t for t in texts if t}
+    own = {t: [plain_templates(line) for line in t.split("\n")] for t in distinct}
+
+    def dropped(origin):
+        seen = defaultdict(set)
+        for t in distinct:
+            for line, made in zip(t.split("\n"), own[t]):
+                for m in made:
+                    seen[m, len(line.split()) >= 50].add(origin(t))
+        return {t: {i for i, line in enumerate(t.split("\n")) if any(len(seen[m, len(line.split()) >= 50]) >= (min_docs_long if len(line.split()) >= 50 else min_docs) for m in own[t][i])} for t in distinct}
+
+    gone = dropped(lambda t: t)
+    if copies_once:
+        alike = sorted(t for t in distinct if gone[t] and sum(len(t.split("\n")[i].split()) for i in gone[t]) >= copy_share * len(t.split()))
+        group = {t: g for t, (_, _, g) in zip(alike, brute_jaccard(alike)[0])}
+        first, gone = gone, dropped(lambda t: group.get(t, t))
+        gone = {t: gone[t] & first[t] for t in distinct}
+    return [(None, 0, "") if t is None else ("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(t, ())), t.count("\n") + 1, ",".join(map(str, sorted(gone.get(t, ()))))) for t in texts]
 
 
 def line_texts():
     draw = random.Random(6)
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
     notice = "Page 17 of 90 was printed on 2024-05-01 by user 4711"
-    passage = " ".join(draw.choices(words, k=55))
+    passage, rare = (" ".join(draw.choices(words, k=k)) for k in (45, 70))
     texts = []
     for i in range(60):
         lines = [" ".join(draw.choices(words, k=draw.randint(1, 40))) for _ in range(draw.randint(2, 8))]
@@ -54,28 +66,42 @@ def line_texts():
             lines.insert(draw.randrange(len(lines)), notice.replace("17", str(i)).replace("4711", str(i * 7)))
         if i % 6 == 0:
             own = passage.split()
-            own[40] = draw.choice(words)
+            own[40], own[10] = draw.choice(words), draw.choice(words)
             lines.append(" ".join(own))
+        if i % 5 == 0:
+            lines.append(f"Posted by {draw.choice(words).title()} in the forum")
+        if i in (7, 11):
+            lines.insert(1, rare)
+        if i % 3 == 0:
+            lines.append(draw.choice(["Share this", "* * *", "12", "Read 4 more"]))
         texts.append("\n".join(lines))
-    return [*texts, texts[1], texts[1], texts[1], None, "", LONG, "\n\n", notice]
+    near = ["\n".join([texts[2], texts[3], texts[9], extra]) for extra in ("", "one more line", "and another line here")]
+    return [*texts, *near, texts[1], texts[1], texts[1], None, "", LONG, LONG + "x", "\n\n", notice]
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("limit, copies_once", [(op1_lines.BROADCAST_ROWS, True), (0, True), (op1_lines.BROADCAST_ROWS, False)])
+def test_lines(spark, monkeypatch, limit, copies_once):
+    monkeypatch.setattr(op1_lines, "BROADCAST_ROWS", limit)
     texts = line_texts()
-    want = sorted(((i, *row) for i, row in enumerate(plain_lines(texts))), key=repr)
-    assert sum(r[4] for r in want) >= 20
-    assert ask(without_boilerplate(docs(spark, texts, clash=True)), "doc_id", "text", "n_lines", "n_recurring", "n_dropped") == want
+    want = sorted(((i, *row) for i, row in enumerate(plain_lines(texts, copies_once=copies_once))), key=repr)
+    assert sum(bool(r[3]) for r in want) >= 40
+    assert ask(without_boilerplate(docs(spark, texts, clash=True), copies_once=copies_once), "doc_id", "text", "n_lines", "dropped") == want
 
 
-def test_variable_fields_share_a_template():
-    a, b = (templates(f"Error {n} at line {n}: cannot open the file named x{n}.txt", 5)[0] for n in (3, 12345))
-    assert a[0] == b[0]
-    assert templates("too short", 5) == ([], 2)
+def test_fields_share_a_template():
+    for a, b in (
+        ("Error 3 at line 9: cannot open the file named x1.txt", "Error 77 at line 12: cannot open the file named y2.txt"),
+        ("Posted by Alice in General on Monday", "Posted by Bob in General on Monday"),
+        ("The opening hours of the museum on Monday are from ten to five as always", "The opening hours of the theatre on Sunday are from ten to five as always"),
+    ):
+        assert set(templates(a)[0]) & set(templates(b)[0])
+    assert templates("* * *") == ([], 3) and templates("") == ([], 0) and templates("12 34")[0] == []
+    assert not set(templates("Posted by Alice in General on Monday")[0]) & set(templates("Posted by Bob in Sports on Monday")[0])
 
 
 def test_lines_edge_cases(spark):
     line = "the same line of enough words"
-    rows = [(None, f"own words come first here always {i}{i}\n{line}") for i in "abc"]
+    rows = [(None, f"own words come first {i}here always {i}{i}\n{line}") for i in "abc"]
     kept = ask(without_boilerplate(docs(spark, rows)), "doc_id", "n_dropped")
     assert kept == [(None, 1)] * 3
     assert without_boilerplate(docs(spark, ["x"]).limit(0)).count() == 0
