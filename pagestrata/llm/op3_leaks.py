@@ -1,38 +1,46 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Texts become words (runs of letters and digits, in lower case). A window of a document has the size of a
-benchmark item. Windows are made where a word shingle of an item is at its place in the item, and at
-each shingle of an item from which on a window holds as many shingles of items as the threshold asks
-for: of the most similar windows one starts at such a shingle, since one that starts elsewhere is no
-less similar when it starts a word later. Each window gets a 64-bit SimHash of its shingles,
-weighted by how often they occur there. Fingerprints are cut into one block more than the radius, so two
-within the radius agree in a block at least; windows meet the items of their size by equal blocks, and bit
-counts leave those within the radius. These are verified by the exact weighted-shingle similarity: the sum
-of the smaller weights over the sum of the larger ones.
-
-The radius is so wide that a pair at the threshold is beyond it with a chance below 1 in 10,000.
-
-The benchmark is broadcast up to ``BROADCAST_SHINGLES`` of its shingles, a checked count; a larger one
-takes part in ordinary joins.
-
-Defined results: items of fewer than five words identify nothing and are never found; null texts and ids
-of items are ignored; a null text of a document has no window; repeated items or rows don't repeat a
-result; an empty table gives an empty result; further columns are ignored.
+benchmark item and slides over every word; at the end of a text it is shorter. A window can be similar enough
+only if it holds enough shingles of items of its size: shared shingles over all shingles must reach the
+threshold, which bounds the shared ones from below. And of the most similar windows one starts at a shingle of
+an item, since one that starts elsewhere is no less similar when it starts a word later. So fingerprints are
+made of the windows that start at such a shingle and hold that many; no other can be the best one, whatever was
+moved, split or padded in the document.
+
+Each window gets a 64-bit SimHash of its shingles, a shingle voting as often as it occurs. Fingerprints are cut
+into ``BLOCKS`` blocks; two within the radius differ in one of the blocks by at most radius / BLOCKS bits, so items are
+indexed by every value that near each of their blocks, and windows meet the items of their size by equal blocks. This
+finds all pairs within the radius. Bit counts leave those, and the exact weighted-shingle similarity (the
+sum of the smaller weights over the sum of the larger ones) decides.
+
+The one step that isn't certain is the radius: a pair at the threshold differs in 9.7 of 64 bits on average with a
+deviation of 2.9, and is beyond the radius of 23 with a chance below 1 in 100,000 (normal approximation).
+
+The benchmark is broadcast up to ``BROADCAST_ROWS`` rows of its index, a checked count; a larger one takes part in
+ordinary joins.
+
+Defined results: items of fewer than five words have no shingle, identify nothing and are never found; null texts
+and ids of items are ignored; a null or empty text of a document has no window; texts of any length are read whole;
+of equally similar windows the last is told; repeated items or rows don't repeat a result; an empty table
+gives an empty result; further columns, also with clashing names, are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, saved
+from .common import light, pick, saved
 
 WORDS, THRESHOLD = 5, 0.8
-#: At the threshold 9.7 bits of 64 differ on average, with a deviation of 2.9.
-RADIUS = 21
-#: Rows up to which shingles of the benchmark, or the texts that matter to it, are broadcast.
-BROADCAST_SHINGLES, BROADCAST_TEXTS = 1_000_000, 100_000
-BITS = 64
+BITS, BLOCKS, RADIUS = 64, 8, 23
+#: Rows up to which the benchmark's index, or the texts that matter to it, are broadcast.
+BROADCAST_ROWS, BROADCAST_TEXTS = 1_000_000, 100_000
+#: A bit and the one 32 places on, so that a sum counts both at once, for up to four billion shingles.
+LANES = 0x0000000100000001
 
 
 def words_of(text: str) -> Column:
@@ -48,73 +56,82 @@ def shingles_of(words: str, size: int = WORDS) -> Column:
 
 def simhash(shingles: str) -> Column:
     """64 votes over the shingles, each occurrence a vote."""
-    s, none = F.col(shingles), F.lit(0).cast("bigint")
+    s, half = F.col(shingles), BITS // 2
+    votes = F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda k: F.aggregate(s, F.lit(0).cast("bigint"), lambda acc, h: acc + F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(LANES))))
+
+    def bit(count: Column, place: Column) -> Column:
+        return F.when(count * 2 > F.size(s), F.call_function("shiftleft", F.lit(1).cast("bigint"), place)).otherwise(F.lit(0).cast("bigint"))
+
+    won = F.transform(votes, lambda v, k: bit(v.bitwiseAND(F.lit((1 << half) - 1)), k).bitwiseOR(bit(F.shiftrightunsigned(v, half), k + half)))
+    return F.aggregate(won, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
+
 
-    def won(bit: Column) -> Column:
-        return F.aggregate(s, F.lit(0), lambda votes, h: votes + F.when(F.getbit(h, bit) == 1, 1).otherwise(-1)) > 0
+def counted(shingles: str) -> Column:
+    """The shingles as a set: the k-th occurrence of one is a member of its own, so weights add up in plain intersections."""
+    s = F.array_sort(shingles)
+    apart = F.transform(s, lambda h, i: F.xxhash64(h, i - F.array_position(s, h)))
+    return F.when(F.size(F.array_distinct(shingles)) == F.size(shingles), F.transform(shingles, lambda h: F.xxhash64(h, F.lit(-1).cast("bigint")))).otherwise(apart)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), none, lambda acc, bit: acc.bitwiseOR(F.when(won(bit), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).otherwise(none)))
 
+def blocks_of(fingerprint: str, near: int = 0) -> Column:
+    """(number, value) of each block of a fingerprint, and of every value that differs by at most ``near`` bits."""
+    width, f = BITS // BLOCKS, F.col(fingerprint)
+    masks = F.array(*(F.lit(sum(1 << b for b in bits)).cast("bigint") for k in range(near + 1) for bits in combinations(range(width), k)))
 
-def blocks_of(fingerprint: str, radius: int) -> Column:
-    """(number, value) of each block of a fingerprint; there is one block more than the radius."""
-    edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    f = F.col(fingerprint)
-    return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(f, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint")).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:]))))
+    def near_values(i: int) -> Column:
+        own = F.shiftrightunsigned(f, i * width).bitwiseAND(F.lit((1 << width) - 1))
+        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("block"), own.bitwiseXOR(m).alias("value")))
 
+    return F.flatten(F.array(*(near_values(i) for i in range(BLOCKS))))
 
-def weighted_similarity(a: str, b: str) -> Column:
-    """The sum of the smaller weights over the sum of the larger; a weight is how often a shingle occurs."""
-    x, y = F.col(a), F.col(b)
-    times = lambda s, h: F.size(F.filter(s, lambda v: v == h))
-    both = F.aggregate(F.array_intersect(x, y), F.lit(0), lambda acc, h: acc + F.least(times(x, h), times(y, h)))
-    return both / (F.size(x) + F.size(y) - both)
 
+def with_blocks(df: DataFrame, near: int = 0) -> DataFrame:
+    return df.withColumn("x", F.explode(blocks_of("fingerprint", near))).select("*", "x.block", "x.value").drop("x")
 
-def enough_from(x: Column, i: Column, threshold: float) -> Column:
-    """Whether the window from x, the i-th of the sorted ``held``, holds threshold x the item's shingles: fewer can't be that similar."""
-    size = x["n_words"] - (WORDS - 1)
-    last = F.get(F.col("held"), i + F.greatest(F.ceil(size * threshold - 1e-6), F.lit(1)).cast("int") - 1)
-    return F.coalesce((last["n_words"] == x["n_words"]) & (last["start"] - x["start"] < size), F.lit(False))
 
+def starts_of(threshold: float) -> Column:
+    """Places from which a window of n_words words holds enough of ``held``, the sorted places of shingles of items.
 
-def with_blocks(df: DataFrame, radius: int) -> DataFrame:
-    return df.withColumn("x", F.explode(blocks_of("fingerprint", radius))).select("*", "x.block", "x.value").drop("x")
+    Of the window's w shingles and the item's m, c must be shared with c >= threshold (m + w - c).
+    """
+    whole = F.col("n_words") - (WORDS - 1)
+
+    def enough(p: Column, i: Column) -> Column:
+        own = F.least(whole, F.col("n_shingles") - p)
+        need = F.ceil((whole + own) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6)).cast("int")
+        return F.coalesce(F.get("held", i + F.greatest(need, F.lit(1)) - 1) < p + own, F.lit(False))
+
+    return F.filter("held", enough)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """Per document and item that it holds: doc_id, text_key, item_id, start, n_words and similarity of the best window.
 
-    text_key: the hash of the document's text. start: the number of the window's first word, from 0; of
-    equally similar windows it is the first that has a shingle at its place in the item, or else the
-    first. Equal texts are looked at once.
+    text_key: the hash of the document's text. start: the number of the window's first word, from 0. Equal texts, and
+    equal items, are looked at once.
     """
-    items = pick(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", words_of("text").alias("words"))
-    items = items.where(F.size("words") >= WORDS).select("item_id", F.size("words").alias("n_words"), shingles_of("words").alias("shingles")).distinct()
-    items = saved(items.withColumn("fingerprint", simhash("shingles")), "items")
-    places = items.select("n_words", F.posexplode("shingles").alias("q", "hash")).distinct()
-    small = places.count() <= BROADCAST_SHINGLES
-
-    def light(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if small else df
+    told = pick(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", words_of("text").alias("words"))
+    told = told.where(F.size("words") >= WORDS).select("item_id", F.size("words").alias("n_words"), shingles_of("words").alias("shingles")).withColumn("item", F.xxhash64("shingles"))
+    told = saved(told, "told")
+    items = told.groupBy("item").agg(F.first("n_words").alias("n_words"), F.first("shingles").alias("shingles"))
+    items = saved(items.select("item", "n_words", "shingles", simhash("shingles").alias("fingerprint"), counted("shingles").alias("members")), "items")
+    places = saved(items.select("n_words", F.explode("shingles").alias("hash")).distinct(), "places")
 
     keyed = pick(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
-    shingles = keyed.select("text_key", words_of("text").alias("words")).select("text_key", F.posexplode(shingles_of("words")).alias("p", "hash"))
-    at_place = F.struct("n_words", F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start"))
-    anchors = shingles.join(light(places), "hash").groupBy("text_key").agg(F.collect_set(at_place).alias("placed"), F.array_sort(F.collect_set(F.struct("n_words", F.col("p").alias("start")))).alias("held"))
-    anchors = anchors.select("text_key", "placed", F.filter("held", lambda x, i: enough_from(x, i, threshold)).alias("full"))
-    marked = [F.transform(found, lambda x, k=k: F.struct(x["start"].alias("start"), x["n_words"].alias("n_words"), F.lit(k).alias("placed"))) for found, k in ((F.col("placed"), True), (F.array_except("full", "placed"), False))]
-    anchors = saved(anchors.select("text_key", F.concat(*marked).alias("starts")), "anchors")
-    texts = keyed.join(F.broadcast(anchors) if anchors.count() <= BROADCAST_TEXTS else anchors, "text_key").select("text_key", "starts", words_of("text").alias("words"))
-    held = texts.select("text_key", "words", F.explode("starts").alias("at")).select("text_key", "at.start", "at.n_words", "at.placed", F.slice("words", F.col("at.start") + 1, F.col("at.n_words")).alias("words"))
-    windows = held.where(F.size("words") >= WORDS).select("text_key", "start", "n_words", "placed", shingles_of("words").alias("shingles")).dropDuplicates(["text_key", "start", "n_words"])
-    windows = saved(windows.withColumn("fingerprint", simhash("shingles")), "fingerprints")
-
-    sought = with_blocks(items.select("item_id", "n_words", "fingerprint"), radius).withColumnRenamed("fingerprint", "item_fingerprint")
-    met = with_blocks(windows.select("text_key", "start", "n_words", "fingerprint"), radius).join(light(sought), ["n_words", "block", "value"])
-    pairs = met.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= radius).select("text_key", "start", "n_words", "item_id").distinct()
-    both = pairs.join(windows.select("text_key", "start", "n_words", "placed", "shingles"), ["text_key", "start", "n_words"]).join(light(items.select("item_id", F.col("shingles").alias("item_shingles"), F.col("n_words").alias("item_words"))), "item_id")
-    alike = both.where(F.col("n_words") == F.col("item_words")).withColumn("similarity", weighted_similarity("shingles", "item_shingles")).where(F.col("similarity") >= threshold)
-    best = alike.groupBy("text_key", "item_id").agg(F.max(F.struct("similarity", "placed", (-F.col("start")).alias("before"), "n_words")).alias("best"))
-    best = saved(best.select("text_key", "item_id", (-F.col("best.before")).cast("int").alias("start"), "best.n_words", "best.similarity"), "leaks")
-    return keyed.select("doc_id", "text_key").join(F.broadcast(best) if best.count() <= BROADCAST_TEXTS else best, "text_key").select("doc_id", "text_key", "item_id", "start", "n_words", "similarity").distinct()
+    shingles = keyed.select("text_key", words_of("text").alias("words")).select("text_key", (F.size("words") - (WORDS - 1)).alias("n_shingles"), F.posexplode(shingles_of("words")).alias("p", "hash"))
+    hits = shingles.join(light(places, BROADCAST_ROWS), "hash").groupBy("text_key", "n_words").agg(F.max("n_shingles").alias("n_shingles"), F.array_sort(F.collect_set("p")).alias("held"))
+    starts = saved(hits.select("text_key", "n_words", starts_of(threshold).alias("starts")).where(F.size("starts") > 0).groupBy("text_key").agg(F.collect_list(F.struct("n_words", "starts")).alias("starts")), "starts")
+    texts = keyed.join(light(starts, BROADCAST_TEXTS), "text_key").groupBy("text_key").agg(F.first("text").alias("text"), F.first("starts").alias("starts"))
+    texts = texts.select("text_key", "starts", words_of("text").alias("words")).select("text_key", F.explode("starts").alias("of"), shingles_of("words").alias("all"))
+    windows = texts.select("text_key", "of.n_words", "all", F.explode("of.starts").alias("start")).select("text_key", "n_words", "start", F.slice("all", F.col("start") + 1, F.col("n_words") - (WORDS - 1)).alias("shingles"))
+    windows = saved(windows.select("text_key", "n_words", "start", simhash("shingles").alias("fingerprint"), counted("shingles").alias("members")), "windows")
+
+    sought = saved(with_blocks(items.select("item", "n_words", F.col("fingerprint")), radius // BLOCKS).withColumnRenamed("fingerprint", "item_fingerprint"), "blocks")
+    met = with_blocks(windows.select("text_key", "n_words", "start", "fingerprint")).join(light(sought, BROADCAST_ROWS), ["n_words", "block", "value"])
+    pairs = met.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= radius).select("text_key", "n_words", "start", "item").distinct()
+    both = pairs.join(windows.select("text_key", "n_words", "start", "members"), ["text_key", "n_words", "start"]).join(light(items.select("item", F.col("members").alias("item_members")), BROADCAST_ROWS // 100), "item")
+    shared = F.size(F.array_intersect("members", "item_members"))
+    alike = both.withColumn("similarity", shared / (F.size("members") + F.size("item_members") - shared)).where(F.col("similarity") >= threshold)
+    best = alike.groupBy("text_key", "item", "n_words").agg(F.max(F.struct("similarity", "start")).alias("best"))
+    best = saved(best.join(told.select("item", "item_id").distinct(), "item").select("text_key", "item_id", "best.start", "n_words", "best.similarity"), "leaks")
+    return keyed.select("doc_id", "text_key").join(light(best, BROADCAST_TEXTS), "text_key").select("doc_id", "text_key", "item_id", "start", "n_words", "similarity").distinct()

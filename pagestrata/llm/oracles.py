@@ -23,19 +23,20 @@ o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM h a JOIN h b ON a.
 links AS (SELECT o.a, o.b FROM o JOIN s x ON x.doc_id = o.a JOIN s y ON y.doc_id = o.b WHERE 100 * o.n >= 80 * (len(x.s) + len(y.s) - o.n)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.b) AS component_id FROM s JOIN reach r ON r.a = s.doc_id GROUP BY 1, 2""",
+    # every window that shares a shingle with an item; the others have similarity 0
     "op3_benchmark_leaks": r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-ds AS (SELECT doc_id, unnest(range(0, len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda k: hash(array_to_string(w[k:k + 4], ' ')))) AS h FROM d WHERE len(w) >= 5),
-iss AS (SELECT item_id, len(w) AS n, unnest(range(0, len(w) - 4)) AS q, unnest(list_transform(range(1, len(w) - 3), lambda k: hash(array_to_string(w[k:k + 4], ' ')))) AS h FROM i WHERE len(w) >= 5),
-win AS (SELECT DISTINCT doc_id, greatest(p - q, 0) AS start, n FROM ds JOIN iss USING (h)),
-wh AS (SELECT doc_id, start, n, h, count(*) AS c FROM win JOIN ds USING (doc_id) WHERE p >= start AND p <= start + n - 5 GROUP BY ALL),
-ws AS (SELECT doc_id, start, n, sum(c) AS total FROM wh GROUP BY ALL),
+ds AS (SELECT doc_id, len(w) - 4 AS k, unnest(range(0, len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda k: hash(array_to_string(w[k:k + 4], ' ')))) AS h FROM d WHERE len(w) >= 5),
+iss AS (SELECT item_id, len(w) AS n, unnest(list_transform(range(1, len(w) - 3), lambda k: hash(array_to_string(w[k:k + 4], ' ')))) AS h FROM i WHERE len(w) >= 5),
 ih AS (SELECT item_id, n, h, count(*) AS c FROM iss GROUP BY ALL),
-its AS (SELECT item_id, sum(c) AS total FROM ih GROUP BY ALL),
-both_of AS (SELECT doc_id, start, n, item_id, sum(least(wh.c, ih.c)) AS shared FROM wh JOIN ih USING (n, h) GROUP BY ALL),
-sim AS (SELECT doc_id, item_id, start, n, shared::DOUBLE / (ws.total + its.total - shared)::DOUBLE AS similarity FROM both_of JOIN ws USING (doc_id, start, n) JOIN its USING (item_id))
-SELECT doc_id, item_id, start::INTEGER AS start, n::INTEGER AS n_words, similarity FROM sim WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1""",
+dh AS (SELECT doc_id, h, count(*) AS c FROM ds GROUP BY ALL),
+cand AS (SELECT doc_id, item_id, n FROM dh JOIN ih USING (h) GROUP BY ALL HAVING sum(least(dh.c, ih.c)) >= 0.8 * (n - 4)),
+hits AS (SELECT ds.doc_id, ih.item_id, ih.n, ih.c AS ic, ds.k, ds.p, ds.h FROM ds JOIN ih USING (h) JOIN cand ON cand.doc_id = ds.doc_id AND cand.item_id = ih.item_id),
+win AS (SELECT doc_id, item_id, n, k, start, h, ic, count(*) AS c FROM (SELECT *, unnest(range(greatest(0, p - n + 5), p + 1)) AS start FROM hits) GROUP BY ALL),
+shared AS (SELECT doc_id, item_id, n, k, start, sum(least(c, ic)) AS s FROM win GROUP BY ALL),
+sim AS (SELECT *, s::DOUBLE / (n - 4 + least(n - 4, k - start) - s)::DOUBLE AS similarity FROM shared)
+SELECT doc_id, item_id, start::INTEGER AS start, n::INTEGER AS n_words, similarity FROM sim WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start DESC) = 1""",
     "op10_chat_masks": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),

@@ -54,5 +54,5 @@ def test_leaks_with_inserted_words(spark):
         texts.append((i, " ".join(draw.choices(WORDS, k=draw.choice((0, 9)))) + " " + " ".join(own) + " and so on and on"))
     want = plain_leaks(texts, items)
     assert {(i, n) for i, (n, _) in enumerate(items[:4])} <= {w[:2] for w in want}
-    got = ask(leaks(docs(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")), "doc_id", "item_id", "similarity")
-    assert [(d, k, round(x, 9)) for d, k, x in got] == want
+    got = ask(leaks(docs(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")), "doc_id", "item_id", "similarity", "start")
+    assert [(d, k, round(x, 9), start) for d, k, x, start in got] == want

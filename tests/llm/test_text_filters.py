@@ -136,18 +136,18 @@ def plain_leaks(texts, items):
                 window = Counter(grams(words[start : start + len(own)]))
                 total = sum((window | want).values())
                 s = sum((window & want).values()) / total if total else 0
-                if s >= 0.8 and s > found.get((d, k), (0, 0))[0]:
+                if s >= 0.8 and s >= found.get((d, k), (0, 0))[0]:
                     found[d, k] = (s, start)
-    return sorted(((d, k, round(s, 9)) for (d, k), (s, _) in found.items()), key=repr)
+    return sorted(((d, k, round(s, 9), start) for (d, k), (s, start) in found.items()), key=repr)
 
 
-@pytest.mark.parametrize("limit", [op3_leaks.BROADCAST_SHINGLES, 0])
+@pytest.mark.parametrize("limit", [op3_leaks.BROADCAST_ROWS, 0])
 def test_leaks(spark, monkeypatch, limit):
-    monkeypatch.setattr(op3_leaks, "BROADCAST_SHINGLES", limit)
+    monkeypatch.setattr(op3_leaks, "BROADCAST_ROWS", limit)
     monkeypatch.setattr(op3_leaks, "BROADCAST_TEXTS", limit)
     draw = random.Random(8)
     words = [chr(97 + i % 26) + chr(97 + i // 26) for i in range(120)]
-    items = [(i, " ".join(draw.choices(words, k=draw.choice((5, 8, 20, 45))))) for i in range(8)]
+    items = [(i, " ".join(draw.choices(words, k=draw.choice((5, 8, 20, 45))))) for i in range(7)] + [(7, " ".join(draw.choices(words, k=100)))]
     items += [(90, "too short"), (91, None), (92, ""), (3, items[3][1])]
     texts = []
     for i in range(60):
@@ -156,14 +156,20 @@ def test_leaks(spark, monkeypatch, limit):
             leak = draw.choice(items[:8])[1].split()
             for _ in range(draw.choice((0, 0, 0, 1, 2))):
                 leak[draw.randrange(len(leak))] = draw.choice(words)
-            if draw.random() < 0.3:
+            kind = draw.random()
+            if kind < 0.2:
                 leak = leak[1:]
+            elif kind < 0.4:  # rotated, or split by other words
+                half = draw.randrange(len(leak))
+                leak = leak[half:] + leak[:half] if kind < 0.3 else leak[:half] + draw.choices(words, k=draw.randint(1, 4)) + leak[half:]
             at = draw.randint(0, len(own))
             own[at:at] = [w.upper() + "," for w in leak]
         texts.append((i, " ".join(own)))
+    long = items[7][1].split()
+    texts += [(64 + k, " ".join([*own[:9], *long[k:], *draw.choices(words, k=k % 3), *long[:k], *own[:9]])) for k in range(2, 40, 7)]
     texts += [(60, None), (61, ""), (62, LONG), (63, f"before {items[0][1]}"), (63, f"before {items[0][1]}")]
     benchmark = spark.createDataFrame([(*x, 1) for x in items], "item_id bigint, text string, shingles int")
-    got = [(d, k, round(s, 9)) for d, k, s in ask(leaks(docs(spark, texts, clash=True), benchmark), "doc_id", "item_id", "similarity")]
+    got = [(d, k, round(s, 9), start) for d, k, s, start in ask(leaks(docs(spark, texts, clash=True), benchmark), "doc_id", "item_id", "similarity", "start")]
     want = plain_leaks(texts, items)
     assert len(want) >= 15 and sorted(got, key=repr) == want
 
