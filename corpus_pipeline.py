@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.llm.common import DOCUMENT_COLUMNS, pick, read, saved
+from pagestrata.llm.common import DOCUMENT_COLUMNS, light, pick, read, saved
 from pagestrata.llm.op1_lines import without_boilerplate
 from pagestrata.llm.op3_leaks import BROADCAST_TEXTS, leaks
 from pagestrata.llm.op6_language import UNKNOWN, languages
@@ -59,7 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = saved(leaks(docs, read(spark, sf_dir, "benchmark")).select("text_key").distinct(), "leaking")
     keyed = pick(docs, *DOCUMENT_COLUMNS).withColumn("text_key", F.xxhash64("text"))
-    return keyed.join(F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found, "text_key", "left_anti").select(*DOCUMENT_COLUMNS)
+    return keyed.join(light(found, BROADCAST_TEXTS), "text_key", "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
