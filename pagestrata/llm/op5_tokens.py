@@ -6,12 +6,17 @@ its lowest-ranked adjacent pair, and all of them merge that pair at the same tim
 a known pair leave the array. A count is what survives. Counts of seen pre-tokens are kept in a
 table of bounded size, so that common ones are merged once per worker.
 
-Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows are counted each; an
-empty table gives an empty result; further columns are ignored. A text's length is not limited.
+A pre-token of more than ``LONG`` bytes is merged in an array of its own: its places are kept by the rank of the pair
+that starts there, and a round touches the places of its lowest rank and their neighbours only, not the whole sequence.
+
+Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows are counted each; of equal pairs the
+left one is merged first; texts and words of any length are counted whole; an empty table gives an empty result;
+further columns, also with clashing names, are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -28,6 +33,8 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x2
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 #: Pre-tokens of which a worker remembers the counts.
 REMEMBERED = 400_000
+#: Bytes from which on a pre-token is merged by itself.
+LONG = 1000
 #: Characters of text after which a block of pre-tokens is merged.
 BLOCK_CHARS = 2_000_000
 
@@ -61,8 +68,74 @@ class RankMerger:
         self.ranks = np.append(np.array(ranks, np.int64)[order], self.never)
         self.made = np.append(np.array(made, np.int64)[order], -1)
 
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each pair of symbols and where it is known; ``never`` if it isn't."""
+        pair = left * self.width + right
+        at = np.searchsorted(self.keys, pair)
+        return np.where(self.keys[at] == pair, self.ranks[at], self.never), at
+
+    def long_count(self, word: bytes) -> int:
+        """How many symbols a long word keeps: rounds by rising rank over a linked sequence."""
+        data = np.frombuffer(word, np.uint8)
+        sym = self.inner[data]
+        sym[-1] = self.final[data[-1]]
+        sym = sym[sym >= 0]
+        n = len(sym)
+        following, before = np.arange(1, n + 2), np.arange(-1, n)  # place n is the end, and -1 stands for it on the left
+        sym = np.append(sym, -1)
+        now = np.full(n + 1, self.never)  # the rank of the pair that starts at each place
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def file(at: np.ndarray, rank: np.ndarray) -> None:
+            now[at] = rank
+            known = rank < self.never
+            at, rank = at[known], rank[known]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            edges = np.flatnonzero(rank[1:] != rank[:-1]) + 1 if len(rank) else []
+            for part in np.split(at, edges) if len(rank) else ():
+                r = int(now[part[0]])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(ranks, r)
+                places[r].append(part)
+
+        if n > 1:
+            file(np.arange(n - 1), self.rank_of(sym[: n - 1], sym[1:n])[0])
+        left = n
+        while ranks:
+            rank = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(rank)))
+            at = at[now[at] == rank]
+            if not len(at):
+                continue
+            if len(at) > 1:  # of pairs that overlap, every second one from the left
+                head = np.append(True, following[at[:-1]] != at[1:])
+                run = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - run) % 2 == 0]
+            gone = following[at]
+            _, key = self.rank_of(sym[at], sym[gone])
+            sym[at] = self.made[key]
+            now[gone] = self.never
+            following[at] = after = following[gone]
+            before[after] = at
+            left -= len(at)
+            own = at[after < n]
+            now[at] = self.never
+            near = before[at]
+            near = near[near >= 0]
+            touched = np.unique(np.concatenate([own, near]))
+            file(touched, self.rank_of(sym[touched], sym[following[touched]])[0])
+        return left
+
     def counts(self, words: list[bytes]) -> np.ndarray:
         """How many symbols each word keeps."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            rest = self.counts([b"" if len(w) > LONG else w for w in words])
+            rest[long] = [self.long_count(words[i]) for i in long]
+            return rest
         out = np.zeros(len(words), np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         if not sizes.sum():

@@ -1,6 +1,7 @@
 """op5 and op8: counts and ids against the library tokenizers, packing by its rules."""
 
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -9,6 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from pagestrata.llm import op5_tokens
 from pagestrata.llm.op5_tokens import RankMerger, TokenCounter, token_counts
 from pagestrata.llm.op8_packing import TIERS, Encoder, Packer, packed
 
@@ -40,6 +42,25 @@ def test_ids_are_the_librarys():
 def test_overlapping_pairs_merge_from_the_left():
     merger = RankMerger({"a": 0, "aa": 1, "aaa": 2, "aaaa": 3}, [["a", "a"], ["aa", "a"], ["aa", "aa"]])
     assert merger.counts([b"a" * n for n in range(8)]).tolist() == [0, 1, 1, 1, 1, 2, 2, 2]
+    assert [merger.long_count(b"a" * n) for n in range(1, 8)] == [1, 1, 1, 1, 2, 2, 2]
+
+
+def test_long_words(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    draw = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(draw.choices(letters[:k], k=n)) for n in (2, 3, 30, 400, 1001, 5000) for k in (2, 5, 26)]
+    words += ["é" * 700 + "日本語" * 900, "a" * 3001, "ab" * 2500, "".join(draw.choices(["the", "ing", "tion", "anti", "zq"], k=3000))]
+    library = Tokenizer.from_file(path)
+    want = [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+    counter = TokenCounter(path)
+    assert counter.count(words) == want
+    monkeypatch.setattr(op5_tokens, "LONG", 0)
+    assert TokenCounter(path).count(words) == want
+    began = time.process_time()
+    word = "".join(draw.choices(letters, k=100_000))
+    assert counter.count([word]) == [len(library.encode(word, add_special_tokens=False).ids)]
+    assert time.process_time() - began < 20
 
 
 def test_counts_edge_cases(spark):
