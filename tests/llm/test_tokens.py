@@ -3,7 +3,7 @@
 import random
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from pagestrata.llm import op5_tokens
 from pagestrata.llm.op5_tokens import RankMerger, TokenCounter, token_counts
-from pagestrata.llm.op8_packing import TIERS, Encoder, Packer, packed
+from pagestrata.llm.op8_packing import STEP_TOKENS, TIERS, Encoder, Packer, packed
 
 from .helpers import LONG, ask, docs
 
@@ -99,15 +99,40 @@ def check_packing(rows, texts, path):
     return padding
 
 
+def check_groups(rows):
+    """Groups of a tier differ by one sequence at most, none weighs more than a step, and none has two tiers."""
+    tier = {r["sequence_id"]: r["tier"] for r in rows}
+    group = {r["sequence_id"]: r["step_group"] for r in rows}
+    by = defaultdict(list)
+    for s, g in group.items():
+        by[g].append(tier[s])
+    assert sorted(by) == list(range(len(by))) and all(len(set(t)) == 1 and sum(t) <= STEP_TOKENS for t in by.values())
+    for t in set(tier.values()):
+        sizes = [len(g) for g in by.values() if g[0] == t]
+        assert max(sizes) - min(sizes) <= 1
+
+
 def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     draw = random.Random(5)
-    texts = dict(enumerate(["", None, LONG, *(" ".join(draw.choices(["alpha", "beta", "gamma,", "42"], k=draw.randint(1, 900))) for _ in range(120))]))
-    rows = packed(docs(spark, list(texts.items()), clash=True).coalesce(2), path).collect()
+    texts = dict(enumerate(["", None, LONG, *(" ".join(draw.choices(["alpha", "beta", "gamma,", "42"], k=draw.choice((30, 100, 300, 900, 2000)) + draw.randint(1, 90))) for _ in range(220))]))
+    rows = packed(docs(spark, list(texts.items()), clash=True).repartition(2), path).collect()
     assert check_packing(rows, texts, path) <= 2 * 2048  # at most one padded sequence a partition
+    check_groups(rows)
+    used = Counter(t for _, t in {(r["sequence_id"], r["tier"]) for r in rows})
+    assert all(used[t] >= 3 for t in TIERS)
+    whole = [r for r in rows if r["doc_tokens"] <= 2048]
+    assert sum(r["length"] == r["doc_tokens"] for r in whole) >= 0.5 * len({r["doc_id"] for r in whole})
     assert packed(docs(spark, ["x"]).limit(0), path).count() == 0
 
 
+def test_other_vocabularies_are_left_to_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = Encoder(path)
+    assert encoder.codec is None and Encoder(public_tokenizers.path("byte_bpe_50k.json")).codec is not None
+    assert encoder.encode("Hello there").tolist() == Tokenizer.from_file(path).encode("Hello there", add_special_tokens=False).ids
+
+
 def test_packing_repeated_and_unnamed_rows(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = packed(docs(spark, [(None, "one two"), (7, "one two"), (7, "one two")]).coalesce(1), path).collect()
