@@ -3,7 +3,7 @@
 A line goes down a tree of fixed depth: first by its number of tokens, then by its leading tokens. A
 token that holds a digit is a variable field and becomes ``<*>`` on the way. In the leaf, templates
 leave further fields open: of a line of 5 to 11 tokens one token behind the leading ones, of a longer
-line two of the four segments behind them, of a shorter line nothing. So lines that agree in the rest share
+line two of the four segments behind them (the halves, and every second one), of a shorter line nothing. So lines that agree in the rest share
 a template whatever their fields hold. Every template of a line is made from the line alone, hence a
 template's documents can be counted anywhere and in any order.
 
@@ -44,12 +44,12 @@ LETTER = regex.compile(r"\p{L}").search
 FIELD = "<*>"
 #: Leading tokens of a leaf, and the tokens from which on a line has open tokens, and open segments.
 DEPTH, SHORT, MIDDLE, SEGMENTS = 2, 5, 12, 4
-#: Pairs of segments that a long line keeps.
-KEPT = [(a, b) for a in range(SEGMENTS) for b in range(a)]
+#: Pairs of segments that a long line keeps: whatever segment has fields, and of most pairs of segments both, are open in one.
+KEPT = ((0, 1), (2, 3), (0, 2), (1, 3))
 #: Lines of so many tokens recur from two documents on.
 LONG = 50
-#: Templates or texts up to which a list of them is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Templates, and texts with lines to drop, up to which a list of them is broadcast.
+BROADCAST_ROWS, BROADCAST_TEXTS = 50_000, 2_000
 WRAP = (1 << 64) - 1
 digest = xxhash.xxh3_64_intdigest
 
@@ -120,7 +120,8 @@ def boilerplate(keyed: DataFrame, min_docs: int, min_docs_long: int, copies_once
     if copies_once:
         shares = hits.dropDuplicates(["text_key", "line"]).groupBy("text_key").agg((F.sum("n") / F.max("total")).alias("share"))
         alike = saved(shares.where(F.col("share") >= copy_share).select("text_key"), "alike")
-        compared = keyed.join(light(alike, BROADCAST_ROWS), "text_key", "left_semi").select(F.col("text_key").alias("doc_id"), "text")
+        compared = keyed.join(light(alike, BROADCAST_ROWS), "text_key", "left_semi").select(F.col("text_key").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+        compared = saved(compared, "compared")
         groups = saved(jaccard_components(compared).where("`group` IS NOT NULL").select("text_key", "group").distinct(), "copies")
         hits = saved(hits.join(light(groups, BROADCAST_ROWS), "text_key", "left").withColumn("origin", F.coalesce("group", "text_key")), "origins")
         found = saved(recurring(hits, "origin", min_docs, min_docs_long), "recurring-once")
@@ -136,11 +137,9 @@ def without_boilerplate(docs: DataFrame, min_docs: int = 3, min_docs_long: int =
     kept = [c for c in dict.fromkeys(["doc_id", *keep]) if c != "text"]
     keyed = pick(docs, *kept, "text").withColumn("text_key", F.xxhash64("text"))
     drops = boilerplate(keyed, min_docs, min_docs_long, copies_once, copy_share)
-    met = keyed.join(light(drops, BROADCAST_ROWS // 10), "text_key", "left")
-    lines = F.split("text", "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "drop"), lambda i: F.get("lines", i))
-    gone = F.col("drop").isNotNull() & F.col("text").isNotNull()
-    met = met.withColumn("lines", F.when(gone, lines))
+    met = keyed.join(light(drops, BROADCAST_TEXTS), "text_key", "left")
+    gone = F.col("drop").isNotNull()
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop", i))
     return met.select(
         *kept, F.when(gone, F.array_join(left, "\n")).otherwise(F.col("text")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines"),
