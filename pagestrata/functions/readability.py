@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from .numbers import clamp, size
-from .steps import once
+from .steps import bind, once
 from .text import squeezed
 
 VOWELS = "[aeiouyäöüáéíóúàèìòùâêîôûãõ]"
@@ -90,6 +90,17 @@ def with_readability(df: DataFrame, blocks: Column, lang: Column, name: str = "r
     return df.withColumn(name, F.when((F.char_length(F.array_join(kept, " ")) >= 50) & raw.isNotNull(), made)).drop(*step)
 
 
+def block_readability(block: Column, english: Column) -> Column:
+    """struct(score, raw, formula) of one block, as with_readability tells it."""
+
+    def rated(x: Column) -> Column:
+        raw = F.when(english, flesch(x["words"], x["sentences"])).otherwise(lix(x["words"], x["sentences"]))
+        return bind(raw, lambda r: F.struct(clamp(F.when(english, (r - 30) / F.lit(60.0)).otherwise((F.lit(65.0) - r) / F.lit(25.0))).alias("score"), r.alias("raw"), F.when(english, F.lit("flesch")).otherwise(F.lit("lix")).alias("formula")))
+
+    made = bind(F.struct(block_words(block).alias("words"), block_sentences(block).alias("sentences")), rated)
+    return F.when((F.char_length(squeezed(block)) >= 50) & made["raw"].isNotNull(), made)
+
+
 def stats(blocks: Column) -> Column:
     """struct(words, sentences, longWords, syllables), syllables by English rules."""
     words, sentences = text_words(blocks), sentence_count(blocks)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +17,8 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """
     made = F.inline_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
     return df.select("*", made)
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, inside an expression where no column can be added."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)

@@ -11,9 +11,10 @@ from ..functions import text as X
 LONG_PARAGRAPH = 500
 
 
-def rows(condition: Column, elements: Column) -> Column:
-    """struct(path, label, value) of the elements, if the finding fired. elements: array<struct<path, label, value>>."""
-    return F.when(condition, elements).otherwise(F.array().cast("array<struct<path: string, label: string, value: string>>"))
+def rows(finding: Column, fired: Column, elements: Column) -> Column:
+    """struct(finding, path, label, value) of the elements, if the finding fired. elements: array<struct<path, label, value>>."""
+    named = F.transform(elements, lambda m: F.struct(finding.alias("finding"), m["path"].alias("path"), m["label"].alias("label"), m["value"].alias("value")))
+    return F.when(fired, named).otherwise(F.array().cast("array<struct<finding: string, path: string, label: string, value: string>>"))
 
 
 def mark(path: Column, label: str | Column, value: Column | None = None) -> Column:
@@ -34,18 +35,17 @@ def highlight_targets(results: DataFrame, *keys: str) -> DataFrame:
     texts = F.arrays_zip(F.col("paragraphs").alias("text"), F.col("paths.paragraphs").alias("at"))
     long = F.filter(texts, lambda p: F.char_length(p["text"]) > LONG_PARAGRAPH)
     claims = F.filter(texts, lambda p: X.is_fact(p["text"]) & (X.citation_count(p["text"]) == 0) & ~p["at"]["sourced"])
-    found = F.map_from_arrays(
-        F.array(*map(F.lit, ("images_missing_alts", "bad_hierarchy", "low_scanability", "no_h1", "no_sourced_claims", "no_key_info_upfront"))),
-        F.array(
-            rows(has("images_missing_alts"), F.transform("paths.images", lambda p: mark(p, "missing_alt"))),
-            rows(has("bad_hierarchy"), F.transform(breaks, lambda h: mark(h["path"], F.when(extra(h), "extra_h1").otherwise("heading_jump"), h["level"]))),
-            rows(has("low_scanability"), F.transform(long, lambda p: mark(p["at"]["path"], "long_paragraph", F.char_length(p["text"])))),
-            rows(has("no_h1"), F.transform(titles, lambda h: mark(h["path"], F.when(h["n"] < 5, "h1_too_short").when(h["n"] > 150, "h1_too_long").otherwise("extra_h1"), h["n"]))),
-            rows(has("no_sourced_claims"), F.transform(claims, lambda p: mark(p["at"]["path"], "unsourced_claim"))),
-            rows(has("no_key_info_upfront"), F.transform(F.slice("paths.paragraphs", 1, 1), lambda p: mark(p["path"], "key_info"))),
-        ),
-    )
-    placed = results.select(*keys, F.explode_outer(found).alias("finding", "marks")).select(*keys, "finding", F.explode_outer("marks").alias("m")).where("m IS NOT NULL").select(*keys, "finding", "m.*")
-    hard = results.where(has("low_readability")).select(*keys, R.content_language(F.col("lang"), F.col("paragraphs")).alias("_lang"), F.explode_outer(texts).alias("p"))
-    hard = R.with_readability(hard, F.array("p.text"), F.col("_lang"), "_r").where(F.col("_r.score") < 0.5)
-    return placed.unionByName(hard.select(*keys, F.lit("low_readability").alias("finding"), F.col("p.at.path").alias("path"), F.concat(F.lit("read_band_"), R.band(F.col("_r.raw"), F.col("_r.formula"))).alias("label"), F.col("_r.raw").cast("string").alias("value")))
+    english = F.coalesce(R.content_language(F.col("lang"), F.col("paragraphs")) == "en", F.lit(False))
+    rated = F.transform(texts, lambda p: F.struct(p["at"]["path"].alias("path"), R.block_readability(p["text"], english).alias("r")))
+    hard = F.filter(rated, lambda p: F.coalesce(p["r"]["score"] < 0.5, F.lit(False)))
+    places = {
+        "images_missing_alts": F.transform("paths.images", lambda p: mark(p, "missing_alt")),
+        "bad_hierarchy": F.transform(breaks, lambda h: mark(h["path"], F.when(extra(h), "extra_h1").otherwise("heading_jump"), h["level"])),
+        "low_scanability": F.transform(long, lambda p: mark(p["at"]["path"], "long_paragraph", F.char_length(p["text"]))),
+        "no_h1": F.transform(titles, lambda h: mark(h["path"], F.when(h["n"] < 5, "h1_too_short").when(h["n"] > 150, "h1_too_long").otherwise("extra_h1"), h["n"])),
+        "no_sourced_claims": F.transform(claims, lambda p: mark(p["at"]["path"], "unsourced_claim")),
+        "no_key_info_upfront": F.transform(F.slice("paths.paragraphs", 1, 1), lambda p: mark(p["path"], "key_info")),
+        "low_readability": F.transform(hard, lambda p: mark(p["path"], F.concat(F.lit("read_band_"), R.band(p["r"]["raw"], p["r"]["formula"])), p["r"]["raw"])),
+    }
+    made = F.flatten(F.array(*(rows(F.lit(key), has(key), elements) for key, elements in places.items())))
+    return results.select(*keys, F.explode(made).alias("m")).select(*keys, "m.*")

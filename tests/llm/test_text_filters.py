@@ -65,7 +65,7 @@ def line_texts():
             lines.insert(draw.randrange(len(lines)), notice.replace("17", str(i)).replace("4711", str(i * 7)))
         if i % 6 == 0:
             own = passage.split()
-            own[40], own[10] = draw.choice(words), draw.choice(words)
+            own[40], own[15] = draw.choice(words), draw.choice(words)
             lines.append(" ".join(own))
         if i % 5 == 0:
             lines.append(f"Posted by {draw.choice(words).title()} in the forum")

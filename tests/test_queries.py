@@ -2,6 +2,10 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -27,6 +31,29 @@ def test_registry():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
+@pytest.mark.parametrize("gone", [("pagestrata/llm", "tests/llm"), ("pagestrata/llm", "tests/llm", "corpus_pipeline.py")])
+def test_registry_without_the_corpus_operators(tmp_path, gone):
+    copy = tmp_path / "copy"
+    skip = shutil.ignore_patterns("__pycache__", ".git", ".pytest_cache", "spark-warehouse")
+    shutil.copytree(Path(contract.__file__).parent, copy, ignore=skip)
+    for name in gone:
+        if (copy / name).is_dir():
+            shutil.rmtree(copy / name)
+        else:
+            (copy / name).unlink(missing_ok=True)
+    said = "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", said], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, check=True).stdout.splitlines()
+    assert out[0].split() == sorted(QUERIES) and out[1].split() == sorted(ORACLE_SQL)
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+def test_runs(spark, name):
+    """Queries without SQL run as they are registered."""
+    found = QUERIES[name](spark, DATA)
+    assert len(set(found.columns)) == len(found.columns) and found.collect()
+
+
 @needs_data
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows(spark, name):
