@@ -48,8 +48,8 @@ DEPTH, SHORT, MIDDLE, SEGMENTS = 2, 5, 12, 4
 KEPT = ((0, 1), (2, 3), (0, 2), (1, 3))
 #: Lines of so many tokens recur from two documents on.
 LONG = 50
-#: Templates, and texts with lines to drop, up to which a list of them is broadcast.
-BROADCAST_ROWS, BROADCAST_TEXTS = 50_000, 2_000
+#: Templates up to which a list of them is broadcast.
+BROADCAST_ROWS = 5_000
 WRAP = (1 << 64) - 1
 digest = xxhash.xxh3_64_intdigest
 
@@ -137,7 +137,8 @@ def without_boilerplate(docs: DataFrame, min_docs: int = 3, min_docs_long: int =
     kept = [c for c in dict.fromkeys(["doc_id", *keep]) if c != "text"]
     keyed = pick(docs, *kept, "text").withColumn("text_key", F.xxhash64("text"))
     drops = boilerplate(keyed, min_docs, min_docs_long, copies_once, copy_share)
-    met = keyed.join(light(drops, BROADCAST_TEXTS), "text_key", "left")
+    # dealt out by text at every size: the list grows with the documents
+    met = keyed.join(drops.hint("merge"), "text_key", "left")
     gone = F.col("drop").isNotNull()
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop", i))
     return met.select(

@@ -81,7 +81,6 @@ def line_texts():
 @pytest.mark.parametrize("limit, copies_once", [(op1_lines.BROADCAST_ROWS, True), (0, True), (op1_lines.BROADCAST_ROWS, False)])
 def test_lines(spark, monkeypatch, limit, copies_once):
     monkeypatch.setattr(op1_lines, "BROADCAST_ROWS", limit)
-    monkeypatch.setattr(op1_lines, "BROADCAST_TEXTS", limit)
     texts = line_texts()
     want = sorted(((i, *row) for i, row in enumerate(plain_lines(texts, copies_once=copies_once))), key=repr)
     assert sum(bool(r[3]) for r in want) >= 40
