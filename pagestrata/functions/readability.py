@@ -20,32 +20,49 @@ def plain(block: Column) -> Column:
     return squeezed(F.regexp_replace(block, "<[^>]+>", " "))
 
 
-def block_words(block: Column) -> Column:
-    """Tokens of letters, digits and hyphens that hold a vowel."""
-    return F.filter(F.transform(F.split(plain(block), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}-]", "")), lambda w: w.rlike(f"(?iu){VOWELS}"))
+#: A token that holds a vowel, one of them with more than six letters, digits and hyphens, and a sentence of a block.
+WORD = rf"(?iu)(?<!\S)\S*?{VOWELS}\S*+"
+LONG_WORD = rf"(?iu)(?<!\S)(?=\S*?{VOWELS})(?:[^\s\p{{L}}\p{{N}}-]*+[\p{{L}}\p{{N}}-]){{7}}\S*+"
+SENTENCE = r"(?![.!?…]+(?:\s|\z))\S(?:(?![.!?…]+(?:\s|\z))[^\n])*+"
+#: A word whose final e is silent in English: another vowel sound stands before it, and neither a vowel nor a consonant with l precedes.
+SILENT = rf"(?<!\S)(?=\S*{VOWELS}[^\s{VOWELS[1:]}\S*e(?!\S))(?!\S*[aeiouy]e(?!\S))(?!\S*[^aeiouy\s]le(?!\S))\S++"
 
 
-def block_sentences(block: Column) -> Column:
-    """Sentences of a block, whose end is one."""
-    return size(F.filter(F.split(plain(block), r"[.!?…]+(?:\s|$)"), lambda s: F.trim(s) != ""))
+def joined(blocks: Column) -> Column:
+    """Blocks without tags, a line each."""
+    return F.array_join(F.transform(blocks, plain), "\n")
 
 
-def text_words(blocks: Column) -> Column:
-    return F.flatten(F.transform(blocks, block_words))
+def counted(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
 
 
-def sentence_count(blocks: Column) -> Column:
-    return F.aggregate(F.transform(blocks, block_sentences), F.lit(0), lambda a, n: a + n)
+def word_count(lines: Column) -> Column:
+    """Tokens that hold a vowel. lines: as of joined."""
+    return counted(lines, WORD)
+
+
+def long_word_count(lines: Column) -> Column:
+    return counted(lines, LONG_WORD)
+
+
+def sentence_count(lines: Column) -> Column:
+    """Sentences of all blocks; a block's end is one."""
+    return counted(lines, SENTENCE)
+
+
+def syllable_count(lines: Column, lang: str = "en") -> Column:
+    """Runs of vowels in all words; German counts its vowel sounds, English drops a silent final e."""
+
+    def counts(low: Column) -> Column:
+        return counted(low, GERMAN_NUCLEI) if lang == "de" else counted(low, f"{VOWELS}+") - (counted(low, SILENT) if lang == "en" else 0)
+
+    return bind(F.lower(F.regexp_replace(lines, r"[^\p{L}\p{N}\s-]", "")), counts)
 
 
 def syllables(word: Column, lang: str = "en") -> Column:
-    """Runs of vowels; German counts its vowel sounds, English drops a silent final e. At least one."""
-    w = F.lower(word)
-    n = F.regexp_count(w, F.lit(GERMAN_NUCLEI)) if lang == "de" else F.regexp_count(w, F.lit(f"{VOWELS}+"))
-    if lang == "en":
-        silent = (n > 1) & w.rlike("e$") & ~w.rlike("[aeiouy]e$") & ~w.rlike("[^aeiouy]le$")
-        n = F.when(silent, n - 1).otherwise(n)
-    return F.when(F.char_length(w) == 0, 0).when(F.char_length(w) <= 2, 1).otherwise(F.greatest(n, F.lit(1)))
+    """Syllables of one word, at least one."""
+    return F.when(F.char_length(word) == 0, 0).when(F.char_length(word) <= 2, 1).otherwise(F.greatest(syllable_count(word, lang), F.lit(1)))
 
 
 def guessed_language(text: Column) -> Column:
@@ -62,55 +79,46 @@ def content_language(declared: Column, blocks: Column) -> Column:
     return F.when(named, code).otherwise(guessed_language(F.array_join(blocks, " ")))
 
 
-def lix(words: Column, sentences: Column) -> Column:
-    n = F.size(words)
-    long = F.size(F.filter(words, lambda w: F.char_length(w) > 6))
-    return F.when((n > 0) & (sentences > 0), n / sentences + long * F.lit(100.0) / n)
+def lix(words: Column, long_words: Column, sentences: Column) -> Column:
+    return F.when((words > 0) & (sentences > 0), words / sentences + long_words * F.lit(100.0) / words)
+
 
+def flesch(words: Column, sounds: Column, sentences: Column) -> Column:
+    return F.when((words > 0) & (sentences > 0), clamp(F.lit(206.835) - F.lit(1.015) * (words / sentences) - F.lit(84.6) * (sounds / words), 0.0, 100.0))
 
-def flesch(words: Column, sentences: Column, lang: str = "en") -> Column:
-    n = F.size(words)
-    sounds = F.aggregate(F.transform(words, lambda w: syllables(w, lang)), F.lit(0), lambda a, s: a + s)
-    return F.when((n > 0) & (sentences > 0), clamp(F.lit(206.835) - F.lit(1.015) * (n / sentences) - F.lit(84.6) * (sounds / n), 0.0, 100.0))
+
+def rated(lines: Column, english: Column) -> Column:
+    """struct(score, raw, formula) of a text, raw null without a word. Flesch is for English, LIX for all else."""
+    words, sentences = word_count(lines), sentence_count(lines)
+    raw = F.when(english, flesch(words, syllable_count(lines), sentences)).otherwise(lix(words, long_word_count(lines), sentences))
+    score = lambda r: clamp(F.when(english, (r - 30) / F.lit(60.0)).otherwise((F.lit(65.0) - r) / F.lit(25.0)))
+    return bind(raw, lambda r: F.struct(score(r).alias("score"), r.alias("raw"), F.when(english, F.lit("flesch")).otherwise(F.lit("lix")).alias("formula")))
 
 
 def with_readability(df: DataFrame, blocks: Column, lang: Column, name: str = "readability") -> DataFrame:
-    """Adds struct(score, raw, formula), null for less than 50 characters or no word. Flesch is for English, LIX for all else.
+    """Adds struct(score, raw, formula), null for less than 50 characters or no word.
 
-    Words and sentences are columns on the way, so that a text is cut once.
+    Words, sentences and sounds are counted in the joined text; no list of words is made.
     """
-    step = [f"_{name}_{k}" for k in ("blocks", "lang", "words", "sentences", "raw")]
-    kept, own, words, sentences, raw = map(F.col, step)
-    df = df.withColumns({step[0]: F.filter(F.transform(blocks, squeezed), lambda b: b != ""), step[1]: lang})
-    df = once(df, {step[2]: text_words(kept), step[3]: sentence_count(kept)})
-    english = F.coalesce(own == "en", F.lit(False))
-    df = once(df, {step[4]: F.when(english, flesch(words, sentences)).otherwise(lix(words, sentences))})
-    score = clamp(F.when(english, (raw - 30) / F.lit(60.0)).otherwise((F.lit(65.0) - raw) / F.lit(25.0)))
-    made = F.struct(score.alias("score"), raw.alias("raw"), F.when(english, F.lit("flesch")).otherwise(F.lit("lix")).alias("formula"))
-    return df.withColumn(name, F.when((F.char_length(F.array_join(kept, " ")) >= 50) & raw.isNotNull(), made)).drop(*step)
+    step = [f"_{name}_{k}" for k in ("text", "english", "rated")]
+    text, english, made = map(F.col, step)
+    shown = F.array_join(F.filter(F.transform(blocks, squeezed), lambda b: b != ""), " ")
+    long_enough = F.char_length(shown) >= 50
+    df = once(df, {step[0]: F.when(long_enough, joined(F.filter(blocks, lambda b: squeezed(b) != ""))), step[1]: F.coalesce(lang == "en", F.lit(False))})
+    df = once(df, {step[2]: F.when(text.isNotNull(), rated(text, english))})
+    return df.withColumn(name, F.when(made["raw"].isNotNull(), made)).drop(*step)
 
 
 def block_readability(block: Column, english: Column) -> Column:
     """struct(score, raw, formula) of one block, as with_readability tells it."""
-
-    def rated(x: Column) -> Column:
-        raw = F.when(english, flesch(x["words"], x["sentences"])).otherwise(lix(x["words"], x["sentences"]))
-        return bind(raw, lambda r: F.struct(clamp(F.when(english, (r - 30) / F.lit(60.0)).otherwise((F.lit(65.0) - r) / F.lit(25.0))).alias("score"), r.alias("raw"), F.when(english, F.lit("flesch")).otherwise(F.lit("lix")).alias("formula")))
-
-    made = bind(F.struct(block_words(block).alias("words"), block_sentences(block).alias("sentences")), rated)
+    made = bind(plain(block), lambda line: rated(line, english))
     return F.when((F.char_length(squeezed(block)) >= 50) & made["raw"].isNotNull(), made)
 
 
 def stats(blocks: Column) -> Column:
     """struct(words, sentences, longWords, syllables), syllables by English rules."""
-    words, sentences = text_words(blocks), sentence_count(blocks)
-    made = F.struct(
-        F.size(words).alias("words"),
-        sentences.alias("sentences"),
-        F.size(F.filter(words, lambda w: F.char_length(w) > 6)).alias("longWords"),
-        F.aggregate(F.transform(words, lambda w: syllables(w)), F.lit(0), lambda a, s: a + s).alias("syllables"),
-    )
-    return F.when((F.size(words) > 0) & (sentences > 0), made)
+    made = bind(joined(blocks), lambda t: F.struct(word_count(t).alias("words"), sentence_count(t).alias("sentences"), long_word_count(t).alias("longWords"), syllable_count(t).alias("syllables")))
+    return F.when((made["words"] > 0) & (made["sentences"] > 0), made)
 
 
 def raw_for_score(score: Column, formula: Column) -> Column:

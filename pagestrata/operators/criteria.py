@@ -8,7 +8,9 @@ findings, in order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,15 +25,30 @@ from ..functions.numbers import clamp, half_up, part, size
 Evidence = list[tuple[Column | None, str, dict[str, Column]]]
 
 
+_WANTED = ContextVar("evidence", default=True)
+
+
+@contextmanager
+def evidence_wanted(wanted: bool) -> Iterator[None]:
+    """Whether the criteria built inside tell what they rest on; if not, their evidence is empty."""
+    token = _WANTED.set(wanted)
+    try:
+        yield
+    finally:
+        _WANTED.reset(token)
+
+
 def evidence_of(lines: Evidence) -> Column:
     """Lines whose condition holds: key and parameters."""
+    if not _WANTED.get():
+        lines = []
     made = []
     for condition, key, params in lines:
         values = F.create_map(*(x for k, v in params.items() for x in (F.lit(k), v.cast("string")))) if params else F.create_map().cast("map<string,string>")
         line = F.struct(F.lit(key).alias("key"), values.alias("params"))
         made.append(line if condition is None else F.when(condition, line))
     kind = "array<struct<key: string, params: map<string, string>>>"
-    return F.filter(F.array(*made), lambda x: x.isNotNull()).cast(kind) if made else F.array().cast(kind)
+    return F.array_compact(F.array(*made)).cast(kind) if made else F.array().cast(kind)
 
 
 def criterion(

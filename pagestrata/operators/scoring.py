@@ -50,34 +50,52 @@ def with_inputs(pages: DataFrame) -> DataFrame:
     return pages
 
 
-def finding_table() -> Column:
-    """Priority, owner and effort by finding."""
-    return F.create_map(*(x for key, priority, owner, effort in config.FINDINGS for x in (F.lit(key), F.struct(F.lit(priority).alias("priority"), F.lit(owner).alias("owner"), F.lit(effort).alias("effort")))))
+def fired(findings: list[tuple[str, Column]]) -> Column:
+    """The findings whose condition holds, the most urgent first, those of equal urgency as listed."""
+    known = {key: of for key, *of in config.FINDINGS}
+    made = []
+    for i, (key, condition) in enumerate(findings):
+        priority, owner, effort = known[key]
+        made.append(F.when(condition, F.struct(F.lit(-priority).alias("rank"), F.lit(i).alias("ordinal"), F.lit(key).alias("key"), F.lit(priority).alias("priority"), F.lit(owner).alias("owner"), F.lit(effort).alias("effort"))))
+    return F.array_sort(F.array_compact(F.array(*made)))
 
 
-def analyze(records: DataFrame, as_of: Column | None = None) -> DataFrame:
+#: Expressions of analyze that have been built, by JVM, time and whether evidence is asked for: building them takes seconds.
+_BUILT: dict[tuple, tuple] = {}
+
+
+def built(as_of: Column | None, evidence: bool) -> tuple[list[dict[str, Column]], dict[str, Column]]:
+    """Layers of measures, and the rows of each category with all findings. They name columns, so they suit every DataFrame."""
+    now = F.current_timestamp() if as_of is None else as_of
+    key = (id(now._jc._gateway_client), now._jc.toString(), evidence)
+    if key not in _BUILT:
+        steps = [C.Steps() for _ in config.CATEGORIES]
+        builders = (C.content_clarity, C.answerability, lambda let: C.trust_sources(let, now), C.machine_readability, C.ai_citation, C.on_page_seo)
+        with C.evidence_wanted(evidence):
+            parts = [build(let) for build, let in zip(builders, steps)]
+        layers = [{n: c for s in steps if depth < len(s.layers) for n, c in s.layers[depth].items()} for depth in range(max(len(s.layers) for s in steps))]
+        made = {f"_{name}": F.array_compact(F.array(*rows)) for name, (rows, _) in zip(config.CATEGORIES, parts)}
+        made["findings"] = fired([x for _, findings in parts for x in findings])
+        _BUILT[key] = [layer for layer in layers if layer], made
+    return _BUILT[key]
+
+
+def analyze(records: DataFrame, as_of: Column | None = None, evidence: bool = True) -> DataFrame:
     """Page records with pageType, criteria, findings, six category scores, totalScore and rating.
 
-    as_of: the time that ages are counted from; now if not given.
+    as_of: the time that ages are counted from; now if not given. evidence: whether criteria tell what they rest on.
     """
-    now = F.current_timestamp() if as_of is None else as_of
     pages = with_inputs(records)
     pages = pages.withColumns({"pageType": C.page_type(), "sourceLinks": X.source_link_count(F.col("links"))})
     pages = R.with_readability(pages, F.col("paragraphs"), R.content_language(F.col("lang"), F.col("paragraphs")))
-    steps = [C.Steps() for _ in config.CATEGORIES]
-    builders = (C.content_clarity, C.answerability, lambda let: C.trust_sources(let, now), C.machine_readability, C.ai_citation, C.on_page_seo)
-    parts = [build(let) for build, let in zip(builders, steps)]
-    for depth in range(max(len(s.layers) for s in steps)):
-        pages = pages.withColumns({n: c for s in steps if depth < len(s.layers) for n, c in s.layers[depth].items()})
-    fired = [F.when(F.coalesce(c, F.lit(False)), F.lit(key)) for _, findings in parts for key, c in findings]
-    made = {f"_{name}": F.filter(F.array(*rows), lambda r: r.isNotNull()) for name, (rows, _) in zip(config.CATEGORIES, parts)}
-    pages = once(pages, made | {"_fired": F.filter(F.array(*fired), lambda k: k.isNotNull())})
+    layers, made = built(as_of, evidence)
+    for layer in layers:
+        pages = pages.withColumns(layer)
+    pages = once(pages, made)
     pages = pages.withColumns({name: category_score(F.col(f"_{name}")) for name in config.CATEGORIES})
     total = sum((F.col(n) for n in config.CATEGORIES[1:]), F.col(config.CATEGORIES[0]))
-    table = finding_table()
-    ranked = F.transform(F.col("_fired"), lambda k, i: F.struct((-F.try_element_at(table, k)["priority"]).alias("rank"), i.alias("ordinal"), k.alias("key"), F.try_element_at(table, k).alias("of")))
-    findings = F.transform(F.array_sort(ranked), lambda x: F.struct(x["key"].alias("key"), x["of"]["priority"].alias("priority"), x["of"]["owner"].alias("owner"), x["of"]["effort"].alias("effort")))
-    pages = pages.withColumns({"criteria": F.concat(*(F.col(f"_{n}") for n in config.CATEGORIES)), "findings": findings, "totalScore": round1(total)})
+    pages = pages.withColumns({"criteria": F.concat(*(F.col(f"_{n}") for n in config.CATEGORIES)), "totalScore": round1(total)})
+    pages = pages.withColumn("findings", F.transform("findings", lambda x: F.struct(x["key"].alias("key"), x["priority"].alias("priority"), x["owner"].alias("owner"), x["effort"].alias("effort"))))
     return pages.withColumn("rating", rating(F.col("totalScore"))).select(*records.columns, *ADDED)
 
 

@@ -13,6 +13,7 @@ from ..functions import robots as B
 from ..functions import text as X
 from ..functions import urls as U
 from ..functions.numbers import round1, size
+from ..functions.steps import once
 from ..html.udf import page_data
 from ..operators import criteria as C
 from ..operators import history as H
@@ -40,7 +41,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.analyze(records(spark, sf_dir), as_of())
+    return S.analyze(records(spark, sf_dir), as_of(), evidence=False)
 
 
 def blocks() -> Column:
@@ -137,15 +138,14 @@ def robots_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readability_lix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", blocks().alias("b"))
-    counted = docs.select("doc_id", R.text_words(F.col("b")).alias("w"), R.sentence_count(F.col("b")).alias("s"))
-    return counted.select("doc_id", F.size("w").cast("long").alias("words"), F.col("s").cast("long").alias("sentences"), F.size(F.filter("w", lambda w: F.char_length(w) > 6)).cast("long").alias("long_words"), round1(R.lix(F.col("w"), F.col("s"))).alias("lix"))
+    docs = once(table(spark, sf_dir, "documents").select("doc_id", R.joined(blocks()).alias("t")), {"words": R.word_count(F.col("t")), "sentences": R.sentence_count(F.col("t")), "long_words": R.long_word_count(F.col("t"))})
+    counts = [F.col(n).cast("long").alias(n) for n in ("words", "sentences", "long_words")]
+    return docs.select("doc_id", *counts, round1(R.lix(F.col("words"), F.col("long_words"), F.col("sentences"))).alias("lix"))
 
 
 def readability_flesch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", blocks().alias("b"))
-    counted = docs.select("doc_id", R.text_words(F.col("b")).alias("w"), R.sentence_count(F.col("b")).alias("s"))
-    return counted.select("doc_id", F.aggregate(F.transform("w", lambda w: R.syllables(w)), F.lit(0), lambda a, n: a + n).cast("long").alias("syllables"), round1(R.flesch(F.col("w"), F.col("s"))).alias("flesch"))
+    docs = once(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", R.joined(blocks()).alias("t")), {"words": R.word_count(F.col("t")), "sentences": R.sentence_count(F.col("t")), "syllables": R.syllable_count(F.col("t"))})
+    return docs.select("doc_id", F.col("syllables").cast("long").alias("syllables"), round1(R.flesch(F.col("words"), F.col("syllables"), F.col("sentences"))).alias("flesch"))
 
 
 def readability_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
