@@ -8,16 +8,19 @@ lookups give the distance to each code; since the error of every code is kept wi
 than the radius plus that error cannot be a link. What is left is decided by the exact cosine of the
 vectors in double precision. Hence all links at or above the threshold are found, and none below.
 
-Centroids and codewords are fitted on at most ``SAMPLE`` vectors (the first by a hash); they decide how
-much work there is, not what is found. Lists are cut into blocks of bounded size, and blocks of queries
-meet blocks of the list as tasks of their own. A task reports counts for its queries and the links that
-join components, not all pairs.
+Centroids and codewords are fitted on at most ``SAMPLE`` vectors (the first by a hash) of each of the
+``SHAPES`` most frequent vector lengths; they decide how much work there is, not what is found: vectors of other
+lengths are one list a label, whose codes say nothing. Lists are dealt out to blocks of ``BLOCK`` vectors, several lists to a
+block or several blocks to a list; a query goes to the blocks of its lists, once to each, and the queries of a block
+are dealt out again, so a task compares at most about ``BLOCK`` queries with as many vectors, list by list.
+A vector thus travels once for each block of its label that it probes, not once a list. A task
+reports counts for its queries and the links that join components, not all pairs.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component, and those without
 a label, link with nothing and are their own component; vectors of different length don't link; copies
 link with each other and count with every other row; rows without vec_id link like others, and a
-component is null only if none of its rows has an id; an empty table gives an empty result; further
-columns are ignored.
+component is null only if none of its rows has an id; ties don't matter, since every link counts; an empty table
+gives an empty result; further columns, also with clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,16 +32,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pick, saved, slices
+from .common import light, pick, saved, slices
 from .graph import components, labels
 
 THRESHOLD = 0.93
-#: Vectors that centroids and codewords are fitted on, vectors of a list as aimed at, and the most lists of a label.
-SAMPLE, LIST_SIZE, MOST_LISTS = 4096, 1000, 1024
-#: Subspaces, codewords of each, and rows of a block.
-SUBSPACES, CODEWORDS, BLOCK = 8, 16, 4096
+#: Vectors that centroids and codewords are fitted on, vectors of a list as aimed at, the most lists of a label, and vector lengths with a fit.
+SAMPLE, LIST_SIZE, MOST_LISTS, SHAPES = 4096, 1000, 1024, 16
+#: Subspaces, codewords of each, and vectors of a block.
+SUBSPACES, CODEWORDS, BLOCK = 8, 16, 16_384
+
+
+#: Rows up to which lists and blocks, or components, are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -107,9 +115,15 @@ class Quantiser:
         return np.sqrt(total)
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """The vectors of a column of float bytes, in double precision."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1).astype(np.float64)
+    @classmethod
+    def trivial(cls, size: int) -> Quantiser:
+        """One list, whose codes are all the same: every pair is decided exactly."""
+        return cls(np.zeros((1, size)), [np.zeros((1, size))], [(0, size)])
+
+
+def matrix(column: pa.Array, kind: type) -> np.ndarray:
+    """The vectors of a column of bytes, in double precision."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -119,25 +133,27 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def nodes_of(vectors: DataFrame) -> DataFrame:
     """vec_id, label, embedding and node; node is null for what links with nothing."""
-    rows = pick(vectors, "vec_id", "embedding", "label").withColumn("embedding", F.col("embedding").cast("array<float>"))
+    rows = pick(vectors, "vec_id", "embedding", "label")
+    if rows.schema["embedding"].dataType.elementType.typeName() != "float":
+        rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
     whole = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(some, F.lit(False))
     return rows.withColumn("node", F.when(whole, F.xxhash64("label", F.size("embedding"), "embedding")))
 
 
-def quantisers(reps: DataFrame) -> dict[int, Quantiser]:
-    """One by vector length, fitted on a bounded sample."""
-    shape = reps.groupBy("size").agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).collect()
+def quantisers(reps: DataFrame, kind: type) -> dict[int, Quantiser]:
+    """One for each of the most frequent vector lengths, fitted on a bounded sample."""
+    shape = reps.groupBy("size").agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).orderBy(F.desc("n"), "size").limit(SHAPES).collect()
     made = {}
     for s in shape:
         rows = reps.where(F.col("size") == s["size"]).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").toArrow().column(0).combine_chunks()
         lists = max(1, min(MOST_LISTS, math.ceil(s["n"] / max(1, s["labels"]) / LIST_SIZE), len(rows)))
-        made[s["size"]] = Quantiser.fit(unit(matrix(rows)), lists)
+        made[s["size"]] = Quantiser.fit(unit(matrix(rows, kind)), lists)
     return made
 
 
-def indexed(reps: DataFrame, made: dict[int, Quantiser], radius: float) -> DataFrame:
+def indexed(reps: DataFrame, made: dict[int, Quantiser], radius: float, kind: type) -> DataFrame:
     """Each node with its list, codes, error and probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +161,7 @@ def indexed(reps: DataFrame, made: dict[int, Quantiser], radius: float) -> DataF
             sizes = batch.column("size").to_numpy()
             for size in np.unique(sizes).tolist():
                 part = batch.filter(pa.array(sizes == size))
-                x, q = unit(matrix(part.column("vector"))), made[size]
+                x, q = unit(matrix(part.column("vector"), kind)), made.get(size) or Quantiser.trivial(size)
                 of, codes, error = q.encode(x)
                 probes = q.probes(x, of, radius)
                 yield pa.RecordBatch.from_arrays(
@@ -153,41 +169,56 @@ def indexed(reps: DataFrame, made: dict[int, Quantiser], radius: float) -> DataF
                     ["node", "copies", "label", "size", "vector", "list", "codes", "error", "probes"],
                 )
 
-    return reps.mapInArrow(run, "node bigint, copies bigint, label int, size int, vector binary, list int, codes binary, error double, probes array<int>")
+    return reps.mapInArrow(run, "node bigint, copies bigint, label bigint, size int, vector binary, list int, codes binary, error double, probes array<int>")
+
 
+def blocks_of(index: DataFrame, block: int) -> DataFrame:
+    """(label, size, list, first, blocks): the blocks of each list. Short lists share one, a long one has several."""
+    counts = index.groupBy("label", "size", "list").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("label", "size").orderBy("list")) - F.col("n")  # at most MOST_LISTS rows a partition
+    return counts.select("label", "size", "list", F.floor(before / block).cast("int").alias("first"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
 
-def links_of(index: DataFrame, made: dict[int, Quantiser], threshold: float, radius: float) -> DataFrame:
+
+def links_of(index: DataFrame, made: dict[int, Quantiser], threshold: float, radius: float, kind: type) -> DataFrame:
     """(node, links, other): for each task's queries how many rows they link with, and links that join components."""
-    cell = ["label", "size", "list"]
-    queries = index.select("node", "label", "size", "vector", F.explode("probes").alias("list"))
-    inside = index.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    asking = queries.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asking"))
-    blocks = inside.join(asking, cell)
-    own = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
-    there = index.join(blocks, cell).select(*cell, (own % F.col("blocks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("j"), F.lit(1).alias("stored"), "node", "copies", "vector", "codes", "error")
-    here = queries.join(blocks, cell).select(*cell, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), (own % F.col("asking")).alias("j"), F.lit(0).alias("stored"), "node", F.lit(0).cast("bigint").alias("copies"), "vector", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"))
-    tile = [*cell, "i", "j"]
-
-    def meet(size: int, k: int, stored: pa.Table, asked: pa.Table) -> pa.RecordBatch:
-        quantiser = made[size]
-        own, copies, error = (stored.column(n).to_numpy() for n in ("node", "copies", "error"))
-        y = unit(matrix(stored.column("vector").combine_chunks()))
+    cell, own = ["label", "size", "list"], F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
+    dealt = saved(blocks_of(index, BLOCK), "blocks")
+    lists = light(dealt, BROADCAST_ROWS)
+    stored = index.join(lists, cell).withColumn("i", F.col("first") + own % F.col("blocks"))
+    wanted = index.select("node", "label", "size", F.explode("probes").alias("list")).join(lists, cell)
+    wanted = wanted.select("node", "label", "size", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("i")).distinct()
+    asking = saved(wanted.groupBy("label", "size", "i").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asking")), "asking")
+    asked = wanted.join(light(asking, BROADCAST_ROWS), ["label", "size", "i"]).join(index.select("node", "vector", "probes"), "node")
+    there = stored.join(light(asking, BROADCAST_ROWS), ["label", "size", "i"]).select("label", "size", "i", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("j"), F.lit(1).alias("stored"), "node", "copies", "vector", "list", "codes", "error", F.lit(None).cast("array<int>").alias("probes"))
+    here = asked.select("label", "size", "i", (own % F.col("asking")).alias("j"), F.lit(0).alias("stored"), "node", F.lit(0).cast("bigint").alias("copies"), "vector", F.lit(-1).alias("list"), F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), "probes")
+    tile = ["label", "size", "i", "j"]
+
+    def meet(size: int, stored: pa.Table, asked: pa.Table) -> pa.RecordBatch:
+        quantiser = made.get(size) or Quantiser.trivial(size)
+        node, x = asked.column("node").to_numpy(), unit(matrix(asked.column("vector").combine_chunks(), kind))
+        probes = asked.column("probes").combine_chunks()
+        asker, probed = np.repeat(np.arange(len(node)), np.diff(probes.offsets.to_numpy())), probes.flatten().to_numpy()
+        own, copies, error, of = (stored.column(n).to_numpy() for n in ("node", "copies", "error", "list"))
+        y = unit(matrix(stored.column("vector").combine_chunks(), kind))
         codes = np.frombuffer(b"".join(stored.column("codes").to_pylist()), np.uint8).reshape(len(own), -1)
-        node, x = asked.column("node").to_numpy(), unit(matrix(asked.column("vector").combine_chunks()))
         counts = np.zeros(len(node), np.int64)
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for at in range(0, len(node), 256):
-            q, i = np.nonzero(quantiser.distances(x[at : at + 256], k, codes) <= radius + error + 1e-9)
-            q += at
-            for cut in range(0, len(q), 1 << 16):
-                qs, js = q[cut : cut + (1 << 16)], i[cut : cut + (1 << 16)]
-                near = (np.einsum("ij,ij->i", x[qs], y[js]) >= threshold) & (node[qs] != own[js])
-                qs, js = qs[near], js[near]
-                np.add.at(counts, qs, copies[js])
-                if len(qs):
-                    left, right = labels(node[qs], own[js])
-                    a.append(left)
-                    b.append(right)
+        for k in np.unique(of).tolist():
+            inside, asks = np.flatnonzero(of == k), asker[probed == k]
+            step = max(1, 4_000_000 // max(1, len(inside)))
+            for at in range(0, len(asks), step):
+                rows = asks[at : at + step]
+                q, i = np.nonzero(quantiser.distances(x[rows], k, codes[inside]) <= radius + error[inside] + 1e-9)
+                q, i = rows[q], inside[i]
+                for cut in range(0, len(q), 1 << 16):
+                    qs, js = q[cut : cut + (1 << 16)], i[cut : cut + (1 << 16)]
+                    near = (np.einsum("ij,ij->i", x[qs], y[js]) >= threshold) & (node[qs] != own[js])
+                    qs, js = qs[near], js[near]
+                    np.add.at(counts, qs, copies[js])
+                    if len(qs):
+                        left, right = labels(node[qs], own[js])
+                        a.append(left)
+                        b.append(right)
         some = counts > 0
         left, right = np.concatenate(a), np.concatenate(b)
         if len(left):
@@ -202,9 +233,7 @@ def links_of(index: DataFrame, made: dict[int, Quantiser], threshold: float, rad
             table = pa.Table.from_batches(parts)
             side = table.column("stored").to_numpy()
             stored, asked = (table.filter(pa.array(side == s)) for s in (1, 0))
-            if stored.num_rows and asked.num_rows:
-                return meet(held[1], held[2], stored, asked)
-            return None
+            return meet(held[1], stored, asked) if stored.num_rows and asked.num_rows else None
 
         for batch in batches:
             if not batch.num_rows:
@@ -228,20 +257,22 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: vec_id, n_links, component_id and kept."""
     radius = math.sqrt(2 - 2 * threshold) + 1e-6
     rows = nodes_of(vectors)
-    distinct = rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.first("label").cast("int").alias("label"), F.first("embedding").alias("embedding"))
-    reps = saved(distinct.mapInArrow(_as_bytes, "node bigint, copies bigint, label int, size int, vector binary"), "vectors")
-    made = quantisers(reps)
-    found = saved(links_of(saved(indexed(reps, made, radius), "index"), made, threshold, radius), "vector-links")
+    kind = np.float32 if rows.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+
+    def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [np.asarray(v, kind) for v in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(v) for v in vectors], pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary())], ["node", "copies", "label", "size", "vector"])
+
+    distinct = rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.first(F.xxhash64("label")).alias("label"), F.first("embedding").alias("embedding"))
+    reps = saved(distinct.mapInArrow(as_bytes, "node bigint, copies bigint, label bigint, size int, vector binary"), "vectors")
+    made = quantisers(reps, kind)
+    found = saved(links_of(saved(indexed(reps, made, radius, kind), "index"), made, threshold, radius, kind), "vector-links")
     counts = found.where("links IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where("other IS NOT NULL").select("node", "other"))
     told = reps.select("node", "copies").join(counts, "node", "left").join(joined, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("group"))
-    named = rows.select("vec_id", "node").join(told, "node", "left")
-    least = named.where("group IS NOT NULL").groupBy("group").agg(F.min("vec_id").alias("least"))
-    out = named.join(least, "group", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("group").isNull(), F.col("vec_id")).otherwise(F.col("least")).alias("component_id"))
+    least = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("least"))
+    lowest = saved(told.join(least, "node").groupBy("group").agg(F.min("least").alias("lowest")), "lowest")
+    named = saved(told.join(light(lowest, BROADCAST_ROWS), "group").select("node", "n_links", "lowest"), "named")
+    out = rows.select("vec_id", "node").join(named, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("lowest")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-
-
-def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        vectors = [np.asarray(v, np.float32) for v in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(v) for v in vectors], pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary())], ["node", "copies", "label", "size", "vector"])

@@ -1,5 +1,6 @@
 """op2, op9 and their components against brute force, also with tiny blocks, lists and limits."""
 
+import math
 import random
 from collections import Counter
 
@@ -149,6 +150,20 @@ def test_vectors(spark, monkeypatch, block, aim):
     assert ask(near_vectors(table), "vec_id", "n_links", "component_id", "kept") == want
 
 
+@pytest.mark.parametrize("shapes", [op2_vectors.SHAPES, 1])
+def test_double_vectors_and_many_lengths(spark, monkeypatch, shapes):
+    monkeypatch.setattr(op2_vectors, "SHAPES", shapes)
+    rng = np.random.default_rng(6)
+    rows = []
+    for size in (3, 5, 9, 9):
+        center = rng.normal(size=size)
+        rows += [(len(rows) + i, (center + rng.normal(size=size) * 0.2).tolist(), 7) for i in range(12)]
+    near = [1.0, 0.0], [0.93, math.sqrt(1 - 0.93**2)], [0.93 - 1e-12, math.sqrt(1 - (0.93 - 1e-12) ** 2)]  # on either side in double precision only
+    rows += [(len(rows) + i, list(v), 8) for i, v in enumerate((near[0], near[2]))]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label bigint")
+    assert ask(near_vectors(table), "vec_id", "n_links", "component_id", "kept") == brute_vectors(rows)[0]
+
+
 def test_vectors_edge_cases(spark):
     kind = "vec_id bigint, embedding array<float>, label int"
     rows = [(5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (None, [1.0, 0.01], 1), (9, [0.0, 1.0], 1), (None, None, 1)]
