@@ -4,24 +4,29 @@ A document's set holds the hashes of its distinct word shingles. Equal sets are
 are similar enough share at least one of the smallest ``n - ceil(t n) + 1`` hashes of each, in any
 order that is the same for all; the order used puts hashes of very frequent shingles last, so passages
 that many documents share make no candidates. Nodes with a common key and compatible sizes are
-candidate pairs; of a key with very many nodes, only neighbours by size, which keep them together.
+candidate pairs; of a key with very many nodes, only neighbours by size, which keep them together. Keys known to be
+frequent are split over tasks by node: each part is chained by itself, and the parts' runs of compatible
+sizes are chained by a window over them.
 
 Every set has a bitmap of hashed bits, as wide as its size asks for. A bit set in one bitmap only is a
 member of one set only, so bit counts bound a pair's overlap from above, and most pairs end there. The
-connected components of the rest are families, whose sets are compared in tiles: they are dealt by size
-band and, within a band, into blocks of bounded weight; a tile is a block with itself, or two blocks of
-the same or adjacent bands. Inside a tile pairs meet the bit counts again, and what passes is decided by
-intersecting their sorted arrays. Pairs already connected inside the tile are skipped, so a group of
+connected components of the rest are families, whose sets are compared in tiles. A light family is one tile. A heavy one
+is dealt by size band into blocks of bounded weight, each a tile by itself, and then once more by shifted bands and other
+blocks: a group of near copies of any size is connected by these two rounds in linear work. What is left of it is the
+comparison of its smaller components with each other and with the largest one: tiles of two blocks of the same or adjacent
+bands, none of two blocks of the largest. Inside a tile pairs meet the bit counts again, and what passes is decided by
+intersecting their sorted arrays. Pairs already connected are skipped, so a group of
 near copies takes about one comparison a member. A tile reports the links that join components, and the
 components of all of them are the result.
 
-The candidates are complete: every pair at or above the threshold is in a tile. Only hashes can deceive:
+The candidates are complete: every pair at or above the threshold is in a tile or connected without. Only hashes can deceive:
 shingles and nodes are told apart by 64 bits.
 
 Defined results: a text with fewer words than ``words`` has its whole sequence as one shingle; a null
 text or one without words has the empty set, links with nothing and is its own component; repeated rows
-are equal sets; the component is the smallest doc_id, null only if no row of the component has one; an
-empty table gives an empty result; further columns are ignored.
+are equal sets; ties don't matter, since every link counts; texts of any length are read whole; the component is the
+smallest doc_id, null only if no row of the component has one; an empty table gives an empty result; further
+columns, also with clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +38,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pick, saved, slices
+from .common import light, pick, saved, slices
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -43,8 +49,12 @@ WORDS, PERCENT = 5, 80
 FREQUENT, MOST_FREQUENT = 24, 500_000
 #: Shingles are counted in blocks of so many; those that don't recur in a block are left out of the count.
 BLOCK_HASHES = 1_000_000
-#: Weight of a block of a tile (a set weighs its size, or LEAST_WEIGHT if that is more), and the widest bitmap.
-BLOCK_WEIGHT, LEAST_WEIGHT, MOST_BITS = 1_000_000, 128, 1 << 14
+#: Documents of a frequent shingle for each of the parts that its key is split into.
+HOT = 2_000
+#: Weight of a block that is a tile by itself, and of one that meets others (a set weighs its size, or LEAST_WEIGHT if that is more).
+BLOCK_WEIGHT, PAIR_WEIGHT, LEAST_WEIGHT = 64_000, 1_000_000, 128
+#: The widest bitmap.
+MOST_BITS = 1 << 14
 #: Words of which a worker remembers the hashes.
 REMEMBERED = 150_000
 #: Sizes of a band differ by less than this factor; it exceeds 100 / PERCENT, so only adjacent bands can link.
@@ -135,14 +145,16 @@ def members(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, frequent array<struct<hash: bigint, n: bigint>>")
 
 
-def frequent_hashes(found: DataFrame) -> np.ndarray:
-    """Hashes that come last in the order of keys: at most MOST_FREQUENT of them, sorted.
+def frequent_hashes(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that come last in the order of keys, at most MOST_FREQUENT of them, sorted; and into how many parts each is split as a key.
 
     Any set of hashes gives the same links, as long as it is one for all; this one makes few candidates.
     """
     counted = found.where("frequent IS NOT NULL").select(F.explode("frequent").alias("x")).groupBy("x.hash").agg(F.sum("x.n").alias("n")).where(F.col("n") >= FREQUENT)
-    rows = counted.orderBy(F.desc("n"), "hash").limit(MOST_FREQUENT).select("hash").toPandas()
-    return np.sort(rows["hash"].to_numpy(np.int64).view(np.uint64))
+    rows = counted.orderBy(F.desc("n"), "hash").limit(MOST_FREQUENT).toPandas()
+    hashes, n = rows["hash"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], (1 + n[order] // HOT).astype(np.int32)
 
 
 def prefix(hashes: np.ndarray, late: np.ndarray, percent: int) -> np.ndarray:
@@ -187,8 +199,15 @@ def pairs_of_keys(key: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int
     return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1]), pa.array(made[:, 2].astype(bool))], ["a", "b", "chained"])
 
 
-def candidate_pairs(docs: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
+def runs_of(key: int, node: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int, int, int]]:
+    """(key, node, lo, hi) of each run of compatible sizes of a part of a split key; rows are sorted by size and node."""
+    edges = [0, *(np.flatnonzero(~compatible(n[:-1], n[1:], percent)) + 1).tolist(), len(n)]
+    return [(key, int(node[a]), int(n[a]), int(n[b - 1])) for a, b in zip(edges, edges[1:])]
+
+
+def candidate_pairs(docs: DataFrame, late: np.ndarray, parts: np.ndarray, percent: int) -> DataFrame:
     """(a, b, chained), a < b: nodes that share a key and are of compatible sizes."""
+    schema = "a bigint, b bigint, chained boolean, hot bigint, lo int, hi int"
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -201,38 +220,78 @@ def candidate_pairs(docs: DataFrame, late: np.ndarray, percent: int) -> DataFram
                     nodes.append(node_of(s))
                     sizes.append(len(s))
             times = [len(x) for x in made[1:]]
-            yield pa.RecordBatch.from_arrays(
-                [signed(np.concatenate(made)), pa.array(np.repeat(np.array(nodes, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times))],
-                ["key", "node", "n"],
-            )
+            key, node = np.concatenate(made), np.repeat(np.array(nodes, np.int64), times)
+            part = np.full(len(key), -1, np.int32)
+            if len(late):
+                at = np.minimum(np.searchsorted(late, key), len(late) - 1)
+                split = (late[at] == key) & (parts[at] > 1)
+                part[split] = (node[split].view(np.uint64) % parts[at][split].astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([signed(key), pa.array(part), pa.array(node), pa.array(np.repeat(np.array(sizes, np.int32), times))], ["key", "part", "node", "n"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, chained = None, False
+
+        def told(key: np.ndarray, part: np.ndarray, node: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for some, hot in ((part < 0, False), (part >= 0, True)):
+                if not some.any():
+                    continue
+                if not hot:
+                    made = pairs_of_keys(key[some], node[some], n[some], percent, chained)
+                    empty = pa.nulls(made.num_rows)
+                    yield pa.RecordBatch.from_arrays([*made.columns, empty.cast(pa.int64()), empty.cast(pa.int32()), empty.cast(pa.int32())], [*made.schema.names, "hot", "lo", "hi"])
+                    continue
+                cells = np.flatnonzero(np.append(True, (key[some][1:] != key[some][:-1]) | (part[some][1:] != part[some][:-1]))).tolist()
+                for a, b in zip(cells, [*cells[1:], int(some.sum())]):
+                    own, sizes = node[some][a:b], n[some][a:b]
+                    first = np.append(True, own[1:] != own[:-1])
+                    own, sizes = own[first], sizes[first]
+                    near = compatible(sizes[:-1], sizes[1:], percent)
+                    left, right = own[:-1][near], own[1:][near]
+                    runs = runs_of(int(key[some][a]), own, sizes, percent)
+                    columns = [np.minimum(left, right), np.maximum(left, right), np.ones(len(left), bool)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.concat_arrays([pa.array(columns[0]), pa.array([r[1] for r in runs], pa.int64())]),
+                            pa.concat_arrays([pa.array(columns[1]), pa.nulls(len(runs), pa.int64())]),
+                            pa.concat_arrays([pa.array(columns[2]), pa.array([True] * len(runs))]),
+                            pa.concat_arrays([pa.nulls(len(left), pa.int64()), pa.array([r[0] for r in runs], pa.int64())]),
+                            pa.concat_arrays([pa.nulls(len(left), pa.int32()), pa.array([r[2] for r in runs], pa.int32())]),
+                            pa.concat_arrays([pa.nulls(len(left), pa.int32()), pa.array([r[3] for r in runs], pa.int32())]),
+                        ],
+                        ["a", "b", "chained", "hot", "lo", "hi"],
+                    )
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
                 rows = [np.append(h, r) for h, r in zip(held, rows)]
-            key = rows[0]
-            last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+            key, part = rows[0], rows[1]
+            last = int(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))[-1])
             if last:
-                yield pairs_of_keys(*(r[:last] for r in rows), percent, chained)
+                yield from told(*(r[:last] for r in rows))
                 chained = False
             held = [r[last:] for r in rows]
-            if len(held[0]) > 4 * ALL_PAIRS:  # a key may have any number of rows: only its last stays
-                if chained or len(np.unique(held[1])) > ALL_PAIRS:
-                    yield pairs_of_keys(*held, percent, True)
-                    held, chained = [h[-1:] for h in held], True
+            if held[1][0] < 0 and len(held[0]) > 4 * ALL_PAIRS:  # a key may have any number of rows: only its last stays
+                if chained or len(np.unique(held[2])) > ALL_PAIRS:
+                    chained = True
+                    yield from told(*held)
+                    held = [h[-1:] for h in held]
                 else:
-                    first = np.append(True, held[1][1:] != held[1][:-1])
+                    first = np.append(True, held[2][1:] != held[2][:-1])
                     held = [h[first] for h in held]
         if held is not None:
-            yield pairs_of_keys(*held, percent, chained)
+            yield from told(*held)
 
-    keyed = docs.select("text").mapInArrow(keys, "key bigint, node bigint, n int")
-    made = keyed.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(pairs, "a bigint, b bigint, chained boolean")
-    return made.groupBy("a", "b").agg(F.max("chained").alias("chained"))
+    keyed = docs.select("text").mapInArrow(keys, "key bigint, part int, node bigint, n int")
+    made = saved(keyed.repartition("key", "part").sortWithinPartitions("key", "part", "n", "node").mapInArrow(pairs, schema), "key-pairs")
+    # the runs of a split key, one after the other by size
+    order = W.partitionBy("hot").orderBy("lo", "hi", "a")
+    runs = made.where("hot IS NOT NULL").select("hot", "a", "lo", "hi")
+    after = runs.select(F.lag("a").over(order).alias("x"), F.col("a").alias("y"), "lo", F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1)).alias("reach"))
+    bridges = after.where((F.col("x") != F.col("y")) & (100 * F.col("reach") >= percent * F.col("lo"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(True).alias("chained"))
+    return made.where("hot IS NULL").select("a", "b", "chained").union(bridges).groupBy("a", "b").agg(F.max("chained").alias("chained"))
 
 
 def bitmap_of(hashes: np.ndarray) -> bytes:
@@ -269,12 +328,13 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def tile_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is similar in a tile. side: 0 or 1 where only pairs of both sides count, else all 0."""
+def tile_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is similar in a tile. side: 0 or 1 where only pairs of both sides count, else all 0. known: components so far."""
     nodes, first = np.unique(nodes, return_index=True)
     sets, side = [sets[i] for i in first], side[first]
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     order = np.argsort(sizes, kind="stable")
+    group = np.arange(len(sets)) if known is None else np.unique(known[first], return_inverse=True)[1][order]
     nodes, sets, side, sizes = nodes[order], [sets[i] for i in order], side[order], sizes[order]
     count, crossing = len(sets), bool(side.any())
     bits = min(MOST_BITS, 1 << max(6, int(2 * sizes[-1] - 1).bit_length()))
@@ -283,7 +343,6 @@ def tile_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, perc
     at = np.concatenate(sets) & np.uint64(bits - 1)
     np.bitwise_or.at(bitmap, (own, (at >> np.uint64(3)).astype(np.int64)), np.left_shift(1, (at & np.uint64(7)).astype(np.int64)).astype(np.uint8))
     bitmap = bitmap.view(np.uint64)
-    group = np.arange(count)
     past = np.searchsorted(sizes, (100 * sizes) // percent, "right")
     linked: list[tuple[int, int]] = []
     step = max(1, (4 << 20) // bitmap.shape[1])
@@ -307,33 +366,41 @@ def tile_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, perc
     return nodes[pairs[:, 0]], nodes[pairs[:, 1]]
 
 
-def tiles_of(active: DataFrame) -> DataFrame:
-    """(node, tile, side, n): the tiles that each node takes part in. active: node, family, n."""
-    band = F.floor(F.log("n") / math.log(BAND)).cast("int")
-    banded = active.withColumn("band", band)
-    weights = banded.groupBy("family", "band").agg(F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))).alias("weight")).withColumn("blocks", F.ceil(F.col("weight") / BLOCK_WEIGHT).cast("int"))
-    whole = weights.groupBy("family").agg(F.sum("weight").alias("family_weight"))
-    # a light family is one tile
-    dealt = banded.join(weights, ["family", "band"]).join(whole, "family")
-    above = weights.select("family", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    below = weights.select("family", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    dealt = dealt.join(above, ["family", "band"], "left").join(below, ["family", "band"], "left")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+def weight() -> F.Column:
+    return F.sum(F.greatest("n", F.lit(LEAST_WEIGHT)))
+
+
+def blocks_of(active: DataFrame, by: list[str], shift: float, salt: int, most: int) -> DataFrame:
+    """active with band and block: the nodes of a band, and of what else is in ``by``, in blocks of about the weight ``most``."""
+    banded = active.withColumn("band", F.floor(F.log("n") / math.log(BAND) + F.lit(shift)).cast("int"))
+    many = banded.groupBy(*by, "band").agg(F.ceil(weight() / most).cast("int").alias("blocks"))
+    return banded.join(many, [*by, "band"]).withColumn("block", F.pmod(F.xxhash64(F.lit(salt), "node"), F.col("blocks")).cast("int")).drop("blocks")
+
+
+def tile_of(*parts: str | F.Column) -> F.Column:
+    return F.xxhash64(*parts)
+
 
-    def tile(band_a, block_a, band_b, block_b):
-        return F.xxhash64("family", *(F.col(x) if isinstance(x, str) else x.cast("bigint") for x in (band_a, block_a, band_b, block_b)))
+def home_tiles(active: DataFrame, salt: int) -> DataFrame:
+    """(tile, side, node, known): one tile a node. active: node, family, n and heavy."""
+    dealt = blocks_of(active, ["family"], 0.5 * salt, salt, BLOCK_WEIGHT)
+    tile = F.when(F.col("heavy"), tile_of(F.lit(salt), "family", "band", "block")).otherwise(tile_of("family"))
+    return dealt.select(tile.alias("tile"), F.lit(2).alias("side"), "node", F.col("node").alias("known"))
 
-    def to(n):
-        return F.sequence(F.lit(0), n - 1)
 
-    here = F.col("band")
-    own = F.transform(to(F.col("blocks")), lambda k: F.struct(tile(here, F.least(k, block), here, F.greatest(k, block)).alias("tile"), F.when(k == block, 2).when(k < block, 1).otherwise(0).alias("side")))
-    up = F.when(F.col("above").isNotNull(), F.transform(to(F.col("above")), lambda k: F.struct(tile(here, block, here + 1, k).alias("tile"), F.lit(0).alias("side"))))
-    down = F.when(F.col("below").isNotNull(), F.transform(to(F.col("below")), lambda k: F.struct(tile(here - 1, k, here, block).alias("tile"), F.lit(1).alias("side"))))
-    nothing = F.array().cast("array<struct<tile: bigint, side: int>>")
-    one = F.array(F.struct(F.xxhash64("family").alias("tile"), F.lit(2).alias("side")))
-    made = F.when(F.col("family_weight") <= BLOCK_WEIGHT, one).otherwise(F.concat(own, F.coalesce(up, nothing), F.coalesce(down, nothing)))
-    return dealt.select("node", "n", F.explode(made).alias("x")).select("node", "n", "x.tile", "x.side")
+def pair_tiles(active: DataFrame) -> DataFrame:
+    """(tile, side, node, known): blocks of the same or adjacent bands of a family, but for two blocks of its main component. active: node, family, n, known and main."""
+    dealt = saved(blocks_of(active, ["family", "main"], 0.0, 2, PAIR_WEIGHT), "dealt")
+    blocks = dealt.select("family", "main", "band", "block").distinct()
+    ends = [blocks.select("family", *(F.col(c).alias(f"{c}_{x}") for c in ("main", "band", "block"))) for x in "ab"]
+    up = ends[0].withColumn("band_b", F.explode(F.array(F.col("band_a"), F.col("band_a") + 1)))
+    met = up.join(ends[1], ["family", "band_b"]).where(~(F.col("main_a") & F.col("main_b")))
+    met = met.where((F.col("band_a") < F.col("band_b")) | (F.struct("main_a", "block_a") <= F.struct("main_b", "block_b")))
+    met = met.withColumn("tile", tile_of("family", "main_a", "band_a", "block_a", "main_b", "band_b", "block_b"))
+    one = (F.col("band_a") == F.col("band_b")) & (F.col("main_a") == F.col("main_b")) & (F.col("block_a") == F.col("block_b"))
+    sides = [met.where(~one | F.lit(x == "a")).select("family", *(F.col(f"{c}_{x}").alias(c) for c in ("main", "band", "block")), "tile", F.when(one, 2).otherwise(int(x == "b")).alias("side")) for x in "ab"]
+    tiles = saved(sides[0].unionByName(sides[1]), "tiles")
+    return dealt.join(light(tiles, BROADCAST_ROWS // 10), ["family", "main", "band", "block"]).select("tile", "side", "node", "known")
 
 
 def sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
@@ -369,41 +436,59 @@ def bounded_pairs(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFra
     return met.mapInArrow(bound, "a bigint, b bigint").union(pairs.where("chained").select("a", "b"))
 
 
-def exact_links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame:
-    """Links that connect what is similar. families: node, component."""
-    active = sets.select("node", "n").dropDuplicates(["node"]).join(families.withColumnRenamed("component", "family"), "node")
-    dealt = sets.select("node", "members").join(tiles_of(active), "node").select("tile", "side", "node", "members")
+def compared(sets: DataFrame, tiles: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is similar in a tile."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, nodes, sides, sets = None, [], [], []
+        held, nodes, sides, knowns, sets = None, [], [], [], []
 
         def told() -> pa.RecordBatch:
             side = np.array(sides)
             crossing = not (side == 2).any()
-            a, b = tile_links(np.array(nodes, np.int64), sets, side if crossing else np.zeros(len(side), np.int64), percent)
+            a, b = tile_links(np.array(nodes, np.int64), sets, side if crossing else np.zeros(len(side), np.int64), percent, np.array(knowns, np.int64))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in slices(batches, 500):
-            for tile, side, node, own in zip(*(c.to_pylist() for c in batch.columns)):
+            for tile, side, node, known, own in zip(*(c.to_pylist() for c in batch.columns)):
                 if tile != held and len(nodes) > 1:
                     yield told()
                 if tile != held:
-                    held, nodes, sides, sets = tile, [], [], []
+                    held, nodes, sides, knowns, sets = tile, [], [], [], []
                 nodes.append(node)
                 sides.append(side)
+                knowns.append(known)
                 sets.append(np.frombuffer(own, np.uint64))
         if len(nodes) > 1:
             yield told()
 
+    dealt = sets.select("node", "members").join(tiles, "node").select("tile", "side", "node", "known", "members")
     return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "a bigint, b bigint")
 
 
+def exact_links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """Links that connect what is similar. families: node, component."""
+    active = sets.select("node", "n").dropDuplicates(["node"]).join(families.withColumnRenamed("component", "family"), "node")
+    whole = active.groupBy("family").agg((weight() > BLOCK_WEIGHT).alias("heavy"))
+    active = saved(active.join(whole, "family"), "active")
+    found = saved(compared(sets, home_tiles(active, 0), percent), "home-links")
+    heavy = active.where("heavy")
+    if not heavy.head(1):
+        return found
+    again = saved(compared(sets, home_tiles(heavy, 1), percent), "home-links")
+    known = components(found.union(again))
+    heavy = heavy.join(known, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
+    main = heavy.groupBy("family", "known").agg(weight().alias("weight")).groupBy("family").agg(F.max(F.struct("weight", "known")).alias("top"), F.count("*").alias("several"))
+    main = main.where("several > 1").select("family", F.col("top.known").alias("largest"))
+    apart = heavy.join(main, "family").select("node", "family", "n", "known", (F.col("known") == F.col("largest")).alias("main"))
+    return found.union(again).union(saved(compared(sets, pair_tiles(apart), percent), "pair-links"))
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, text_key, n_shingles, component_id and group (the component's smallest node; null for an empty set)."""
     keyed = pick(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     told = saved(members(keyed), "members")
     found = told.where("n_shingles IS NOT NULL").drop("frequent")
-    pairs = saved(candidate_pairs(keyed, frequent_hashes(told), percent), "pairs")
+    pairs = saved(candidate_pairs(keyed, *frequent_hashes(told), percent), "pairs")
     bitmaps = sets_of(keyed, found, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "bitmap")
     families = components(bounded_pairs(pairs, bitmaps, percent))
     joined = components(exact_links(sets_of(keyed, found, families, "members"), families, percent))

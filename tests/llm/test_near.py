@@ -99,9 +99,14 @@ def test_pieces_of_the_join():
         assert len(x) == alike
 
 
-@pytest.mark.parametrize("weight", [op9_jaccard.BLOCK_WEIGHT, 2000])
-def test_join(spark, monkeypatch, weight):
+@pytest.mark.parametrize("weight, pair_weight, hot", [(op9_jaccard.BLOCK_WEIGHT, op9_jaccard.PAIR_WEIGHT, op9_jaccard.HOT), (700, 2000, 2), (300, 300, 1)])
+def test_join(spark, monkeypatch, weight, pair_weight, hot):
     monkeypatch.setattr(op9_jaccard, "BLOCK_WEIGHT", weight)
+    monkeypatch.setattr(op9_jaccard, "PAIR_WEIGHT", pair_weight)
+    monkeypatch.setattr(op9_jaccard, "HOT", hot)
+    if hot < 10:
+        monkeypatch.setattr(op9_jaccard, "FREQUENT", 2)
+        monkeypatch.setattr(op9_jaccard, "LEAST_WEIGHT", 16)
     texts = near_copies()
     want, links = brute_jaccard(texts)
     assert len(links) > 60
