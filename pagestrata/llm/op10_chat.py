@@ -7,8 +7,10 @@ sorted assistant span among the sorted token spans, and covers the characters of
 lie within the span.
 
 Defined results: null text or role counts as empty; turns with equal numbers are ordered by role and
-text, nulls first; repeated rows are repeated turns; rows without a conversation id form one
-conversation; an empty table gives an empty result; further columns are ignored.
+text, nulls first; repeated rows are repeated turns; rows without a conversation id are a conversation each, of one
+turn, since nothing says that they belong together; texts of any length are rendered whole, and a conversation is one string,
+so its turns come together in one task; an empty table gives an empty result; further columns, also with clashing
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -83,7 +85,8 @@ def formatted_chats(conversations: DataFrame, vocabulary: str) -> DataFrame:
     vocabulary: the path of a tokenizers JSON file that every executor can open.
     """
     turns = pick(conversations, "conv_id", "turn", "role", "text")
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")).select("conv_id", "turns.role", "turns.text")
+    named = turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")).select("conv_id", "turns.role", "turns.text")
+    whole = named.unionByName(turns.where("conv_id IS NULL").select("conv_id", F.array("role").alias("role"), F.array("text").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer

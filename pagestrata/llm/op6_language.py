@@ -3,8 +3,9 @@
 Features are hashed counts of character 1- to 3-grams of the letters of a whole text, in lower case,
 square-rooted and of unit length. Linear support vector machines (squared hinge loss, dual coordinate
 descent) separate the families from each other and, within a family, each pair of its languages. The
-machines are fitted on at most ``per_language`` labelled rows of each language, chosen by a hash of
-the row; features are made on the executors, and only those of the chosen rows come to the driver.
+machines are fitted on at most ``per_language`` labelled rows of each of the ``MOST_LANGUAGES`` most frequent languages, chosen by
+a hash of the row, repeated rows once; features are made on the executors, and only those of the chosen rows come to the
+driver.
 
 The duels always have a winner, whose score is well above 0 for any text. Whether a text is in a learned
 language at all is told by ``far``: by how much the mean log chance of its n-grams, under the shares they
@@ -13,8 +14,9 @@ a limit. The limit is at least ``FAR`` and well above what rows have under the s
 language with fewer than ``LEAST_ROWS`` rows has none.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0; without any labelled
-row all do. A row without doc_id is neither held out nor learned from. Repeated rows are predicted
-each; an empty table gives an empty result; further columns are ignored.
+row all do. A row without doc_id is neither held out nor learned from. Of languages that win equally many duels the one
+with the larger sum of margins is told, then the first by name. Texts of any length are read whole. Repeated rows are predicted
+each; an empty table gives an empty result; further columns, also with clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ FAMILIES = {
     "romance": ("ca", "es", "fr", "gl", "it", "pt", "ro"),
     "slavic": ("be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
 }
+#: Languages that machines are fitted for, at most; their pairs grow with the square.
+MOST_LANGUAGES = 200
 UNKNOWN = "und"
 SIZE = 4096
 LETTERS = regex.compile(r"\p{L}+").findall
@@ -168,18 +172,20 @@ def held_out() -> F.Column:
 def learned(docs: DataFrame, per_language: int = 300) -> Model:
     """Machines fitted on at most ``per_language`` rows of each language that are not held out."""
     rows = pick(docs, "doc_id", "text", "lang").where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return Model()
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.3 * per_language / n))))
-    chance = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    chance = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [(d, lang, v.tobytes()) for d, text, lang in zip(*(c.to_pylist() for c in batch.columns)) if (v := features(text)) is not None]
+            kept = [(d, lang, v.tobytes()) for d, lang, text in zip(*(c.to_pylist() for c in batch.columns)) if (v := features(text)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*kept)) or [()] * 3, (pa.int64(), pa.string(), pa.binary()))], ["doc_id", "lang", "v"])
 
-    chosen = rows.where(chance < F.element_at(share, F.col("lang"))).mapInArrow(run, "doc_id bigint, lang string, v binary").collect()
+    # rows that repeat each other have one hash, so they would all be chosen; they come to the driver once
+    picked = rows.where(chance < F.try_element_at(share, F.col("lang"))).groupBy("doc_id", "lang", F.xxhash64("text").alias("text_key")).agg(F.first("text").alias("text"))
+    chosen = picked.select("doc_id", "lang", "text").mapInArrow(run, "doc_id bigint, lang string, v binary").collect()
     by: dict[str, list] = {}
     for r in sorted(chosen, key=lambda r: (r["lang"], r["doc_id"], bytes(r["v"]))):
         by.setdefault(r["lang"], []).append(r)

@@ -12,7 +12,7 @@ c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1),
 n AS (SELECT a, count(*) AS n_links FROM links GROUP BY 1)
 SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
     "op4_warc_bundles": """
-WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS h FROM pages), d AS (SELECT *, sha256(h) AS digest, octet_length(encode(h)) AS n, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), d AS (SELECT *, sha256(h) AS digest, octet_length(encode(h)) AS n, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to, url FROM d""",
     "op9_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -38,10 +38,10 @@ shared AS (SELECT doc_id, item_id, n, k, start, sum(least(c, ic)) AS s FROM win
 sim AS (SELECT *, s::DOUBLE / (n - 4 + least(n - 4, k - start) - s)::DOUBLE AS similarity FROM shared)
 SELECT doc_id, item_id, start::INTEGER AS start, n::INTEGER AS n_words, similarity FROM sim WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start DESC) = 1""",
     "op10_chat_masks": r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+WITH c AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (SELECT *, length(role) + length(text) + len(regexp_extract_all(role || chr(1) || text, '\\|<\|turn\|>|<\|text\|>|<\|end\|>|<\|endoftext\|>|<\|im_start\|>|<\|im_end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>')) + 23 AS n FROM c),
 g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, sum(n)::BIGINT AS formatted_chars FROM e GROUP BY 1)
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, sum(n)::BIGINT AS formatted_chars FROM e GROUP BY conv_id, own)
 SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
 }

@@ -39,16 +39,17 @@ def test_masks(sizes, raw):
 
 
 def test_edge_cases(spark):
-    rows = [(1, 1, "assistant", "yes"), (1, 0, "user", None), (2, 0, None, ""), (None, 0, "user", "lost"), (3, 0, "assistant", "b"), (3, 0, "assistant", "a"), (3, 0, "assistant", "a"), (4, None, "assistant", "</s>[INST] ok [/INST]"), (5, 0, "assistant", LONG)]
+    rows = [(1, 1, "assistant", "yes"), (1, 0, "user", None), (2, 0, None, ""), (None, 0, "user", "lost"), (None, 1, "assistant", "too"), (3, 0, "assistant", "b"), (3, 0, "assistant", "a"), (3, 0, "assistant", "a"), (4, None, "assistant", "</s>[INST] ok [/INST]"), (5, 0, "assistant", LONG)]
     table = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id bigint, turn bigint, role string, text string, turns int, TEXT int")
-    got = {r["conv_id"]: r for r in formatted_chats(table, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    found = formatted_chats(table, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    got = {r["conv_id"]: r for r in found}
+    assert sorted((r["n_turns"], r["loss_chars"]) for r in found if r["conv_id"] is None) == [(1, 0), (1, 3)]
 
     def sha(text):
         return hashlib.sha256(text.encode()).hexdigest()
 
     assert got[1]["turns_sha256"] == sha("user\n\nassistant\nyes\n") and got[1]["loss_sha256"] == sha("yes") and got[1]["n_turns"] == 2
     assert got[2]["turns_sha256"] == sha("\n\n") and got[2]["loss_chars"] == 0
-    assert got[None]["n_turns"] == 1
     assert got[3]["loss_sha256"] == sha("aab")
     assert got[4]["loss_sha256"] == sha("</s>[INST] ok [/INST]") and got[4]["formatted_chars"] > 21
     assert got[5]["loss_chars"] == len(LONG)
