@@ -1,7 +1,8 @@
 """An HTML tree on the standard library's tokenizer, with the implied ends of elements that pages rely on.
 
 Nodes are numbered in document order. ``pre`` is an element's number and ``end`` the last number inside
-it, so containment and order are comparisons of numbers.
+it, so containment and order are comparisons of numbers; the elements, and the pieces of text, of a document stand in one
+list each, of which an element's own are a slice. Nothing here calls itself, however deep a page is nested.
 """
 
 from __future__ import annotations
@@ -33,21 +34,34 @@ SCOPE = {"table", "td", "th", "caption", "html", "template", "button", "object"}
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 FORMATTING = {"a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u"}
 HEAD_ONLY = {"title", "meta", "link", "base", "style", "script", "noscript", "template"}
-#: Elements nested deeper are put side by side.
-DEPTH = 200
+#: Elements nested deeper are put side by side, as browsers do.
+DEPTH = 512
+#: Formatting elements alike that go on after a block's end, at most, as in browsers.
+ALIKE = 3
 WHITE = re.compile(r"\s+")
 
 
+class Document:
+    """All elements in order, and all pieces of text in order."""
+
+    __slots__ = ("elements", "texts")
+
+    def __init__(self) -> None:
+        self.elements: list[Element] = []
+        self.texts: list[str] = []
+
+
 class Element:
     """A tag with attributes and children, which are elements and strings."""
 
-    __slots__ = ("tag", "attrs", "children", "parent", "pre", "end", "_text")
+    __slots__ = ("tag", "attrs", "children", "parent", "pre", "end", "document", "first_text", "past_text", "_raw")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Element | str] = []
-        self.pre = self.end = 0
-        self._text: str | None = None
+        self.pre = self.end = self.first_text = self.past_text = 0
+        self.document: Document | None = None
+        self._raw: str | None = None
 
     def get(self, name: str, default: str = "") -> str:
         return self.attrs.get(name, default)
@@ -55,12 +69,9 @@ class Element:
     def has(self, name: str) -> bool:
         return name in self.attrs
 
-    def walk(self) -> Iterator[Element]:
+    def walk(self) -> list[Element]:
         """The elements inside, in document order, without this one."""
-        for child in self.children:
-            if isinstance(child, Element):
-                yield child
-                yield from child.walk()
+        return self.document.elements[self.pre + 1 : self.end + 1]
 
     def all(self, test: Callable[[Element], bool]) -> list[Element]:
         return [e for e in self.walk() if test(e)]
@@ -70,7 +81,8 @@ class Element:
         return [e for e in self.walk() if e.tag in wanted]
 
     def first(self, test: Callable[[Element], bool]) -> Element | None:
-        return next((e for e in self.walk() if test(e)), None)
+        inside = self.document.elements
+        return next((inside[i] for i in range(self.pre + 1, self.end + 1) if test(inside[i])), None)
 
     def line(self) -> Iterator[Element]:
         """This element and those around it, inside out."""
@@ -96,9 +108,9 @@ class Element:
     @property
     def raw(self) -> str:
         """All text inside."""
-        if self._text is None:
-            self._text = "".join(c if isinstance(c, str) else c.raw for c in self.children)
-        return self._text
+        if self._raw is None:
+            self._raw = "".join(self.document.texts[self.first_text : self.past_text])
+        return self._raw
 
     @property
     def text(self) -> str:
@@ -108,6 +120,19 @@ class Element:
     def child_elements(self) -> list[Element]:
         return [c for c in self.children if isinstance(c, Element)]
 
+    def pieces(self, skip: frozenset[str] | set[str] = frozenset(), edges: frozenset[str] | set[str] = frozenset()) -> Iterator[str]:
+        """The pieces of text inside, without those in elements of ``skip``; a blank where an element of ``edges`` starts or ends."""
+        todo: list[Element | str] = [self]
+        while todo:
+            at = todo.pop()
+            if isinstance(at, str):
+                yield at
+            elif at is self or at.tag not in skip:
+                if at.tag in edges:
+                    yield " "
+                    todo.append(" ")
+                todo.extend(reversed(at.children))
+
 
 def squeeze(text: str | None) -> str:
     return WHITE.sub(" ", (text or "").strip())
@@ -161,10 +186,10 @@ class _Builder(HTMLParser):
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
 
     def push(self, tag: str, attrs: dict[str, str]) -> None:
-        node = Element(tag, attrs, self.open[-1])
-        self.open[-1].children.append(node)
-        if len(self.open) < DEPTH or tag in VOID:
-            self.open.append(node)
+        parent = self.open[min(len(self.open), DEPTH) - 1]
+        node = Element(tag, attrs, parent)
+        parent.children.append(node)
+        self.open.append(node)
 
     def end_implied(self, ends: set[str], stops: set[str]) -> None:
         """Ends the outermost open element of ``ends`` within the nearest of ``stops``."""
@@ -179,7 +204,9 @@ class _Builder(HTMLParser):
 
     def cut(self, at: int) -> None:
         """Ends all open elements from one on; formatting among them goes on in what follows."""
-        self.ended += [e for e in self.open[at + 1 :] if e.tag in FORMATTING]
+        for e in self.open[at + 1 :]:
+            if e.tag in FORMATTING and sum(x.tag == e.tag and x.attrs == e.attrs for x in self.ended) < ALIKE:
+                self.ended.append(e)
         del self.open[at:]
 
     def reopen(self, tag: str = "") -> None:
@@ -232,24 +259,27 @@ class _Builder(HTMLParser):
         pass
 
 
+def number(root: Element) -> None:
+    """Numbers the elements and fills the document's lists."""
+    document = Document()
+    todo: list[Element | str | tuple[Element]] = [root]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            document.texts.append(at)
+        elif isinstance(at, tuple):  # all inside has been numbered
+            at[0].end, at[0].past_text = len(document.elements) - 1, len(document.texts)
+        else:
+            at.document, at.pre, at.first_text = document, len(document.elements), len(document.texts)
+            document.elements.append(at)
+            todo.append((at,))
+            todo.extend(reversed(at.children))
+
+
 def parse(html: str | None) -> Element:
     """The document's html element; it always has a head and a body."""
     builder = _Builder()
     builder.feed(html or "")
     builder.close()
-    number = 0
-    stack: list[tuple[Element, Iterator]] = []
-    root = builder.root
-    root.pre = 0
-    stack.append((root, iter(root.child_elements)))
-    while stack:
-        node, rest = stack[-1]
-        child = next(rest, None)
-        if child is None:
-            node.end = number
-            stack.pop()
-        else:
-            number += 1
-            child.pre = number
-            stack.append((child, iter(child.child_elements)))
-    return root
+    number(builder.root)
+    return builder.root

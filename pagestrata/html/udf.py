@@ -3,27 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schema
 
-#: Pages of which the records are in memory at the same time.
-BATCH = 64
+#: Pages, and bytes of HTML, of which the records are in memory at the same time.
+BATCH, BATCH_BYTES = 64, 8_000_000
+#: Bytes of input that a core gets at least before an input is dealt out.
+LEAST_BYTES = 4_000_000
 
 
-def page_data(pages: DataFrame) -> DataFrame:
+def cuts(sizes: list[int]) -> list[int]:
+    """Where batches end: after BATCH pages or BATCH_BYTES, whichever comes first."""
+    ends, pages, held = [], 0, 0
+    for i, size in enumerate(sizes):
+        if pages and (pages >= BATCH or held + size > BATCH_BYTES):
+            ends.append(i)
+            pages = held = 0
+        pages, held = pages + 1, held + size
+    return [*ends, len(sizes)] if sizes else []
+
+
+def dealt_out(pages: DataFrame) -> DataFrame:
+    """Small inputs over all cores: parsing is the costly part. The plan's own estimate of its size decides; nothing is run for it."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return pages.repartition(cores) if size < cores * LEAST_BYTES else pages
+
+
+def page_data(pages: DataFrame, last_year: int | None = None) -> DataFrame:
     """All columns of pages but html, and the record's columns. pages: url, html and whatever else.
 
-    Null html is an empty page. Each page is parsed once, whatever is asked of it afterwards. Parsing is
-    the costly part, so an input with fewer partitions than cores (small files) is dealt out evenly first.
+    Null html is an empty page. Each page is parsed once, whatever is asked of it afterwards. last_year: dates in
+    text are not later; the next year if not given. Spark bounds the bytes of what comes to Python at a time, and here
+    they are cut further, so a worker holds the records of few megabytes of HTML.
     """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() < cores:
-        pages = pages.repartition(cores)
+    if not pages.isStreaming:
+        pages = dealt_out(pages)
+    year = date.today().year + 1 if last_year is None else last_year
     kept = [f for f in pages.schema if f.name != "html"]
     record = T._parse_datatype_string(schema.PAGE_RECORD)
     out = T.StructType([*kept, *record])
@@ -34,9 +57,12 @@ def page_data(pages: DataFrame) -> DataFrame:
         from .extract import Page
 
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                rows = [Page(html, url or "").record() for html, url in zip(part.column("html").to_pylist(), part.column("url").to_pylist())]
+            sizes = pc.fill_null(pc.binary_length(batch.column("html")), 0).to_pylist()
+            at = 0
+            for end in cuts(sizes):
+                part = batch.slice(at, end - at)
+                at = end
+                rows = [Page(html.as_py(), url.as_py() or "", year).record() for html, url in zip(part.column("html"), part.column("url"))]
                 made = pa.Table.from_pylist(rows, schema=arrow).combine_chunks()
                 columns = [part.column(n) for n in names] + [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in made.columns]
                 yield pa.RecordBatch.from_arrays(columns, names + made.schema.names)

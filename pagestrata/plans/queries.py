@@ -37,7 +37,7 @@ def as_of() -> Column:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_data(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return page_data(table(spark, sf_dir, "pages").select("page_id", "url", "html"), last_year=int(AS_OF[:4]) + 1)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Trees, content scope and extraction on hand-written pages."""
 
+import time
 from datetime import datetime
 
 import pytest
 
-from pagestrata.html import weburl
+from pagestrata.html import udf, weburl
 from pagestrata.html.extract import Page, instant, max_snippet, person_like, phone_digits, text_date
 from pagestrata.html.scope import as_read
-from pagestrata.html.tree import parse
+from pagestrata.html.tree import DEPTH, parse
 
 URL = "https://www.example.ch/de/artikel/x?page=2"
 
@@ -55,6 +56,26 @@ def test_broken_pages():
         assert made["lists"] == []
 
 
+def test_deep_and_large_pages():
+    deep = "<div>" * 5000 + "<p>A paragraph far down, long enough to be one.</p>"
+    made = Page(deep, URL)
+    assert max(sum(1 for _ in e.line()) for e in made.elements) <= DEPTH + 1 and made.record()["paragraphs"] == ["A paragraph far down, long enough to be one."]
+    began = time.process_time()
+    for html in ("<p><b>" * 5000 + "x", "<ul><li>" * 5000, "".join(f"<section><h2>Is it {i}?</h2><p>The answer to question {i} is this paragraph.</p></section>" for i in range(3000))):
+        Page(html, URL).record()
+    assert time.process_time() - began < 20
+
+
+def test_formatting_alike_goes_on_three_times():
+    shape_ = body_of("<p><b><b><b><b><b>a<p>b")
+    assert shape_[1] == ["p", ["b", ["b", ["b", "b"]]]]
+
+
+def test_batches_by_pages_and_bytes():
+    assert udf.cuts([]) == [] and udf.cuts([1] * 130) == [64, 128, 130]
+    assert udf.cuts([9_000_000, 1, 7_999_999, 1]) == [1, 3, 4]
+
+
 def test_numbers_follow_the_document():
     root = parse("<div><p>a</p><p>b<i>c</i></p></div><hr>")
     order = [e.pre for e in root.walk()]
@@ -246,6 +267,19 @@ def test_text_dates(text, want):
     assert (found.isoformat() if found else None) == want
 
 
+def test_a_date_out_of_range_hides_no_other():
+    assert text_date("2099-01-01, updated 3. März 2021", 2025).isoformat() == "2021-03-03" and text_date("2099-01-01", 2025) is None
+    made = page("<main><h1>T</h1><p class='updated'>2099-01-01, then 11.08.2024</p></main>")
+    made.last_year = 2025
+    assert [d["formatted"] for d in made.dates()] == ["2099-01-01, then 11.08.2024"] and made.dates()[0]["date"] == datetime(2024, 8, 11)
+
+
+def test_repeated_nodes_count_where_they_come_first():
+    a, b = '{"@type":"Article","author":"Bob"}', '{"@type":"Thing","author":"Carl"}'
+    r = record("", head="".join(f'<script type="application/ld+json">{x}</script>' for x in (a, b, a)))
+    assert r["schemaTypes"] == ["Article", "Thing"] and r["author"] == {"name": "Bob", "source": "schema"}
+
+
 def test_dates_of_a_page():
     r = record("<main><h1>T</h1><time datetime='2024-03-01'>1 March</time><div class='article-date'>3. April 2024</div><p>On 5. Mai 2024 it rained.</p><aside><time datetime='2020-01-01'></time></aside><a href=/x><time datetime='2019-01-01'></time></a></main><footer><p>Zuletzt aktualisiert: 6. Juni 2024</p></footer>")
     assert [(d["date"].date().isoformat(), d["source"]) for d in r["dates"]] == [("2024-03-01", "time-element"), ("2024-04-03", "text"), ("2024-06-06", "text")]
