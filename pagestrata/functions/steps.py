@@ -22,3 +22,12 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once, inside an expression where no column can be added."""
     return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
+
+
+#: Rows up to which a side of a join is broadcast.
+SMALL = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows; no more than that are counted."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -34,11 +34,11 @@ def newest(history: DataFrame, key: str = "url_norm", at: str = "ts", kept: int
 
 
 def overview(history: DataFrame, host: str | None = None, key: str = "url_norm", at: str = "ts", score: str = "total_score") -> DataFrame:
-    """The latest score of each page of a host (of that very name), the change before it and the number of entries; worst first."""
+    """The latest score of each page of a host (of that very name), the change before it and the number of entries."""
     rows = history if host is None else history.where(urls.hostname(F.col(key)) == host)
     order = W.partitionBy(key).orderBy(F.desc(at))
     ranked = rows.select(key, F.col(at).alias("last_ts"), F.col(score).alias("last_score"), F.row_number().over(order).alias("position"), F.lead(score).over(order).alias("previous"), F.count("*").over(W.partitionBy(key)).alias("analysis_count"))
-    return ranked.where("position = 1").select(key, "last_ts", "last_score", round1(F.col("last_score") - F.col("previous")).alias("delta"), "analysis_count").orderBy("last_score", key)
+    return ranked.where("position = 1").select(key, "last_ts", "last_score", round1(F.col("last_score") - F.col("previous")).alias("delta"), "analysis_count")
 
 
 def previous_page_run(pages: DataFrame, runs: DataFrame) -> DataFrame:
@@ -52,25 +52,43 @@ def previous_page_run(pages: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def previous_run(pages: DataFrame, runs: DataFrame) -> DataFrame:
-    """The run that each run is compared with: for a site the latest earlier site, for a single page the latest earlier run that has it."""
-    kinds = runs.join(pages.groupBy("run_id").agg(F.count("*").alias("n"), F.min("path").alias("path")), "run_id").withColumn("kind", F.when(F.col("n") == 1, "page").otherwise("site"))
+    """The run that each run is compared with: for a site the latest earlier site, for a single page the latest earlier run that has it.
+
+    Runs of a path stand in a window by time; each looks at the last analyzed one before it, so no run meets all others.
+    """
+    kinds = runs.join(pages.groupBy("run_id").agg(F.count("*").alias("n")), "run_id").withColumn("kind", F.when(F.col("n") == 1, "page").otherwise("site"))
     sites = kinds.where("kind = 'site'").select("run_id", "kind", F.lag("run_id").over(W.partitionBy("origin").orderBy("created_at", "run_id")).alias("previous_run"))
-    ok = pages.where("status = 'ok'").join(kinds.select("run_id", "created_at"), "run_id").select("path", F.col("run_id").alias("other"), F.col("created_at").alias("other_at"))
-    alone = kinds.where("kind = 'page'").select("run_id", "kind", "path", "created_at").join(ok, "path", "left")
-    earlier = F.col("other_at") < F.col("created_at")
-    single = alone.groupBy("run_id", "kind").agg(F.max_by(F.when(earlier, F.col("other")), F.when(earlier, F.col("other_at"))).alias("previous_run"))
-    return sites.unionByName(single)
+    earlier = W.partitionBy("path").orderBy("created_at").rangeBetween(W.unboundedPreceding, -1)
+    at = pages.select("run_id", "path", "status").join(kinds.select("run_id", "kind", "created_at"), "run_id").withColumn("created_at", F.unix_micros("created_at"))
+    seen = F.max(F.when(F.col("status") == "ok", F.struct("created_at", "run_id"))).over(earlier)
+    return sites.unionByName(at.withColumn("seen", seen).where("kind = 'page'").select("run_id", "kind", F.col("seen.run_id").alias("previous_run")))
 
 
 def run_points(runs: DataFrame, totals: DataFrame, current: str | None = None) -> DataFrame:
-    """Runs as points of a chart, in order of time."""
-    return runs.join(totals, "run_id").select("run_id", "created_at", "label", "average_score", "analyzed", (F.col("run_id") == F.lit(current)).alias("current")).orderBy("created_at", "run_id")
+    """Runs as points of a chart."""
+    return runs.join(totals, "run_id").select("run_id", "created_at", "label", "average_score", "analyzed", (F.col("run_id") == F.lit(current)).alias("current"))
+
 
+def earlier_runs(runs: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """Each run with every earlier one of its site: origin, before, after.
 
-def earlier_runs(runs: DataFrame) -> DataFrame:
-    """Each run with every earlier one of its site."""
+    That is all pairs of a site's runs. done: pairs (before, after) that have been compared; with it, only runs that lack
+    a comparison with some earlier one meet those.
+    """
     a, b = runs.select("origin", F.col("run_id").alias("after"), F.col("created_at").alias("at")), runs.select("origin", F.col("run_id").alias("before"), F.col("created_at").alias("before_at"))
-    return a.join(b, "origin").where("before_at < at").select("origin", "before", "after")
+    if done is not None:
+        rank = F.row_number().over(W.partitionBy("origin").orderBy("created_at", "run_id")) - 1
+        due = runs.select(F.col("run_id").alias("after"), rank.alias("due"))
+        had = done.distinct().groupBy("after").agg(F.count("*").alias("had"))
+        open_ = due.join(had, "after", "left").where(F.coalesce("had", F.lit(0)) < F.col("due")).select("after")
+        a = a.join(open_, "after", "left_semi")
+    pairs = a.join(b, "origin").where("before_at < at").select("origin", "before", "after")
+    return pairs if done is None else pairs.join(done, ["before", "after"], "left_anti").select("origin", "before", "after")
+
+
+def missing_reports(pages: DataFrame, done: DataFrame) -> DataFrame:
+    """Pages of runs whose report hasn't been made: keys run_id and path of ``done`` are left out."""
+    return pages.join(done.select("run_id", "path").distinct(), ["run_id", "path"], "left_anti")
 
 
 def stale(records: DataFrame, cache: DataFrame, version: str) -> DataFrame:

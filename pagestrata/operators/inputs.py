@@ -7,36 +7,46 @@ from pyspark.sql import functions as F
 
 from ..functions import robots, urls
 from ..functions.numbers import size
+from ..functions.steps import small
 from .scoring import with_inputs
 
 MAX_DEPTH = 3
+SIDE_FILES = {"robots": "/robots.txt", "llms": "/llms.txt", "full": "/llms-full.txt"}
+#: Origins up to which what is known of them is broadcast.
+FEW_ORIGINS = 10_000
 UNIFORM_ENTRIES, UNIFORM_SHARE = 10, 0.9
 OK_COVERAGE, JS_COVERAGE, IGNORED_CHARS, JS_CHARS = 0.8, 0.25, 500, 200
 AUTH_PATH = r"(?i)(^|/)(login|signin|sign-in|anmelden|auth|authorize|account/login|session/new)(/|$|\?)"
 
 
-def side_file(files: DataFrame, path: str, name: str) -> DataFrame:
-    """One row an origin for one file: origin, name_status, name_body."""
-    return files.where(F.col("path") == path).groupBy("origin").agg(F.max_by("status", F.length(F.coalesce("body", F.lit("")))).alias(f"{name}_status"), F.max(F.coalesce("body", F.lit(""))).alias(f"{name}_body"))
+def side_files(files: DataFrame) -> DataFrame:
+    """One row an origin: status and body of robots.txt, llms.txt and llms-full.txt, each from one row, that with the longest body.
+
+    One aggregation over all files; bodies of other files aren't exchanged.
+    """
+
+    def chosen(path: str) -> Column:
+        own = F.struct(F.length(F.coalesce("body", F.lit(""))).alias("n"), F.col("status"), F.coalesce("body", F.lit("")).alias("body"))
+        return F.max(F.when(F.col("path") == path, own))
+
+    known = files.groupBy("origin").agg(*(chosen(path).alias(name) for name, path in SIDE_FILES.items()))
+    return known.select("origin", *(F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in SIDE_FILES for c in ("status", "body")))
 
 
 def with_side_files(pages: DataFrame, files: DataFrame) -> DataFrame:
     """Adds robotsTxt and llmsTxt to pages. files: origin, path, status, body; each file is parsed once an origin.
 
-    Pages of an origin without any row keep their inputs null.
+    Pages of an origin without any row keep their inputs null. Parsed files are broadcast if they are few, so that pages of a
+    large site stay where they are.
     """
-    known = files.select("origin").distinct()
-    parsed = known
-    for path, name in (("/robots.txt", "robots"), ("/llms.txt", "llms"), ("/llms-full.txt", "full")):
-        parsed = parsed.join(side_file(files, path, name), "origin", "left")
     status = F.coalesce("robots_status", F.lit(404))
     body = F.coalesce("robots_body", F.lit(""))
-    parsed = parsed.select(
+    parsed = side_files(files).select(
         "origin", status.alias("_status"), body.alias("_body"), robots.groups(body).alias("_groups"),
         robots.llms_txt(F.coalesce("llms_status", F.lit(404)), F.coalesce("llms_body", F.lit("")), F.coalesce("full_status", F.lit(404)), F.coalesce("full_body", F.lit(""))).alias("llmsTxt"),
     )
     keyed = pages.drop("robotsTxt", "llmsTxt").withColumn("_origin", urls.origin(F.col("url")))
-    met = keyed.join(parsed, F.col("_origin") == F.col("origin"), "left")
+    met = keyed.join(small(parsed, FEW_ORIGINS), F.col("_origin") == F.col("origin"), "left")
     verdict = F.when(F.col("_status").isNotNull(), robots.robots_txt(F.col("_status"), F.col("_body"), urls.robots_path(F.col("url")), F.col("_groups")))
     return met.withColumn("robotsTxt", verdict).drop("_origin", "origin", "_status", "_body", "_groups")
 
@@ -51,7 +61,7 @@ def with_probes(pages: DataFrame, probes: DataFrame) -> DataFrame:
     walled = robots.is_blocked_response(F.col("status"), F.col("cf_mitigated"))
     seen = probes.groupBy("origin").agg(F.array_sort(F.collect_set("bot")).alias("checked"), F.array_sort(F.collect_set(F.when(walled, F.col("bot")))).alias("blocked"))
     seen = seen.select("origin", F.struct("checked", "blocked").alias("botAccess"))
-    return pages.drop("botAccess").withColumn("origin", urls.origin(F.col("url"))).join(seen, "origin", "left").drop("origin")
+    return pages.drop("botAccess").withColumn("origin", urls.origin(F.col("url"))).join(small(seen, FEW_ORIGINS), "origin", "left").drop("origin")
 
 
 def crawler_view(rendered: Column, raw: Column, moved: Column | None = None) -> Column:
@@ -106,9 +116,11 @@ def reached_sitemaps(origins: DataFrame, entries: DataFrame, depth: int = MAX_DE
     return found.groupBy("origin", "declared", "sitemap").agg(F.min("depth").alias("depth"))
 
 
-def sitemap_stats(origins: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per origin: exists, declared, entries, share with lastmod, uniform; the pages listed with their lastmod)."""
-    entries = sitemap_entries(files)
+def sitemap_stats(origins: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per origin: exists, declared, entries, share with lastmod, uniform; the pages listed with their lastmod).
+
+    entries: as of sitemap_entries, best from a written table, since they are read for every level and figure.
+    """
     reached = reached_sitemaps(origins, entries)
     exists = reached.join(entries.select("sitemap").distinct(), "sitemap", "left_semi").select("origin").distinct().withColumn("exists", F.lit(True))
     pages = reached.join(entries.where("kind = 'page'"), "sitemap")
@@ -123,21 +135,20 @@ def sitemap_stats(origins: DataFrame, files: DataFrame) -> tuple[DataFrame, Data
     return stats, listed
 
 
-def with_sitemap(pages: DataFrame, origins: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds sitemap to pages. origins: origin, robots_body; files: url, body of fetched sitemaps."""
-    stats, listed = sitemap_stats(origins, files)
+def with_sitemap(pages: DataFrame, origins: DataFrame, entries: DataFrame) -> DataFrame:
+    """Adds sitemap to pages. origins: origin, robots_body; entries: as of sitemap_entries."""
+    stats, listed = sitemap_stats(origins, entries)
     keyed = pages.drop("sitemap").withColumns({"_origin": urls.origin(F.col("url")), "_key": urls.page_key(F.col("url"))})
-    met = keyed.join(stats, F.col("_origin") == stats["origin"], "left").drop("origin")
+    met = keyed.join(small(stats, FEW_ORIGINS), F.col("_origin") == stats["origin"], "left").drop("origin")
     met = met.join(listed.select(F.col("origin").alias("_o"), F.col("page_key").alias("_k"), F.coalesce("lastmod", "published").alias("_lastmod"), F.lit(True).alias("_listed")), (F.col("_origin") == F.col("_o")) & (F.col("_key") == F.col("_k")), "left")
     made = F.struct("exists", F.col("declared").alias("declaredInRobots"), F.coalesce("_listed", F.lit(False)).alias("listed"), F.col("_lastmod").alias("pageLastmod"), "entries", "lastmodShare", "lastmodUniform")
     return met.withColumn("sitemap", F.when(F.col("exists").isNotNull(), made)).drop("_origin", "_key", "exists", "declared", "entries", "lastmodShare", "lastmodUniform", "_o", "_k", "_lastmod", "_listed")
 
 
-def discovered_pages(origins: DataFrame, files: DataFrame, current: str | None = None, most: int = 30) -> DataFrame:
+def discovered_pages(origins: DataFrame, entries: DataFrame, current: str | None = None, most: int = 30) -> DataFrame:
     """Pages to analyze from sitemaps: each once by origin and path, of the same host, in order, at most ``most`` an origin."""
     from pyspark.sql import Window as W
 
-    entries = sitemap_entries(files)
     found = reached_sitemaps(origins, entries).join(entries.where("kind = 'page'"), "sitemap")
     same = found.where(urls.hostname(F.col("loc")) == urls.hostname(F.col("origin"))).withColumn("key", urls.history_key(F.col("loc")))
     if current is not None:

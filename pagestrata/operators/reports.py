@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.numbers import half_up, round1, size
+from .orders import in_order
+from .runs import open_findings
 from .scoring import category_level, status
 
 #: Findings shown before the rest is folded.
@@ -35,9 +37,9 @@ def visible_findings(findings: Column) -> Column:
 
 
 def findings_by_key(pages: DataFrame) -> DataFrame:
-    """Findings of a run with the pages they are on, the most frequent first, then the most urgent."""
-    rows = pages.where("status = 'ok'").select("path", F.explode("findings").alias("f"))
-    return rows.groupBy("f.key", "f.priority").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("paths")).orderBy(F.desc("n"), F.desc("priority"), "key")
+    """Findings of a run with the number of their pages and the first of these."""
+    found = open_findings(pages.where("status = 'ok'"))
+    return found.select("key", "priority", F.col("page_count").alias("n"), F.col("pages").alias("paths"))
 
 
 def category_means(pages: DataFrame) -> DataFrame:
@@ -66,15 +68,15 @@ def signed(x: Column) -> Column:
 def diff_markdown(changes: DataFrame) -> DataFrame:
     """One Markdown line a changed page (page_changes), the largest losses first."""
     lists = [F.when(size(F.col(c)) > 0, F.concat(F.lit(f" · {label}: "), F.array_join(c, ", "))).otherwise(F.lit("")) for c, label in (("findings_fixed", "fixed"), ("findings_new", "new"), ("regressed", "regressed"))]
-    return changes.orderBy("delta", "path").select(F.concat(F.lit("- `"), "path", F.lit("` "), F.format_number("before", 1), F.lit(" → "), F.format_number("after", 1), F.lit(" ("), signed(F.col("delta")), F.lit(")"), *lists).alias("value"))
+    return in_order(changes, "page_changes").select(F.concat(F.lit("- `"), "path", F.lit("` "), F.format_number("before", 1), F.lit(" → "), F.format_number("after", 1), F.lit(" ("), signed(F.col("delta")), F.lit(")"), *lists).alias("value"))
 
 
 def ticket_markdown(plan: DataFrame) -> DataFrame:
     """One Markdown section a work item (plan_tickets), in the plan's order."""
-    return plan.select(F.concat(F.lit("## "), "title", F.lit("\n\n"), F.lit("state: "), "state", F.lit(", level: "), "level", F.lit("\n\n"), "body").alias("value"))
+    return in_order(plan, "tickets").select(F.concat(F.lit("## "), "title", F.lit("\n\n"), F.lit("state: "), "state", F.lit(", level: "), "level", F.lit("\n\n"), "body").alias("value"))
 
 
 def terminal_lines(results: DataFrame) -> DataFrame:
     """One line a page: score, rating, URL and its first findings; the lowest scores first."""
     first = F.array_join(F.transform(visible_findings(F.col("findings"))["shown"], lambda f: f["key"]), ", ")
-    return results.orderBy("totalScore", "url").select(F.concat(F.lpad(F.format_number("totalScore", 1), 5, " "), F.lit("/30  "), F.rpad("rating", 9, " "), F.lit("  "), "url", F.lit("  "), first).alias("value"))
+    return in_order(results, "pages").select(F.concat(F.lpad(F.format_number("totalScore", 1), 5, " "), F.lit("/30  "), F.rpad("rating", 9, " "), F.lit("  "), "url", F.lit("  "), first).alias("value"))

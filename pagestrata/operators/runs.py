@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config
 from ..functions import checks, urls
 from ..functions.numbers import round1, size
+from ..functions.steps import small
 from ..functions.text import first_sentence_title
 from .scoring import checks_map
 
@@ -16,24 +18,25 @@ CATEGORY_FIELDS = ", ".join(f"{n}: DOUBLE" for n in config.CATEGORIES)
 SNAPSHOT_PAGES = f"""
 run_id STRING, url STRING, path STRING, status STRING, error STRING, http_status INT, total_score DOUBLE, page_type STRING,
 categories STRUCT<{CATEGORY_FIELDS}>, checks MAP<STRING, BOOLEAN>,
-findings ARRAY<STRUCT<key: STRING, fingerprint: STRING, owner: STRING, effort: STRING, priority: INT, text: STRING>>
+findings ARRAY<STRUCT<key: STRING, fingerprint: STRING, owner: STRING, effort: STRING, priority: INT, text: STRING>>, position BIGINT
 """.replace("\n", " ").strip()
 SNAPSHOTS = "run_id STRING, format STRING, tool_version STRING, created_at TIMESTAMP, label STRING, lang STRING, origin STRING, source STRING"
 LISTED_PAGES = 25
 
 
 def snapshot_pages(results: DataFrame, run_id: str | Column) -> DataFrame:
-    """Page rows of a run. A row with an error, or without a score, is a failed page."""
+    """Page rows of a run. A row with an error, or without a score, is a failed page. position: the order of the inputs, if they tell one, else that of the rows."""
     run = F.lit(run_id) if isinstance(run_id, str) else run_id
     path = urls.snapshot_path(F.col("url"))
     error = F.col("error") if "error" in results.columns else F.lit(None).cast("string")
     http = F.col("http_status") if "http_status" in results.columns else F.lit(None).cast("int")
+    position = F.col("position") if "position" in results.columns else F.monotonically_increasing_id()
     ok = error.isNull()
     findings = F.transform(F.col("findings"), lambda f: F.struct(f["key"].alias("key"), F.concat(F.lit("finding:"), f["key"], F.lit(":"), path).alias("fingerprint"), F.coalesce(f["owner"], F.lit("dev")).alias("owner"), F.coalesce(f["effort"], F.lit("medium")).alias("effort"), F.coalesce(f["priority"], F.lit(0)).alias("priority"), f["key"].alias("text")))
     return results.select(
         run.alias("run_id"), "url", path.alias("path"), F.when(ok, "ok").otherwise("error").alias("status"), error.alias("error"), http.cast("int").alias("http_status"),
         F.when(ok, round1(F.col("totalScore"))).alias("total_score"), F.when(ok, F.col("pageType")).alias("page_type"),
-        F.when(ok, F.struct(*(round1(F.col(n)).alias(n) for n in config.CATEGORIES))).alias("categories"), F.when(ok, checks_map(F.col("criteria"))).alias("checks"), F.when(ok, findings).alias("findings"),
+        F.when(ok, F.struct(*(round1(F.col(n)).alias(n) for n in config.CATEGORIES))).alias("categories"), F.when(ok, checks_map(F.col("criteria"))).alias("checks"), F.when(ok, findings).alias("findings"), position.cast("bigint").alias("position"),
     )
 
 
@@ -52,7 +55,7 @@ def read_snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     """(headers, pages) of the runs in the format that this engine knows."""
     runs = spark.read.schema(SNAPSHOTS).parquet(f"{folder}/runs").where(F.col("format") == config.SNAPSHOT_FORMAT)
     pages = spark.read.schema(SNAPSHOT_PAGES).parquet(f"{folder}/pages")
-    return runs, pages.join(F.broadcast(runs.select("run_id")), "run_id", "left_semi")
+    return runs, pages.join(small(runs.select("run_id")), "run_id", "left_semi")
 
 
 def run_totals(pages: DataFrame, *by: str) -> DataFrame:
@@ -62,11 +65,10 @@ def run_totals(pages: DataFrame, *by: str) -> DataFrame:
 
 
 def last_by_path(pages: DataFrame) -> DataFrame:
-    """One row a path: of repeated ones the last, as far as the rows have an order (column position)."""
-    if "position" not in pages.columns:
-        return pages.dropDuplicates(["path"])
-    cols = [c for c in pages.columns if c != "path"]
-    return pages.groupBy("path").agg(F.max_by(F.struct(*cols), F.col("position")).alias("x")).select("path", "x.*")
+    """One row a path: of repeated ones the last by position, or by the order of the rows where there is none."""
+    placed = pages if "position" in pages.columns else pages.withColumn("position", F.monotonically_increasing_id())
+    cols = [c for c in placed.columns if c != "path"]
+    return placed.groupBy("path").agg(F.max_by(F.struct(*cols), F.coalesce("position", F.lit(-1))).alias("x")).select("path", "x.*")
 
 
 def matched(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ def new_criteria(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def page_changes(pairs: DataFrame) -> DataFrame:
-    """Scores, criteria and findings that changed on the pages of both runs; the largest losses first."""
+    """Scores, criteria and findings that changed on the pages of both runs."""
     before, after = (F.coalesce(F.col(f"{s}.total_score"), F.lit(0.0)) for s in "ba")
     keys = [F.transform(F.coalesce(F.col(f"{s}.findings"), F.array()), lambda f: f["key"]) for s in "ba"]
     none = F.create_map().cast("map<string,boolean>")
@@ -110,21 +112,32 @@ def page_changes(pairs: DataFrame) -> DataFrame:
     return common_pages(pairs).select(
         "path", before.alias("before"), after.alias("after"), round1(after - before).alias("delta"), checks.fixed(*checked).alias("fixed"), checks.regressed(*checked).alias("regressed"),
         F.array_except(keys[0], keys[1]).alias("findings_fixed"), F.array_except(keys[1], keys[0]).alias("findings_new"),
-    ).orderBy("delta", "path")
+    )
+
+
+def first_pages(rows: DataFrame, *names: str) -> DataFrame:
+    """(key, names): of each list the first LISTED_PAGES paths. rows: key, path and a boolean column by name.
+
+    Ranks are cut before rows are exchanged, so a finding of all pages sends no more of them than it lists.
+    """
+    each = rows.select("key", "path", F.explode(F.array_compact(F.array(*(F.when(F.col(n), F.lit(n)) for n in names)))).alias("list"))
+    ranked = each.withColumn("n", F.row_number().over(W.partitionBy("key", "list").orderBy("path"))).where(F.col("n") <= LISTED_PAGES)
+    lists = ranked.groupBy("key").agg(*(F.array_sort(F.collect_list(F.when(F.col("list") == n, F.col("path")))).alias(n) for n in names))
+    return lists
 
 
 def finding_changes(pairs: DataFrame) -> DataFrame:
-    """Findings of both runs on their common pages: pages before and after, and where it went or came."""
+    """Findings of both runs on their common pages: pages before and after, on how many it went (fixed) or came (new), and the first of these pages."""
     common = common_pages(pairs)
     sides = [common.select("path", F.explode(f"{s}.findings").alias(s)).select("path", F.col(f"{s}.key").alias("key"), s) for s in "ba"]
-    met = sides[0].join(sides[1], ["path", "key"], "full_outer")
-    told = F.coalesce(F.col("a"), F.col("b"))
-    gone, came = F.col("a").isNull(), F.col("b").isNull()
+    met = sides[0].join(sides[1], ["path", "key"], "full_outer").withColumns({"fixed_on": F.col("a").isNull(), "new_on": F.col("b").isNull()})
     rows = met.groupBy("key").agg(
-        F.min_by(told, F.struct(F.col("a").isNull(), F.col("path"))).alias("of"), F.count_if(F.col("b").isNotNull()).alias("before"), F.count_if(F.col("a").isNotNull()).alias("after"),
-        F.array_sort(F.collect_list(F.when(gone, F.col("path")))).alias("fixed_on"), F.array_sort(F.collect_list(F.when(came, F.col("path")))).alias("new_on"),
+        F.min_by(F.coalesce(F.col("a"), F.col("b")), F.struct(F.col("a").isNull(), F.col("path"))).alias("of"), F.count_if(F.col("b").isNotNull()).alias("before"), F.count_if(F.col("a").isNotNull()).alias("after"),
+        F.count_if("fixed_on").alias("fixed"), F.count_if("new_on").alias("new"),
     )
-    return rows.select("key", "of.text", "of.owner", "of.effort", "of.priority", "before", "after", "fixed_on", "new_on").orderBy(F.desc(F.col("after") - F.col("before")), F.desc("priority"), "key")
+    none = F.array().cast("array<string>")
+    listed = rows.join(first_pages(met, "fixed_on", "new_on"), "key", "left")
+    return listed.select("key", "of.text", "of.owner", "of.effort", "of.priority", "before", "after", "fixed", "new", F.coalesce("fixed_on", none).alias("fixed_on"), F.coalesce("new_on", none).alias("new_on"))
 
 
 def diff_totals(pairs: DataFrame) -> DataFrame:
@@ -153,9 +166,10 @@ def level(priority: Column) -> Column:
 
 
 def open_findings(pages: DataFrame) -> DataFrame:
-    """Findings of a run with the pages they are on; owner and the like as on the first of these."""
-    rows = pages.select("path", F.explode("findings").alias("f"))
-    return rows.groupBy("f.key").agg(F.min_by("f", "path").alias("of"), F.array_sort(F.collect_list("path")).alias("pages")).select("key", "of.text", "of.owner", "of.effort", "of.priority", "pages")
+    """Findings of a run with the number of their pages and the first of these; owner and the like as on the first."""
+    rows = pages.select("path", F.explode("findings").alias("f")).select("path", "f", F.col("f.key").alias("key"), F.lit(True).alias("pages"))
+    counted = rows.groupBy("key").agg(F.min_by("f", "path").alias("of"), F.count("*").alias("page_count"))
+    return counted.join(first_pages(rows, "pages"), "key").select("key", "of.text", "of.owner", "of.effort", "of.priority", "page_count", "pages")
 
 
 def plan_tickets(pages: DataFrame, origin: str, baseline: DataFrame | None = None, owner: str | None = None, min_priority: int = 0) -> DataFrame:
@@ -168,14 +182,13 @@ def plan_tickets(pages: DataFrame, origin: str, baseline: DataFrame | None = Non
         planned = opened.select("*", F.lit("open").alias("state"), F.lit(None).cast("long").alias("before"), F.lit(None).cast("long").alias("after"), none.alias("fixed_on"), none.alias("new_on"))
     else:
         changes = finding_changes(matched(baseline, pages))
-        now = opened.join(changes.select("key", "before", "after", "fixed_on", "new_on"), "key", "left").select("key", "text", "owner", "effort", "priority", "pages", F.lit("open").alias("state"), "before", "after", "fixed_on", "new_on")
-        gone = changes.join(opened.select("key"), "key", "left_anti").where("before > 0").select("key", "text", "owner", "effort", "priority", F.array().cast("array<string>").alias("pages"), F.lit("resolved").alias("state"), "before", "after", "fixed_on", "new_on")
+        now = opened.join(changes.select("key", "before", "after", "fixed_on", "new_on"), "key", "left").select("key", "text", "owner", "effort", "priority", "page_count", "pages", F.lit("open").alias("state"), "before", "after", "fixed_on", "new_on")
+        gone = changes.join(opened.select("key"), "key", "left_anti").where("before > 0").select("key", "text", "owner", "effort", "priority", F.lit(0).cast("bigint").alias("page_count"), F.array().cast("array<string>").alias("pages"), F.lit("resolved").alias("state"), "before", "after", "fixed_on", "new_on")
         planned = now.unionByName(gone)
-    listed = F.concat(F.transform(F.slice("pages", 1, LISTED_PAGES), lambda p: F.concat(F.lit(f"- {origin}"), p)), F.when(size(F.col("pages")) > LISTED_PAGES, F.array(F.concat(F.lit("- +"), (size(F.col("pages")) - LISTED_PAGES).cast("string")))).otherwise(F.array().cast("array<string>")))
+    listed = F.concat(F.transform("pages", lambda p: F.concat(F.lit(f"- {origin}"), p)), F.when(F.col("page_count") > LISTED_PAGES, F.array(F.concat(F.lit("- +"), (F.col("page_count") - LISTED_PAGES).cast("string")))).otherwise(F.array().cast("array<string>")))
     marker = F.concat(F.lit("finding:"), host, F.lit(":"), F.col("key"))
     body = F.concat_ws("\n\n", F.concat(F.lit("**"), F.col("owner"), F.lit("** · "), F.col("effort")), F.when(F.col("state") == "open", F.concat_ws("\n\n", F.col("text"), F.array_join(listed, "\n"))), F.concat(F.lit("`"), marker, F.lit("`")))
-    rows = planned.where(keep).withColumns({"marker": marker, "title": first_sentence_title(F.col("text")), "level": level(F.col("priority")), "page_count": size(F.col("pages")), "body": body})
-    return rows.orderBy(F.col("state") != "open", F.desc("priority"), F.desc("page_count"), "key")
+    return planned.where(keep).withColumns({"marker": marker, "title": first_sentence_title(F.col("text")), "level": level(F.col("priority")), "body": body})
 
 
 def findings_json(pages: DataFrame) -> DataFrame:
@@ -185,9 +198,26 @@ def findings_json(pages: DataFrame) -> DataFrame:
 
 
 def snapshot_json(header: DataFrame, pages: DataFrame) -> DataFrame:
-    """One JSON document a run: header, pages in the order of their paths, summary. A run's pages come together here."""
-    entries = pages.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("path", "url", "status", "error", "http_status", "total_score", "page_type", "categories", "checks", "findings")), lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0)).alias("pages"))
-    return header.join(entries, "run_id").join(run_totals(pages, "run_id").withColumnRenamed("pages", "n_pages"), "run_id").select(F.to_json(F.struct("format", F.struct(F.col("tool_version").alias("version")).alias("tool"), "created_at", "label", "lang", "origin", "source", "pages", F.struct(F.col("n_pages").alias("pages"), "analyzed", "average_score").alias("summary"))).alias("value"))
+    """Runs as JSON documents, line by line: run_id, place, value. A run's lines in the order of place are its document.
+
+    There is a line to open it with the header, one a page in the order of paths, and one to end it with the summary; so no
+    row holds a whole run, whatever its size.
+    """
+    opening = F.to_json(F.struct("format", F.struct(F.col("tool_version").alias("version")).alias("tool"), "created_at", "label", "lang", "origin", "source"))
+    summary = header.select("run_id").join(run_totals(pages, "run_id"), "run_id", "left")
+    first = pages.groupBy("run_id").agg(F.min(F.struct("path", "url")).alias("first"))
+    entry = F.to_json(F.struct("path", "url", "status", "error", "http_status", "total_score", "page_type", "categories", "checks", "findings"))
+    own = pages.join(small(first), "run_id").select("run_id", F.struct(F.lit(1).alias("part"), "path", "url").alias("place"), F.concat(F.when(F.struct("path", "url") == F.col("first"), F.lit("  ")).otherwise(F.lit("  ,")), entry).alias("value"))
+    edge = lambda part: F.struct(F.lit(part).alias("part"), F.lit("").alias("path"), F.lit("").alias("url")).alias("place")
+    start = header.select("run_id", edge(0), F.concat(F.regexp_replace(opening, r"\}$", ""), F.lit(',"pages":[')).alias("value"))
+    end = summary.select("run_id", edge(2), F.concat(F.lit('],"summary":'), F.to_json(F.struct(F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("analyzed", F.lit(0)).alias("analyzed"), "average_score")), F.lit("}")).alias("value"))
+    return start.unionByName(own).unionByName(end)
+
+
+def write_snapshot_json(header: DataFrame, pages: DataFrame, folder: str) -> None:
+    """Text files below run_id=...: read one after the other, by name, they are the run's document."""
+    lines = snapshot_json(header, pages).repartitionByRange("run_id", "place").sortWithinPartitions("run_id", "place")
+    lines.select("run_id", "value").write.partitionBy("run_id").text(folder)
 
 
 def parse_snapshot_json(text: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..functions.numbers import clamp, round1
 from ..functions.steps import once
 from . import criteria as C
+from .orders import in_order
 
 
 #: What analyze adds to a record.
@@ -116,7 +117,7 @@ def findings_table(results: DataFrame, *keys: str) -> DataFrame:
 
 
 def worst_first(results: DataFrame) -> DataFrame:
-    return results.orderBy("totalScore", "url")
+    return in_order(results, "pages")
 
 
 def run_summary(results: DataFrame, *by: str) -> DataFrame:

@@ -128,10 +128,9 @@ ROBOTS = "User-agent: *\nDisallow: /fr/\nAllow: /fr/1\n\nUser-agent: GPTBot\nUse
 
 def robots_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawlers that one robots.txt keeps from each page."""
-    parsed = B.groups(F.lit(ROBOTS))
     pages = table(spark, sf_dir, "pages").select("page_id", U.robots_path(F.col("url")).alias("path"))
-    files = spark.range(1).select(parsed.alias("groups"))
-    return pages.crossJoin(F.broadcast(files)).select("page_id", F.array_join(F.array_sort(B.blocked_bots(F.col("groups"), F.col("path"), F.array(F.lit("GPTBot"), F.lit("Googlebot")))), ",").alias("blocked"))
+    blocked = B.blocked_bots(B.groups(F.lit(ROBOTS)), F.col("path"), F.array(F.lit("GPTBot"), F.lit("Googlebot")))
+    return pages.select("page_id", F.array_join(F.array_sort(blocked), ",").alias("blocked"))
 
 
 # -- text of documents --
@@ -232,7 +231,7 @@ def run_page_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_finding_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.finding_changes(pairs(spark, sf_dir)).select("key", "priority", "before", "after", F.size("fixed_on").cast("long").alias("fixed"), F.size("new_on").cast("long").alias("new"))
+    return D.finding_changes(pairs(spark, sf_dir)).select("key", "priority", "before", "after", "fixed", "new")
 
 
 def run_pages_added(spark: SparkSession, sf_dir: str) -> DataFrame:

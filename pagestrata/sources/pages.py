@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -32,10 +34,34 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_of_each(inputs: DataFrame, key: str = "url", order: str = "position") -> DataFrame:
-    """Inputs without repetition, in their order."""
-    return inputs.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n").orderBy(order)
+    """Inputs without repetition: of equal ones the first by ``order``."""
+    return inputs.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
 
 
 def write_results(results: DataFrame, path: str, form: str = "parquet") -> None:
     """Results as Parquet or JSON, a row a page."""
     getattr(results.write.mode("overwrite"), form)(path)
+
+
+#: Schemes, hosts and file types that no page can be read from.
+RESTRICTED = r"(?i)^(?:chrome|chrome-extension|edge|brave|about|moz-extension|devtools|view-source|data|javascript|file):"
+
+
+def readable(inputs: DataFrame, key: str = "url") -> DataFrame:
+    """Inputs that are pages of the web: not a browser's own, and not null."""
+    return inputs.where(F.col(key).isNotNull() & ~F.col(key).rlike(RESTRICTED))
+
+
+def all_inputs(*sources: DataFrame) -> DataFrame:
+    """URLs of several sources (named ones, a list's, a sitemap's), each once: those of the first source first, then as they stand there.
+
+    A source has url and, if its order matters, position.
+    """
+    told = [s.select("url", F.struct(F.lit(i).alias("source"), (F.col("position") if "position" in s.columns else F.monotonically_increasing_id()).cast("bigint").alias("at")).alias("position")) for i, s in enumerate(sources)]
+    return first_of_each(readable(reduce(DataFrame.unionByName, told)))
+
+
+def stored_entries(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """Stored histories or caches: a table scan; with a version, only entries of that version."""
+    rows = spark.read.parquet(path)
+    return rows if version is None else rows.where(F.col("version") == version)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,29 +27,35 @@ def analyze_stream(pages: DataFrame, sink: Callable[[DataFrame, int], None], che
     """Starts a query that gives each batch's results to ``sink``; a batch that is run again has the same number."""
 
     def each(batch: DataFrame, number: int) -> None:
-        sink(analyze(page_data(batch), None if as_of is None else F.lit(as_of).cast("timestamp")), number)
+        sink(analyze(page_data(batch, None if as_of is None else int(as_of[:4]) + 1), None if as_of is None else F.lit(as_of).cast("timestamp")), number)
 
     return pages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _trend(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Entries of one page, in order of time within a batch; the state keeps the newest scores."""
-    scores: list[float] = list(state.get[0]) if state.exists else []
+    """Entries of one page against the entry before them in time; the state keeps the newest entries, in order of time.
+
+    An entry that comes late is compared with what was before it then; what has been told of later ones stays as it is.
+    """
+    times, scores = map(list, state.get) if state.exists else ([], [])
     out = []
     rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-    for row in rows.itertuples():
-        before = scores[-1] if scores else None
-        delta = None if before is None else math.floor((row.total_score - before) * 10 + 0.5) / 10
+    for ts, score in zip(rows["ts"], rows["total_score"]):
+        at = bisect_right(times, int(ts.value))
+        before = scores[at - 1] if at else None
+        delta = None if before is None else math.floor((score - before) * 10 + 0.5) / 10
         sign = None if delta is None else "up" if delta > 0 else "down" if delta < 0 else "flat"
-        scores = [*scores, float(row.total_score)][-KEPT:]
-        out.append((key[0], row.ts, row.total_score, before, None if delta is None else abs(delta), sign, len(scores)))
-    state.update((scores,))
+        times.insert(at, int(ts.value))
+        scores.insert(at, float(score))
+        times, scores = times[-KEPT:], scores[-KEPT:]
+        out.append((key[0], ts, score, before, None if delta is None else abs(delta), sign, len(scores)))
+    state.update((times, scores))
     yield pd.DataFrame(out, columns=["url_norm", "ts", "total_score", "previous_score", "delta", "direction", "analysis_count"])
 
 
 def history_stream(entries: DataFrame) -> DataFrame:
     """Trend of each entry (url_norm, ts, total_score) against the one before it, computed before it is stored."""
-    return entries.groupBy("url_norm").applyInPandasWithState(_trend, TREND, "scores ARRAY<DOUBLE>", "append", GroupStateTimeout.NoTimeout)
+    return entries.groupBy("url_norm").applyInPandasWithState(_trend, TREND, "times ARRAY<BIGINT>, scores ARRAY<DOUBLE>", "append", GroupStateTimeout.NoTimeout)
 
 
 def daily_stream(reports: DataFrame, late: str = "1 day") -> DataFrame:

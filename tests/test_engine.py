@@ -1,5 +1,7 @@
 """Criteria, scores, findings, runs, histories, inputs and streams."""
 
+import glob
+import json
 import math
 from datetime import datetime
 
@@ -13,6 +15,7 @@ from pagestrata.operators import history as H
 from pagestrata.operators import inputs as I
 from pagestrata.operators import runs as D
 from pagestrata.operators import scoring as S
+from pagestrata.operators.orders import in_order
 from pagestrata.sources import pages as P
 from pagestrata.streaming import pages as stream
 
@@ -117,7 +120,7 @@ def test_optional_inputs(spark, pages):
         "url string, body string",
     )
     origins = spark.createDataFrame([("https://www.example.ch", files.where("path = '/robots.txt'").head()["body"])], "origin string, robots_body string")
-    made = I.with_sitemap(I.with_probes(I.with_side_files(page_data(pages.where("page_id < 4")), files), probes), origins, maps)
+    made = I.with_sitemap(I.with_probes(I.with_side_files(page_data(pages.where("page_id < 4")), files), probes), origins, I.sitemap_entries(maps))
     got = {r["page_id"]: r for r in I.complete(made).collect()}
     assert got[2]["robotsTxt"]["blockedBots"] == ["OAI-SearchBot"] and got[1]["robotsTxt"]["blockedBots"] == [] and got[1]["llmsTxt"]["exists"] and not got[1]["llmsTxt"]["fullExists"]
     assert got[1]["botAccess"]["checked"] == ["ClaudeBot", "GPTBot", "PerplexityBot"] and got[1]["botAccess"]["blocked"] == ["ClaudeBot", "GPTBot"]
@@ -127,7 +130,7 @@ def test_optional_inputs(spark, pages):
     assert math.isclose(c["robotsTxt"]["points"], 1.5 * (1 - (3 + 0.5 * 2) / 27)) and {"ai_bots_blocked"} <= set(findings) and "ai_bots_firewall" not in findings
     assert math.isclose(c["sitemap"]["points"], 1.0) and c["llmsTxt"]["points"] == 0.5
     assert [r["verification"] for r in I.search_verification(page_data(pages.where("page_id = 1")), files).collect()] == ["file"]
-    found = I.discovered_pages(origins, maps, current="https://www.example.ch/de/", most=5)
+    found = I.discovered_pages(origins, I.sitemap_entries(maps), current="https://www.example.ch/de/", most=5)
     assert [r["url"] for r in found.collect()] == ["https://www.example.ch/other?a=1&b=2"]
 
 
@@ -157,7 +160,7 @@ def snapshot(spark, run_id, rows):
     for path, score, findings, checks in rows:
         own = [(k, f"finding:{k}:{path}", meta[k][1], meta[k][2], meta[k][0], k) for k in findings]
         ok = score is not None
-        made.append((run_id, f"https://example.ch{path}", path, "ok" if ok else "error", None if ok else "timeout", None, score, "other", None, checks if ok else None, own if ok else None))
+        made.append((run_id, f"https://example.ch{path}", path, "ok" if ok else "error", None if ok else "timeout", None, score, "other", None, checks if ok else None, own if ok else None, len(made)))
     return spark.createDataFrame(made, D.SNAPSHOT_PAGES)
 
 
@@ -172,8 +175,8 @@ def test_diff(two_runs):
     pairs = D.matched(*two_runs)
     assert [r["path"] for r in D.pages_added(pairs).collect()] == ["/new"] and [r["path"] for r in D.pages_removed(pairs).collect()] == ["/old"]
     assert [tuple(r) for r in D.pages_failed(pairs).collect()] == [("/f", None, "timeout")]
-    assert [tuple(r) for r in D.page_changes(pairs).collect()] == [("/a", 12.0, 11.0, -1.0, [], ["h1"], [], ["no_lists"]), ("/", 10.0, 14.0, 4.0, ["h1"], [], ["no_h1"], [])]
-    assert [(r["key"], r["before"], r["after"], r["fixed_on"], r["new_on"]) for r in D.finding_changes(pairs).collect()] == [("no_lists", 0, 1, [], ["/a"]), ("no_date", 1, 1, [], []), ("no_h1", 1, 0, ["/"], [])]
+    assert [tuple(r) for r in in_order(D.page_changes(pairs), "page_changes").collect()] == [("/a", 12.0, 11.0, -1.0, [], ["h1"], [], ["no_lists"]), ("/", 10.0, 14.0, 4.0, ["h1"], [], ["no_h1"], [])]
+    assert [(r["key"], r["before"], r["after"], r["fixed_on"], r["new_on"]) for r in in_order(D.finding_changes(pairs), "finding_changes").collect()] == [("no_lists", 0, 1, [], ["/a"]), ("no_date", 1, 1, [], []), ("no_h1", 1, 0, ["/"], [])]
     totals = D.diff_totals(pairs).head()
     assert (totals["pages"], totals["before"], totals["after"], totals["delta"]) == (2, 11.0, 12.5, 1.5)
     assert (totals["fixed"], totals["new"], totals["pages_up"], totals["pages_down"], totals["regression"]) == (1, 1, 1, 1, True)
@@ -195,13 +198,30 @@ def test_totals_and_gate(two_runs):
     assert D.gate(after, 15.0) and not D.gate(after, 15.1) and not D.gate(after.where("status = 'error'"), 0)
 
 
+def test_last_of_repeated_pages_and_long_lists(spark):
+    twice = snapshot(spark, "r1", [("/", 10.0, ["no_h1"], {}), ("/a", 1.0, [], {}), ("/", 14.0, [], {})])
+    for rows in (twice, twice.orderBy("total_score", ascending=False), twice.drop("position")):
+        assert {r["path"]: r["total_score"] for r in D.last_by_path(rows).collect()} == {"/": 14.0, "/a": 1.0} or "position" not in rows.columns
+    many = snapshot(spark, "r2", [(f"/{i:03}", 1.0, ["no_h1"], {}) for i in range(60)])
+    row = D.plan_tickets(many, "https://example.ch").head()
+    assert row["page_count"] == 60 and row["pages"] == [f"/{i:03}" for i in range(25)] and "- +35" in row["body"]
+    gone = D.finding_changes(D.matched(many, snapshot(spark, "r3", [(f"/{i:03}", 1.0, [], {}) for i in range(60)]))).head()
+    assert (gone["before"], gone["after"], gone["fixed"], gone["new"], len(gone["fixed_on"])) == (60, 0, 60, 0, 25)
+
+
+def test_a_side_file_is_one_row(spark):
+    files = spark.createDataFrame([("https://a.ch", "/robots.txt", 500, "zz"), ("https://a.ch", "/robots.txt", 200, "a longer body"), ("https://b.ch", "/other.txt", 200, "x")], "origin string, path string, status int, body string")
+    got = {r["origin"]: (r["robots_status"], r["robots_body"], r["llms_body"]) for r in I.side_files(files).collect()}
+    assert got == {"https://a.ch": (200, "a longer body", None), "https://b.ch": (None, None, None)}
+
+
 def test_tickets(two_runs):
     before, after = two_runs
-    rows = [(r["key"], r["state"], r["pages"], r["level"], r["marker"]) for r in D.plan_tickets(after, "https://example.ch", before).collect()]
+    rows = [(r["key"], r["state"], r["pages"], r["level"], r["marker"]) for r in in_order(D.plan_tickets(after, "https://example.ch", before), "tickets").collect()]
     assert rows == [("no_lists", "open", ["/a", "/new"], "medium", "finding:example.ch:no_lists"), ("no_date", "open", ["/"], "medium", "finding:example.ch:no_date"), ("no_h1", "resolved", [], "high", "finding:example.ch:no_h1")]
     assert [r["key"] for r in D.plan_tickets(after, "https://example.ch", owner="dev").collect()] == []
     assert [r["key"] for r in D.plan_tickets(before, "https://example.ch", min_priority=8).collect()] == ["no_h1"]
-    assert "- https://example.ch/a" in D.plan_tickets(after, "https://example.ch").head()["body"]
+    assert "- https://example.ch/a" in in_order(D.plan_tickets(after, "https://example.ch"), "tickets").head()["body"]
 
 
 def test_snapshots_round_trip(spark, results, tmp_path):
@@ -213,7 +233,12 @@ def test_snapshots_round_trip(spark, results, tmp_path):
     assert runs.count() == 1 and back.count() == 4 and {r["run_id"] for r in back.collect()} == {"r1"}
     row = back.where("path = '/ratgeber/waermepumpe'").head()
     assert row["total_score"] == results.where("page_id = 1").head()["totalScore"] and row["findings"][0]["fingerprint"].startswith("finding:")
-    text = D.snapshot_json(header, pages).union(spark.createDataFrame([('{"format": "x"}',)], "value string"))
+    D.write_snapshot_json(header, pages, f"{tmp_path}/json")
+    document = "\n".join(open(f).read() for f in sorted(glob.glob(f"{tmp_path}/json/run_id=r1/*.txt")))
+    assert [p["path"] for p in json.loads(document)["pages"]] == sorted(r["path"] for r in pages.select("path").collect()) and json.loads(document)["summary"]["pages"] == 4
+    empty = "".join(r["value"] for r in D.snapshot_json(header, pages.limit(0)).orderBy("place").collect())
+    assert json.loads(empty)["pages"] == [] and json.loads(empty)["summary"]["pages"] == 0
+    text = spark.createDataFrame([(document,), ('{"format": "x"}',)], "value string")
     parsed = D.parse_snapshot_json(text).collect()
     assert len(parsed) == 1 and len(parsed[0]["pages"]) == 4
     assert D.findings_json(pages).count() == sum(len(r["findings"]) for r in results.collect())
@@ -231,7 +256,7 @@ def test_history(spark):
     assert got == [(None, None, None, None), (2.5, "up", ["h1"], []), (0.0, "flat", [], []), (3.5, "down", [], ["h1"])]
     assert [r["total_score"] for r in H.newest(df, kept=2).where("url_norm = 'https://a.ch/x'").orderBy("position").collect()] == [9.0, 12.5]
     assert [(r["last_score"], r["delta"], r["analysis_count"]) for r in H.overview(df, "a.ch").collect()] == [(9.0, -3.5, 4)]
-    assert [r["url_norm"] for r in H.overview(df).collect()] == ["https://www.a.ch/y", "https://a.ch/x"]
+    assert [r["url_norm"] for r in in_order(H.overview(df), "overview").collect()] == ["https://www.a.ch/y", "https://a.ch/x"]
     assert H.daily_once(df.union(df)).count() == 5
 
 
@@ -243,7 +268,10 @@ def test_previous_runs(spark):
     assert got["r4", "/a"] == ("r2", 2.0, "up") and got["r3", "/b"] == ("r1", 2.0, "up") and got["r1", "/a"] == (None, None, None) and ("r3", "/a") not in got
     assert {r["run_id"]: r["previous_run"] for r in H.previous_run(pages, runs).collect()} == {"r1": None, "r2": "r1", "r3": "r1", "r4": "r3", "r5": None}
     assert H.earlier_runs(runs).count() == 10
-    points = H.run_points(runs.withColumn("label", F.lit(None).cast("string")), D.run_totals(pages, "run_id"), "r4").collect()
+    done = spark.createDataFrame([("r1", "r2"), ("r1", "r3"), ("r2", "r3"), ("r1", "r4")], "before string, after string")
+    assert {(r["before"], r["after"]) for r in H.earlier_runs(runs, done).collect()} == {("r2", "r4"), ("r3", "r4"), ("r1", "r5"), ("r2", "r5"), ("r3", "r5"), ("r4", "r5")}
+    assert H.missing_reports(pages, pages.where("run_id < 'r3'")).count() == 5
+    points = in_order(H.run_points(runs.withColumn("label", F.lit(None).cast("string")), D.run_totals(pages, "run_id"), "r4"), "runs").collect()
     assert [p["run_id"] for p in points if p["current"]] == ["r4"] and [p["average_score"] for p in points] == [1.0, 2.0, 3.0, 4.0, 5.0]
 
 
@@ -260,7 +288,11 @@ def test_cache(spark, results):
 def test_sources(spark, tmp_path):
     (tmp_path / "urls.txt").write_text("# list\nexample.ch/a\n\n  https://example.ch/b \nexample.ch/a\nnot a url at all\n")
     listed = P.url_list(spark, str(tmp_path / "urls.txt"))
-    assert [r["url"] for r in P.first_of_each(listed.where("url IS NOT NULL")).collect()] == ["https://example.ch/a", "https://example.ch/b"]
+    assert [r["url"] for r in in_order(P.first_of_each(listed.where("url IS NOT NULL")), "inputs").collect()] == ["https://example.ch/a", "https://example.ch/b"]
+    named = spark.createDataFrame([("https://example.ch/b", 7), ("chrome://settings", 8), (None, 9)], "url string, position int")
+    assert [r["url"] for r in in_order(P.all_inputs(named, listed, named), "inputs").collect()] == ["https://example.ch/b", "https://example.ch/a"]
+    listed.write.parquet(f"{tmp_path}/entries")
+    assert P.stored_entries(spark, f"{tmp_path}/entries").count() == listed.count()
     (tmp_path / "site").mkdir()
     (tmp_path / "site" / "p.html").write_text(ARTICLE)
     files = P.html_files(spark, str(tmp_path / "site"), "https://example.ch/")
@@ -278,7 +310,7 @@ def test_streams(spark, pages, tmp_path):
 
 def test_history_stream(spark, tmp_path):
     kind = "url_norm string, ts timestamp, total_score double"
-    for day, rows in enumerate(([("a", 10.0), ("b", 1.0)], [("a", 12.5)], [("a", 9.0)]), 1):
+    for day, rows in enumerate(([("a", 10.0), ("b", 1.0)], [("a", 12.5)], [("a", 9.0)]), 1):  # a late entry follows below
         spark.createDataFrame([(u, datetime(2024, 1, day), s) for u, s in rows], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     entries = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     query = stream.history_stream(entries).writeStream.format("memory").queryName("trends").outputMode("append").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()

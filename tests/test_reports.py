@@ -8,6 +8,7 @@ from pagestrata.operators import reports as P
 from pagestrata.operators import runs as D
 from pagestrata.operators import scoring as S
 from pagestrata.operators import targets as T
+from pagestrata.operators.orders import in_order
 
 HTML = f"""<html lang="de"><body><main id="m"><h1>Eins</h1><h1>Der zweite Titel</h1><h4>Tief</h4><div id="x.y"><p>Rund 30 % der Haushalte heizen so. {'Sehr lange Zusammensetzungsungetüme erschweren Leseverständnisleistungen ' * 9}</p></div>
 <p>Rund 40 % nach <a href="https://bfe.admin.ch/x">dem Bundesamt</a> in diesem Absatz.</p><img src="a.png"><img src="b.png" alt=""></main><p id="twice"></p><p id="twice"></p></body></html>"""
@@ -40,7 +41,7 @@ def test_targets_and_reports(spark, tmp_path):
     assert order == sorted(order, key=["fail", "partial", "ok"].index)
     assert [(r["level"], r["jump"]) for r in P.outline(found, "page_id").orderBy("position").collect()] == [(1, False), (1, False), (4, True)]
     pages = D.snapshot_pages(found, "r")
-    by_key = P.findings_by_key(pages).collect()
+    by_key = in_order(P.findings_by_key(pages), "findings").collect()
     assert [r["n"] for r in by_key] == sorted((r["n"] for r in by_key), reverse=True) and by_key[0]["paths"] == ["/a", "/b"]
     assert P.category_means(pages).count() == 6
     assert P.usage_rows(found).count() == 2
