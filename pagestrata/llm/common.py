@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,31 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate results of one operator that it reads several times and needs no longer when it returns.
+
+    They lie on the executors' disks, not in the shared folder; what is lost with an executor is computed again from its lineage.
+    A result that outlives the operator is written with saved instead.
+    """
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for df in self.held:
+            df.unpersist()
+
+    def __call__(self, df: DataFrame, now: bool = False) -> DataFrame:
+        """df, kept from its first use on, or from now on."""
+        self.held.append(df.persist(StorageLevel.DISK_ONLY))
+        if now:
+            self.held[-1].count()
+        return self.held[-1]
+
+
 def texts_of(column: pa.Array) -> Iterator[str]:
     """The texts of an Arrow column one by one, null as empty."""
     for x in column:
@@ -88,5 +114,5 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 
 
 def light(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows; they are counted, so df is best a written table."""
+    """df, to be broadcast if it has at most so many rows; they are counted, so df is best one that is kept or written."""
     return F.broadcast(df) if df.count() <= rows else df

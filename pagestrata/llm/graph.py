@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import Scratch, saved
 
 #: Links that one task finishes; more are contracted by rounds over all executors first.
 ONE_TASK = 2_000_000
@@ -71,13 +71,14 @@ def components(links: DataFrame) -> DataFrame:
     links: two bigint columns without nulls; order, repetition and self-links don't matter.
     """
     a, b = links.columns
-    # what makes links is often Python too: written first, a task never holds two Python workers
-    links = saved(links, "raw-links")
-    forest = saved(links.select(F.col(a).alias("node"), F.col(b).alias("component")).mapInArrow(_forest, "node bigint, component bigint"), "forest")
-    if forest.count() > ONE_TASK:
-        stars = _rounds(forest.where("node > component"))
-        alone = forest.select("node").union(forest.select("component")).distinct()
-        if stars.count() > ONE_TASK:
-            return alone.join(stars.groupBy("node").agg(F.min("component").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        forest = stars.union(alone.select("node", F.col("node").alias("component")))
-    return saved(forest.coalesce(1).mapInArrow(_forest, "node bigint, component bigint"), "components")
+    with Scratch() as kept:
+        # what makes links is often Python too: kept first, a task never holds two Python workers
+        links = kept(links, now=True)
+        forest = kept(links.select(F.col(a).alias("node"), F.col(b).alias("component")).mapInArrow(_forest, "node bigint, component bigint"))
+        if forest.count() > ONE_TASK:
+            stars = _rounds(forest.where("node > component"))
+            alone = forest.select("node").union(forest.select("component")).distinct()
+            if stars.count() > ONE_TASK:
+                return saved(alone.join(stars.groupBy("node").agg(F.min("component").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
+            forest = stars.union(alone.select("node", F.col("node").alias("component")))
+        return saved(forest.coalesce(1).mapInArrow(_forest, "node bigint, component bigint"), "components")

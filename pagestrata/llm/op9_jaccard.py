@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import light, pick, saved, slices
+from .common import Scratch, light, pick, saved, slices
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -205,7 +205,7 @@ def runs_of(key: int, node: np.ndarray, n: np.ndarray, percent: int) -> list[tup
     return [(key, int(node[a]), int(n[a]), int(n[b - 1])) for a, b in zip(edges, edges[1:])]
 
 
-def candidate_pairs(docs: DataFrame, late: np.ndarray, parts: np.ndarray, percent: int) -> DataFrame:
+def candidate_pairs(docs: DataFrame, late: np.ndarray, parts: np.ndarray, percent: int, kept: Scratch) -> DataFrame:
     """(a, b, chained), a < b: nodes that share a key and are of compatible sizes."""
     schema = "a bigint, b bigint, chained boolean, hot bigint, lo int, hi int"
 
@@ -285,7 +285,7 @@ def candidate_pairs(docs: DataFrame, late: np.ndarray, parts: np.ndarray, percen
             yield from told(*held)
 
     keyed = docs.select("text").mapInArrow(keys, "key bigint, part int, node bigint, n int")
-    made = saved(keyed.repartition("key", "part").sortWithinPartitions("key", "part", "n", "node").mapInArrow(pairs, schema), "key-pairs")
+    made = kept(keyed.repartition("key", "part").sortWithinPartitions("key", "part", "n", "node").mapInArrow(pairs, schema), now=True)
     # the runs of a split key, one after the other by size
     order = W.partitionBy("hot").orderBy("lo", "hi", "a")
     runs = made.where("hot IS NOT NULL").select("hot", "a", "lo", "hi")
@@ -388,9 +388,9 @@ def home_tiles(active: DataFrame, salt: int) -> DataFrame:
     return dealt.select(tile.alias("tile"), F.lit(2).alias("side"), "node", F.col("node").alias("known"))
 
 
-def pair_tiles(active: DataFrame) -> DataFrame:
+def pair_tiles(active: DataFrame, kept: Scratch) -> DataFrame:
     """(tile, side, node, known): blocks of the same or adjacent bands of a family, but for two blocks of its main component. active: node, family, n, known and main."""
-    dealt = saved(blocks_of(active, ["family", "main"], 0.0, 2, PAIR_WEIGHT), "dealt")
+    dealt = kept(blocks_of(active, ["family", "main"], 0.0, 2, PAIR_WEIGHT))
     blocks = dealt.select("family", "main", "band", "block").distinct()
     ends = [blocks.select("family", *(F.col(c).alias(f"{c}_{x}") for c in ("main", "band", "block"))) for x in "ab"]
     up = ends[0].withColumn("band_b", F.explode(F.array(F.col("band_a"), F.col("band_a") + 1)))
@@ -399,18 +399,16 @@ def pair_tiles(active: DataFrame) -> DataFrame:
     met = met.withColumn("tile", tile_of("family", "main_a", "band_a", "block_a", "main_b", "band_b", "block_b"))
     one = (F.col("band_a") == F.col("band_b")) & (F.col("main_a") == F.col("main_b")) & (F.col("block_a") == F.col("block_b"))
     sides = [met.where(~one | F.lit(x == "a")).select("family", *(F.col(f"{c}_{x}").alias(c) for c in ("main", "band", "block")), "tile", F.when(one, 2).otherwise(int(x == "b")).alias("side")) for x in "ab"]
-    tiles = saved(sides[0].unionByName(sides[1]), "tiles")
+    tiles = kept(sides[0].unionByName(sides[1]))
     return dealt.join(light(tiles, BROADCAST_ROWS // 10), ["family", "main", "band", "block"]).select("tile", "side", "node", "known")
 
 
-def sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
+def sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame, what: str, kept: Scratch) -> DataFrame:
     """(node, n, bitmap or members) of the listed nodes, each from one row of docs."""
     # copies of a text are one row before they are dealt out by node
     best = found.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("of")).join(nodes, "node", "left_semi")
-    chosen = saved(best.select("node", F.col("of.text_key").alias("of_key"), F.col("of.doc_id").alias("of_id")), "chosen")
-    if chosen.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    texts = docs.join(chosen, (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("node", "text")
+    chosen = kept(best.select("node", F.col("of.text_key").alias("of_key"), F.col("of.doc_id").alias("of_id")))
+    texts = docs.join(light(chosen, BROADCAST_ROWS), (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -419,7 +417,7 @@ def sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame, what: str) -> D
             told = [bitmap_of(s) if what == "bitmap" else s.tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(told, pa.binary())], ["node", "n", what])
 
-    return saved(texts.mapInArrow(run, f"node bigint, n bigint, {what} binary"), what)
+    return kept(texts.mapInArrow(run, f"node bigint, n bigint, {what} binary"), now=True)
 
 
 def bounded_pairs(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
@@ -465,22 +463,22 @@ def compared(sets: DataFrame, tiles: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "a bigint, b bigint")
 
 
-def exact_links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+def exact_links(sets: DataFrame, families: DataFrame, percent: int, kept: Scratch) -> DataFrame:
     """Links that connect what is similar. families: node, component."""
     active = sets.select("node", "n").dropDuplicates(["node"]).join(families.withColumnRenamed("component", "family"), "node")
     whole = active.groupBy("family").agg((weight() > BLOCK_WEIGHT).alias("heavy"))
-    active = saved(active.join(whole, "family"), "active")
-    found = saved(compared(sets, home_tiles(active, 0), percent), "home-links")
+    active = kept(active.join(whole, "family"))
+    found = kept(compared(sets, home_tiles(active, 0), percent), now=True)
     heavy = active.where("heavy")
     if not heavy.head(1):
         return found
-    again = saved(compared(sets, home_tiles(heavy, 1), percent), "home-links")
+    again = kept(compared(sets, home_tiles(heavy, 1), percent), now=True)
     known = components(found.union(again))
     heavy = heavy.join(known, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
     main = heavy.groupBy("family", "known").agg(weight().alias("weight")).groupBy("family").agg(F.max(F.struct("weight", "known")).alias("top"), F.count("*").alias("several"))
     main = main.where("several > 1").select("family", F.col("top.known").alias("largest"))
     apart = heavy.join(main, "family").select("node", "family", "n", "known", (F.col("known") == F.col("largest")).alias("main"))
-    return found.union(again).union(saved(compared(sets, pair_tiles(apart), percent), "pair-links"))
+    return found.union(again).union(compared(sets, pair_tiles(apart, kept), percent))
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -488,14 +486,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keyed = pick(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     told = saved(members(keyed), "members")
     found = told.where("n_shingles IS NOT NULL").drop("frequent")
-    pairs = saved(candidate_pairs(keyed, *frequent_hashes(told), percent), "pairs")
-    bitmaps = sets_of(keyed, found, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "bitmap")
-    families = components(bounded_pairs(pairs, bitmaps, percent))
-    joined = components(exact_links(sets_of(keyed, found, families, "members"), families, percent))
+    with Scratch() as kept:
+        pairs = kept(candidate_pairs(keyed, *frequent_hashes(told), percent, kept))
+        bitmaps = sets_of(keyed, found, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "bitmap", kept)
+        families = components(bounded_pairs(pairs, bitmaps, percent))
+        joined = components(exact_links(sets_of(keyed, found, families, "members", kept), families, percent, kept))
     # names are given to nodes first: a group of any size meets its smallest id there, not row by row
     least = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     low = saved(joined.join(least, "node").groupBy("component").agg(F.min("least").alias("lowest")), "lowest")
-    linked = joined.join(F.broadcast(low) if low.count() <= BROADCAST_ROWS else low, "component")
+    linked = joined.join(light(low, BROADCAST_ROWS), "component")
     named = saved(least.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("group"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("component_id")), "named")
     met = found.select("doc_id", "text_key", "n_shingles", "node").join(named, "node", "left")
     return met.select("doc_id", "text_key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group")
