@@ -79,7 +79,8 @@ class Scratch:
     """Intermediate results of one operator that it reads several times and needs no longer when it returns.
 
     They lie on the executors' disks, not in the shared folder; what is lost with an executor is computed again from its lineage.
-    A result that outlives the operator is written with saved instead.
+    A result that outlives the operator, or that is made from one that is kept, is written with saved instead: plans
+    that hold each other's plans grow without bound.
     """
 
     def __init__(self) -> None:

@@ -114,19 +114,19 @@ def boilerplate(keyed: DataFrame, min_docs: int, min_docs_long: int, copies_once
     """(text_key, drop): the numbers of the lines that go, from 0. keyed: text_key and text."""
     with Scratch() as kept:
         parsed = kept(line_templates(keyed.select("text_key", "text")))
-        often = kept(parsed.groupBy("template").agg(F.count("*").alias("n")).where("n > 1").select("template"))
-        hits = kept(parsed.join(light(often, BROADCAST_ROWS), "template", "left_semi"))
-        found = kept(recurring(hits, "text_key", min_docs, min_docs_long))
-        hits = kept(hits.join(light(found, BROADCAST_ROWS), "template", "left_semi"))
-        if copies_once:
-            shares = hits.dropDuplicates(["text_key", "line"]).groupBy("text_key").agg((F.sum("n") / F.max("total")).alias("share"))
-            alike = kept(shares.where(F.col("share") >= copy_share).select("text_key"))
-            compared = keyed.join(light(alike, BROADCAST_ROWS), "text_key", "left_semi").select(F.col("text_key").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-            groups = kept(jaccard_components(kept(compared)).where("`group` IS NOT NULL").select("text_key", "group").distinct())
-            hits = kept(hits.join(light(groups, BROADCAST_ROWS), "text_key", "left").withColumn("origin", F.coalesce("group", "text_key")))
-            found = kept(recurring(hits, "origin", min_docs, min_docs_long))
-            hits = hits.join(light(found, BROADCAST_ROWS), "template", "left_semi")
-        return saved(hits.groupBy("text_key").agg(F.sort_array(F.collect_set("line")).alias("drop")), "drops")
+        often = saved(parsed.groupBy("template").agg(F.count("*").alias("n")).where("n > 1").select("template"), "often")
+        hits = saved(parsed.join(light(often, BROADCAST_ROWS), "template", "left_semi"), "hits")
+    found = saved(recurring(hits, "text_key", min_docs, min_docs_long), "recurring")
+    hits = saved(hits.join(light(found, BROADCAST_ROWS), "template", "left_semi"), "recurring-lines")
+    if copies_once:
+        shares = hits.dropDuplicates(["text_key", "line"]).groupBy("text_key").agg((F.sum("n") / F.max("total")).alias("share"))
+        alike = saved(shares.where(F.col("share") >= copy_share).select("text_key"), "alike")
+        compared = keyed.join(light(alike, BROADCAST_ROWS), "text_key", "left_semi").select(F.col("text_key").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+        groups = saved(jaccard_components(saved(compared, "compared")).where("`group` IS NOT NULL").select("text_key", "group").distinct(), "copies")
+        hits = hits.join(light(groups, BROADCAST_ROWS), "text_key", "left").withColumn("origin", F.coalesce("group", "text_key"))
+        found = saved(recurring(hits, "origin", min_docs, min_docs_long), "recurring-once")
+        hits = hits.join(light(found, BROADCAST_ROWS), "template", "left_semi")
+    return saved(hits.groupBy("text_key").agg(F.sort_array(F.collect_set("line")).alias("drop")), "drops")
 
 
 def without_boilerplate(docs: DataFrame, min_docs: int = 3, min_docs_long: int = 2, keep: tuple[str, ...] = ("doc_id",), copies_once: bool = True, copy_share: float = 0.5) -> DataFrame:

@@ -388,9 +388,9 @@ def home_tiles(active: DataFrame, salt: int) -> DataFrame:
     return dealt.select(tile.alias("tile"), F.lit(2).alias("side"), "node", F.col("node").alias("known"))
 
 
-def pair_tiles(active: DataFrame, kept: Scratch) -> DataFrame:
+def pair_tiles(active: DataFrame) -> DataFrame:
     """(tile, side, node, known): blocks of the same or adjacent bands of a family, but for two blocks of its main component. active: node, family, n, known and main."""
-    dealt = kept(blocks_of(active, ["family", "main"], 0.0, 2, PAIR_WEIGHT))
+    dealt = saved(blocks_of(active, ["family", "main"], 0.0, 2, PAIR_WEIGHT), "dealt")
     blocks = dealt.select("family", "main", "band", "block").distinct()
     ends = [blocks.select("family", *(F.col(c).alias(f"{c}_{x}") for c in ("main", "band", "block"))) for x in "ab"]
     up = ends[0].withColumn("band_b", F.explode(F.array(F.col("band_a"), F.col("band_a") + 1)))
@@ -399,7 +399,7 @@ def pair_tiles(active: DataFrame, kept: Scratch) -> DataFrame:
     met = met.withColumn("tile", tile_of("family", "main_a", "band_a", "block_a", "main_b", "band_b", "block_b"))
     one = (F.col("band_a") == F.col("band_b")) & (F.col("main_a") == F.col("main_b")) & (F.col("block_a") == F.col("block_b"))
     sides = [met.where(~one | F.lit(x == "a")).select("family", *(F.col(f"{c}_{x}").alias(c) for c in ("main", "band", "block")), "tile", F.when(one, 2).otherwise(int(x == "b")).alias("side")) for x in "ab"]
-    tiles = kept(sides[0].unionByName(sides[1]))
+    tiles = saved(sides[0].unionByName(sides[1]), "tiles")
     return dealt.join(light(tiles, BROADCAST_ROWS // 10), ["family", "main", "band", "block"]).select("tile", "side", "node", "known")
 
 
@@ -407,7 +407,7 @@ def sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame, what: str, kept
     """(node, n, bitmap or members) of the listed nodes, each from one row of docs."""
     # copies of a text are one row before they are dealt out by node
     best = found.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("of")).join(nodes, "node", "left_semi")
-    chosen = kept(best.select("node", F.col("of.text_key").alias("of_key"), F.col("of.doc_id").alias("of_id")))
+    chosen = saved(best.select("node", F.col("of.text_key").alias("of_key"), F.col("of.doc_id").alias("of_id")), "chosen")
     texts = docs.join(light(chosen, BROADCAST_ROWS), (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,22 +463,22 @@ def compared(sets: DataFrame, tiles: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "a bigint, b bigint")
 
 
-def exact_links(sets: DataFrame, families: DataFrame, percent: int, kept: Scratch) -> DataFrame:
+def exact_links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     """Links that connect what is similar. families: node, component."""
     active = sets.select("node", "n").dropDuplicates(["node"]).join(families.withColumnRenamed("component", "family"), "node")
     whole = active.groupBy("family").agg((weight() > BLOCK_WEIGHT).alias("heavy"))
-    active = kept(active.join(whole, "family"))
-    found = kept(compared(sets, home_tiles(active, 0), percent), now=True)
+    active = saved(active.join(whole, "family"), "active")
+    found = saved(compared(sets, home_tiles(active, 0), percent), "home-links")
     heavy = active.where("heavy")
     if not heavy.head(1):
         return found
-    again = kept(compared(sets, home_tiles(heavy, 1), percent), now=True)
+    again = saved(compared(sets, home_tiles(heavy, 1), percent), "home-links")
     known = components(found.union(again))
     heavy = heavy.join(known, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
     main = heavy.groupBy("family", "known").agg(weight().alias("weight")).groupBy("family").agg(F.max(F.struct("weight", "known")).alias("top"), F.count("*").alias("several"))
     main = main.where("several > 1").select("family", F.col("top.known").alias("largest"))
     apart = heavy.join(main, "family").select("node", "family", "n", "known", (F.col("known") == F.col("largest")).alias("main"))
-    return found.union(again).union(compared(sets, pair_tiles(apart, kept), percent))
+    return found.union(again).union(compared(sets, pair_tiles(apart), percent))
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -487,10 +487,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     told = saved(members(keyed), "members")
     found = told.where("n_shingles IS NOT NULL").drop("frequent")
     with Scratch() as kept:
-        pairs = kept(candidate_pairs(keyed, *frequent_hashes(told), percent, kept))
+        pairs = saved(candidate_pairs(keyed, *frequent_hashes(told), percent, kept), "pairs")
         bitmaps = sets_of(keyed, found, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "bitmap", kept)
         families = components(bounded_pairs(pairs, bitmaps, percent))
-        joined = components(exact_links(sets_of(keyed, found, families, "members", kept), families, percent, kept))
+        joined = components(exact_links(sets_of(keyed, found, families, "members", kept), families, percent))
     # names are given to nodes first: a group of any size meets its smallest id there, not row by row
     least = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     low = saved(joined.join(least, "node").groupBy("component").agg(F.min("least").alias("lowest")), "lowest")
