@@ -118,7 +118,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
     places = saved(items.select("n_words", F.explode("shingles").alias("hash")).distinct(), "places")
 
     keyed = pick(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
-    shingles = keyed.select("text_key", words_of("text").alias("words")).select("text_key", (F.size("words") - (WORDS - 1)).alias("n_shingles"), F.posexplode(shingles_of("words")).alias("p", "hash"))
+    # sizes stand beside the arrays before those are exploded, so that no array is carried along with its members
+    cut = keyed.select("text_key", words_of("text").alias("words")).select("text_key", (F.size("words") - (WORDS - 1)).alias("n_shingles"), shingles_of("words").alias("all"))
+    shingles = cut.select("text_key", "n_shingles", F.posexplode("all").alias("p", "hash"))
     hits = shingles.join(light(places, BROADCAST_ROWS), "hash").groupBy("text_key", "n_words").agg(F.max("n_shingles").alias("n_shingles"), F.array_sort(F.collect_set("p")).alias("held"))
     starts = saved(hits.select("text_key", "n_words", starts_of(threshold).alias("starts")).where(F.size("starts") > 0).groupBy("text_key").agg(F.collect_list(F.struct("n_words", "starts")).alias("starts")), "starts")
     texts = keyed.join(light(starts, BROADCAST_TEXTS), "text_key").groupBy("text_key").agg(F.first("text").alias("text"), F.first("starts").alias("starts"))

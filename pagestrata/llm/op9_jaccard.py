@@ -50,9 +50,9 @@ FREQUENT, MOST_FREQUENT = 24, 500_000
 #: Shingles are counted in blocks of so many; those that don't recur in a block are left out of the count.
 BLOCK_HASHES = 1_000_000
 #: Documents of a frequent shingle for each of the parts that its key is split into.
-HOT = 2_000
+HOT = 500
 #: Weight of a block that is a tile by itself, and of one that meets others (a set weighs its size, or LEAST_WEIGHT if that is more).
-BLOCK_WEIGHT, PAIR_WEIGHT, LEAST_WEIGHT = 64_000, 1_000_000, 128
+BLOCK_WEIGHT, PAIR_WEIGHT, LEAST_WEIGHT = 64_000, 128_000, 128
 #: The widest bitmap.
 MOST_BITS = 1 << 14
 #: Words of which a worker remembers the hashes.
