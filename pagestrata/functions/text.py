@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from .numbers import size
+from .steps import bind
 
 WHITE = r"[\s\u0085\p{Z}]+"
 
@@ -117,6 +118,78 @@ def excerpt(text: Column, most: int = 60) -> Column:
     return F.when(F.char_length(t) <= most, t).otherwise(F.concat(F.regexp_replace(F.rtrim(cut), "[.,:;]$", ""), F.lit("…")))
 
 
+def clip_at_word(text: Column, most: int = 60) -> Column:
+    """Cut at a word where that keeps more than three fifths, without marks at the end."""
+    t = squeezed(text)
+    head = F.substring(t, 1, most)
+    whole = F.regexp_replace(head, r"\s\S*$", "")
+    cut = F.when(F.char_length(whole) > most * 0.6, whole).otherwise(head)
+    return F.when(F.char_length(t) <= most, t).otherwise(F.concat(F.regexp_replace(cut, r"[\s,;:.-]+$", ""), F.lit("…")))
+
+
+def quoted(texts: Column, shown: int = 3, most: int = 50) -> Column:
+    """The first texts, clipped and in quotation marks."""
+    return F.array_join(F.transform(F.slice(texts, 1, shown), lambda t: F.concat(F.lit("«"), clip_at_word(t, most), F.lit("»"))), ", ")
+
+
+def match_excerpt(text: Column, patterns: list[str], most: int = 60) -> Column:
+    """The part of a text around the first match of the first pattern that matches, cut at words; null without a match."""
+    squeezed_text = squeezed(text)
+    hits = F.array(*(F.struct((F.regexp_instr(squeezed_text, F.lit(p)) - 1).alias("at"), F.char_length(F.regexp_extract(squeezed_text, p, 0)).alias("n")) for p in patterns))
+
+    def around(x: Column) -> Column:
+        t, at, past, size_ = x["t"], x["hit"]["at"], x["hit"]["at"] + x["hit"]["n"], F.char_length(x["t"])
+        left = F.greatest(F.lit(0), at - F.floor((F.lit(most) - x["hit"]["n"]) / 2).cast("int"))
+        right = F.least(size_, left + most)
+        return bind(F.struct(F.greatest(F.lit(0), right - most).alias("a"), right.alias("b")), lambda w: F.when(size_ <= most, t).otherwise(cut(t, at, past, size_, w["a"], w["b"])))
+
+    def cut(t: Column, at: Column, past: Column, size_: Column, a: Column, b: Column) -> Column:
+        gap = F.call_function("locate", F.lit(" "), t, a + 1) - 1  # the first blank from the left end on
+        start = F.when((a > 0) & (gap >= 0) & (gap < at), gap + 1).otherwise(a)
+        back = F.instr(F.reverse(F.substring(t, F.lit(1), b + 1)), " ")  # the last blank up to the right end
+        stop = F.when((b < size_) & (back > 0) & (b + 1 - back > past), b + 1 - back).otherwise(b)
+        inside = F.trim(F.substring(t, start + 1, stop - start))
+        return F.concat(F.when(start > 0, F.lit("…")).otherwise(F.lit("")), F.when(stop < size_, F.concat(F.regexp_replace(inside, "[.,:;]$", ""), F.lit("…"))).otherwise(inside))
+
+    return bind(F.struct(squeezed_text.alias("t"), F.get(F.filter(hits, lambda h: h["at"] >= 0), 0).alias("hit")), lambda x: F.when(x["hit"].isNotNull(), around(x)))
+
+
+def escaped(text: Column) -> Column:
+    """Text for HTML, in attributes too."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def filled(text: Column, params: Column) -> Column:
+    """The text with each {name} replaced by its value in a map; names that aren't there stay."""
+    return F.aggregate(F.map_entries(params), text, lambda acc, e: F.replace(acc, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
+
+
+def markdown_html(text: Column) -> Column:
+    """The Markdown of ticket bodies as HTML: second-level headings, lists, rules, code fences, bold, code and bare addresses.
+
+    Fences cut the text into parts, every second of them code; in the others lines become blocks by patterns over the whole part.
+    """
+
+    def code(part: Column) -> Column:
+        return F.concat(F.lit("<p><code>"), F.replace(F.regexp_replace(escaped(part), r"\n$", ""), F.lit("\n"), F.lit("<br>")), F.lit("</code></p>"))
+
+    def blocks(part: Column) -> Column:
+        steps = (
+            (r"\*\*(.+?)\*\*", "<strong>$1</strong>"), (r"`([^`\n]+)`", "<code>$1</code>"), (r"(?m)(^|\s)(https?://[^\s<]+)", '$1<a href="$2">$2</a>'),
+            (r"(?m)^(?:---|[ \t]*)$\n?", ""), (r"(?m)^- (.*)$", "<li><p>$1</p></li>"), (r"(?m)((?:^<li>.*$\n?)+)", "<ul>$1</ul>\n"), (r"</li>\n(?=<li>|</ul>)", "</li>"),
+            (r"(?m)^##\s+(.*)$", "<h2>$1</h2>"), (r"(?m)^(?!<h2>|<ul>)(.+)$", "<p>$1</p>"),
+        )
+        html = escaped(part)
+        for pattern, to in steps:
+            html = F.regexp_replace(html, pattern, to)
+        return F.regexp_replace(html, r"^\n+|\n+$", "")
+
+    parts = F.split(text, r"(?m)^```.*$\n?")
+    return F.array_join(F.filter(F.transform(parts, lambda p, i: F.when(i % 2 == 1, code(p)).otherwise(blocks(p))), lambda x: x != ""), "\n")
+
+
 def host_list(links: Column, most: int = 5) -> Column:
     """Distinct hosts of links, the first ones, with a mark if there are more."""
     from . import urls

@@ -152,6 +152,11 @@ def content_clarity(let: Steps) -> tuple[list[Column], list[tuple[str, Column]]]
     scan = let("scan", F.least(F.lit(1.0), scan))
 
     read = F.col("readability")
+    # of equal ones the first
+    longest = F.get(F.array_sort(F.transform(solid, lambda p, i: F.struct((-F.char_length(p)).alias("rank"), i.alias("at"), p.alias("text")))), 0)
+    english = read["formula"] == "flesch"
+    rated = F.transform(solid, lambda p, i: F.struct(R.block_readability(p, english)["raw"].alias("raw"), i.alias("at"), p.alias("text")))
+    hardest = F.get(F.array_sort(F.transform(F.filter(rated, lambda r: r["raw"].isNotNull()), lambda r: F.struct(F.when(english, r["raw"]).otherwise(-r["raw"]).alias("rank"), r["at"].alias("at"), r["raw"].alias("raw"), r["text"].alias("text")))), 0)
     rows = [
         criterion(
             cat, "h1", half, good, F.when(n1 == 0, "notPresent").when(good, "present").otherwise("h1Optimal"), half, F.lit(1),
@@ -166,12 +171,12 @@ def content_clarity(let: Steps) -> tuple[list[Column], list[tuple[str, Column]]]
         criterion(
             cat, "scannable", scan, scan > 0.5, shown(scan), percent(scan), F.lit(100),
             fix=F.when(F.col("faqAnswersHidden") > 0, "scannable_hidden"),
-            evidence=[(n == 0, "scannable_no_paragraphs", {}), (n > 0, "scannable_paragraphs", {"count": n, "average": half_up(mean)}), (size(lists) > 0, "scannable_lists", {"count": size(lists)}), (size(lists) == 0, "scannable_no_lists", {}), ((blocks > 0) & (ratio > 1), "scannable_headings_too_many", {}), ((blocks > 0) & (ratio < 0.2), "scannable_headings_too_few", {}), ((blocks > 0) & ratio.between(0.2, 1.0), "scannable_headings_ok", {})],
+            evidence=[(n == 0, "scannable_no_paragraphs", {}), (n > 0, "scannable_paragraphs", {"count": n, "average": half_up(mean)}), ((n > 1) & (-longest["rank"] >= 300), "scannable_longest", {"length": -longest["rank"], "text": X.clip_at_word(longest["text"]), "count": count_where(solid, lambda p: F.char_length(p) > 300)}), (size(lists) > 0, "scannable_lists", {"count": size(lists)}), (size(lists) == 0, "scannable_no_lists", {}), ((blocks > 0) & (ratio > 1), "scannable_headings_too_many", {}), ((blocks > 0) & (ratio < 0.2), "scannable_headings_too_few", {}), ((blocks > 0) & ratio.between(0.2, 1.0), "scannable_headings_ok", {})],
         ),
         criterion(
             cat, "readability", read["score"], read["score"] >= 0.5, F.concat(half_up(read["raw"]).cast("string"), F.when(read["formula"] == "lix", " LIX").otherwise(" Flesch")), percent(read["score"]), F.lit(100),
             present=read.isNotNull(),
-            evidence=[(read["formula"] == "flesch", "readability_formula_flesch", {}), (read["formula"] == "lix", "readability_formula_lix", {"band": R.band(read["raw"], read["formula"])})],
+            evidence=[(read["formula"] == "flesch", "readability_formula_flesch", {}), (read["formula"] == "lix", "readability_formula_lix", {"band": R.band(read["raw"], read["formula"])}), (hardest.isNotNull(), "readability_hardest", {"value": half_up(hardest["raw"]), "text": X.clip_at_word(hardest["text"])})],
         ),
     ]
     return rows, [("no_h1", ~good), ("bad_hierarchy", ~(outline > 0.6)), ("low_scanability", ~(scan > 0.5)), ("low_readability", read["score"] < 0.5)]
@@ -469,7 +474,7 @@ def ai_citation(let: Steps) -> tuple[list[Column], list[tuple[str, Column]]]:
     rows = [
         criterion(
             cat, "facts", fact_score, fact_score > 0.3, shown(fact_score), percent(fact_score), F.lit(100), fix=F.when((hidden > 0) & (fact_score < 1), "facts_hidden"),
-            evidence=[(size(paragraphs) == 0, "facts_no_paragraphs", {}), (size(paragraphs) > 0, "facts_counted", {"total": size(paragraphs), "facts": size(facts)}), (size(facts) > 0, "facts_example", {"text": F.substring(F.get(facts, 0), 1, 160)}), ((hidden > 0) & (fact_score < 1), "facts_hidden_faq", {"hidden": hidden})],
+            evidence=[(size(paragraphs) == 0, "facts_no_paragraphs", {}), (size(paragraphs) > 0, "facts_counted", {"total": size(paragraphs), "facts": size(facts)}), (size(facts) > 0, "facts_example", {"text": X.match_excerpt(F.get(facts, 0), config.FACTS)}), ((hidden > 0) & (fact_score < 1), "facts_hidden_faq", {"hidden": hidden})],
         ),
         criterion(
             cat, "faq", faq, faq > 0, F.when(unseen, "faqAnswersHidden").otherwise(shown(faq)), percent(faq), F.lit(100), applies=~home,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.numbers import half_up, round1, size
+from ..functions.text import markdown_html
 from .orders import in_order
 from .runs import open_findings
 from .scoring import category_level, status
@@ -80,3 +81,26 @@ def terminal_lines(results: DataFrame) -> DataFrame:
     """One line a page: score, rating, URL and its first findings; the lowest scores first."""
     first = F.array_join(F.transform(visible_findings(F.col("findings"))["shown"], lambda f: f["key"]), ", ")
     return in_order(results, "pages").select(F.concat(F.lpad(F.format_number("totalScore", 1), 5, " "), F.lit("/30  "), F.rpad("rating", 9, " "), F.lit("  "), "url", F.lit("  "), first).alias("value"))
+
+
+def ticket_html(plan: DataFrame) -> DataFrame:
+    """Work items with their body as HTML: key, title and html."""
+    return plan.select("key", "title", markdown_html(F.col("body")).alias("html"))
+
+
+def crawler_table(views: DataFrame, *keys: str) -> DataFrame:
+    """What a crawler without scripts sees of each page beside what a reader sees: a row a measure. views: the column crawlerView."""
+    v = F.col("crawlerView")
+    lines = [("status", v["status"], F.lit("ok")), ("characters", v["rawChars"].cast("string"), v["renderedChars"].cast("string")), ("coverage", F.concat(half_up(v["coverage"] * 100).cast("string"), F.lit("%")), F.lit("100%")), ("missing headings", F.array_join(v["missingHeadings"], ", "), F.lit(""))]
+    rows = F.array(*(F.struct(F.lit(name).alias("measure"), raw.alias("raw"), rendered.alias("rendered")) for name, raw, rendered in lines))
+    return views.where(v.isNotNull()).select(*keys, F.explode(rows).alias("x")).select(*keys, "x.*")
+
+
+def diff_lines(totals: DataFrame) -> DataFrame:
+    """One line of plain text for the comparison of two runs (diff_totals)."""
+    return totals.select(F.concat(F.col("pages").cast("string"), F.lit(" pages, "), F.format_number("before", 1), F.lit(" → "), F.format_number("after", 1), F.lit(" ("), signed(F.col("delta")), F.lit("), findings -"), F.col("fixed").cast("string"), F.lit(" +"), F.col("new").cast("string"), F.when(F.col("regression"), F.lit(", worse")).otherwise(F.lit(""))).alias("value"))
+
+
+def run_lines(summary: DataFrame) -> DataFrame:
+    """One line of plain text a run (run_totals by run_id)."""
+    return summary.select(F.concat("run_id", F.lit(": "), F.col("analyzed").cast("string"), F.lit("/"), F.col("pages").cast("string"), F.lit(" pages, mean "), F.coalesce(F.format_number("average_score", 1), F.lit("-")), F.lit("/30")).alias("value"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .. import config
+from . import made, page_oracles
 
 VOWELS = "[aeiouyäöüáéíóúàèìòùâêîôûãõ]"
 #: Character references that the titles and headings of the pages have.
@@ -53,7 +54,8 @@ HISTORY = f"""
 WITH history AS (SELECT user_id AS url_norm, CAST(ts AS DATE) AS ts, {ROUND1.format(MEAN)} AS total_score FROM events GROUP BY 1, 2 HAVING avg(value) IS NOT NULL)
 """
 RUNS = f"""
-WITH rows_of AS (SELECT CASE WHEN ts < TIMESTAMP '2024-01-08' THEN 'b' ELSE 'a' END AS side, '/' || user_id AS path, event_type AS key, value FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-15'),
+WITH half AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS middle FROM events),
+rows_of AS (SELECT CASE WHEN epoch_us(ts) < (SELECT middle FROM half) THEN 'b' ELSE 'a' END AS side, '/' || user_id || '/' || coalesce(json_extract_string(props, '$.k'), '-') AS path, event_type AS key, value FROM events),
 scores AS (SELECT side, path, {ROUND1.format(MEAN)} AS score, list_sort(list(DISTINCT key)) AS keys FROM rows_of GROUP BY ALL),
 b AS (SELECT * FROM scores WHERE side = 'b'), a AS (SELECT * FROM scores WHERE side = 'a'),
 common AS (SELECT a.path, b.score AS before, a.score AS after, {ROUND1.format('a.score - b.score')} AS delta, b.keys AS bk, a.keys AS ak,
@@ -118,8 +120,23 @@ SELECT strftime(ts, '%Y-%m-%d') AS run_id, url_norm::VARCHAR AS path, total_scor
     "ticket_plan": f"""{RUNS}, t AS (SELECT key, 'open' AS state, page_count, c.before, c.after FROM open LEFT JOIN changes c USING (key)
   UNION ALL SELECT key, 'resolved', 0, before, after FROM changes WHERE key NOT IN (SELECT key FROM open) AND before > 0)
 SELECT key, state, length(key)::INTEGER AS priority, CASE WHEN length(key) >= 10 THEN 'high' WHEN length(key) >= 7 THEN 'medium' ELSE 'low' END AS level, page_count, before, after, key AS title, 'finding:example.org:' || key AS marker FROM t WHERE length(key) >= 5""",
-    "sitemap_uniform": """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT event_type, sum(n)::BIGINT AS entries, max(n) AS top FROM d GROUP BY 1)
-SELECT *, entries >= 10 AND top / entries >= 0.9 AS uniform FROM s""",
+    "sitemap_uniform": """
+WITH d AS (SELECT 'https://' || event_type || '.example' AS origin, CASE WHEN event_id % 4 <> 0 THEN CASE WHEN event_type = 'click' THEN '2024-01-01' ELSE strftime(ts, '%Y-%m-%d') END END AS day FROM events),
+n AS (SELECT origin, day, count(*) AS n FROM d GROUP BY ALL), s AS (SELECT origin, sum(n)::BIGINT AS entries, coalesce(sum(n) FILTER (day IS NOT NULL), 0)::DOUBLE AS dated, max(n) FILTER (day IS NOT NULL) AS top, max(day) AS newest FROM n GROUP BY 1)
+SELECT origin, true AS "exists", false AS declared, entries, dated / entries::DOUBLE AS "lastmodShare", dated >= 10 AND top / dated >= 0.9e0 AS "lastmodUniform", entries AS pages, newest FROM s""",
+    "definitions": f"SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda b: {page_oracles.has_definition('b')})) AS definition_lines FROM documents",
+    "sentences": f"WITH c AS (SELECT doc_id, {page_oracles.sentences('text')} AS c FROM documents) SELECT doc_id, len(c) AS sentences, len(list_filter(c, lambda s: ends_with(s, '?'))) AS questions FROM c",
+    "readability_bands": f"""{WORDS},
+size AS (SELECT doc_id, length(array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda b: {page_oracles.squeezed('b')}), lambda b: b <> ''), ' ')) AS n FROM documents),
+sounds AS (SELECT *, list_sum(list_transform(list_transform(w, lambda x: lower(x)), lambda x: CASE WHEN length(x) <= 2 THEN 1 ELSE greatest(1, len(regexp_extract_all(x, '{VOWELS}+'))
+  - CASE WHEN len(regexp_extract_all(x, '{VOWELS}+')) > 1 AND regexp_matches(x, 'e$') AND NOT regexp_matches(x, '[aeiouy]e$') AND NOT regexp_matches(x, '[^aeiouy]le$') THEN 1 ELSE 0 END) END))::BIGINT AS syllables FROM counted),
+raw AS (SELECT coalesce(lang, '') = 'en' AS english, CASE WHEN lang = 'en' THEN greatest(0.0::DOUBLE, least(100.0::DOUBLE, 206.835::DOUBLE - 1.015::DOUBLE * (words / sentences::DOUBLE) - 84.6::DOUBLE * (syllables / words::DOUBLE))) ELSE {LIX} END AS raw FROM sounds JOIN size USING (doc_id) WHERE n >= 50 AND words > 0 AND sentences > 0)
+SELECT CASE WHEN english THEN 'flesch' ELSE 'lix' END AS formula, CASE WHEN english THEN (CASE WHEN raw >= 80 THEN 'very_easy' WHEN raw >= 70 THEN 'easy' WHEN raw >= 60 THEN 'medium' WHEN raw >= 50 THEN 'hard' ELSE 'very_hard' END)
+  ELSE (CASE WHEN raw < 30 THEN 'very_easy' WHEN raw < 40 THEN 'easy' WHEN raw < 50 THEN 'medium' WHEN raw < 60 THEN 'hard' ELSE 'very_hard' END) END AS band, count(*) AS documents FROM raw GROUP BY 1, 2""",
+    "link_counts": """
+WITH l AS (SELECT page_id, list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: h <> '' AND NOT starts_with(h, '#') AND (starts_with(h, '/') OR regexp_matches(h, '^https?://'))) AS l FROM pages)
+SELECT page_id, len(l) AS n_links, len(list_distinct(list_transform(l, lambda h: regexp_replace(split_part(h, '#', 1), '/+$', '')))) AS n_targets, len(list_filter(l, lambda h: NOT starts_with(h, '/') OR starts_with(h, '//'))) AS n_external FROM l""",
     "cache_misses": "SELECT doc_id FROM documents WHERE (lang, sha256(text)) NOT IN (SELECT (lang, sha256(text)) FROM documents GROUP BY lang, sha256(text) HAVING count(*) > 1)",
     "rating_counts": f"WITH s AS (SELECT {ROUND1.format('c_acctbal / 333.0::DOUBLE')} AS x FROM customer) SELECT CASE WHEN x >= 25 THEN 'excellent' WHEN x >= 19 THEN 'good' WHEN x >= 12 THEN 'moderate' ELSE 'poor' END AS rating, count(*) AS customers FROM s GROUP BY 1",
 }
+ORACLE_SQL |= page_oracles.page_sql(FACTS, CITATIONS) | made.made_sql()

@@ -23,6 +23,7 @@ from ..operators import runs as D
 from ..operators import scoring as S
 from ..operators import targets as T
 from ..sources.pages import first_of_each
+from . import made
 from .oracles import ORACLE_SQL  # noqa: F401
 
 AS_OF = "2024-07-01 00:00:00"
@@ -211,18 +212,26 @@ def asof_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.previous_page_run(pages, runs).select("run_id", "path", "total_score", "previous_run", "previous_score", "delta", "direction")
 
 
-def run(spark: SparkSession, sf_dir: str, first: str, past: str) -> DataFrame:
-    """A span of days as a run: a user is a page, the mean value its score, and its event types are its findings."""
-    rows = table(spark, sf_dir, "events").where((F.col("ts") >= F.lit(first).cast("timestamp")) & (F.col("ts") < F.lit(past).cast("timestamp")))
+def run(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
+    """One half of the time that events cover as a run; every event is in one of both.
+
+    What a user did with a key is a page, the mean value its score, and its event types are its findings.
+    """
+    events = table(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = events.agg(F.min(at).alias("first"), F.max(at).alias("last")).head()
+    middle = ((ends["first"] or 0) + (ends["last"] or 0)) // 2
+    rows = events.where((at >= middle) == F.lit(late))
+    path = F.concat(F.lit("/"), F.col("user_id").cast("string"), F.lit("/"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("-")))
     kinds = F.array_sort(F.collect_set("event_type"))
     finding = lambda k: F.struct(k.alias("key"), F.concat(F.lit("finding:"), k).alias("fingerprint"), F.lit("dev").alias("owner"), F.lit("quick").alias("effort"), F.char_length(k).alias("priority"), k.alias("text"))
-    pages = rows.groupBy(F.concat(F.lit("/"), F.col("user_id").cast("string")).alias("path")).agg(mean_value().alias("total_score"), kinds.alias("kinds"))
+    pages = rows.groupBy(path.alias("path")).agg(mean_value().alias("total_score"), kinds.alias("kinds"))
     checks = F.map_from_entries(F.transform("kinds", lambda k: F.struct(k, F.col("total_score") > F.char_length(k) * 5)))
-    return pages.select("path", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), "total_score", checks.alias("checks"), F.transform("kinds", finding).alias("findings"))
+    return pages.select("path", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), "total_score", checks.alias("checks"), F.transform("kinds", finding).alias("findings"), F.lit(0).cast("bigint").alias("position"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.matched(run(spark, sf_dir, "2024-01-01", "2024-01-08"), run(spark, sf_dir, "2024-01-08", "2024-01-15"))
+    return D.matched(run(spark, sf_dir, False), run(spark, sf_dir, True))
 
 
 def run_page_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,18 +256,23 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.run_totals(run(spark, sf_dir, "2024-01-08", "2024-01-15").withColumn("run_id", F.lit("b")), "run_id")
+    return D.run_totals(run(spark, sf_dir, True).withColumn("run_id", F.lit("b")), "run_id")
 
 
 def ticket_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = D.plan_tickets(run(spark, sf_dir, "2024-01-08", "2024-01-15"), "https://example.org", run(spark, sf_dir, "2024-01-01", "2024-01-08"), min_priority=5)
+    plan = D.plan_tickets(run(spark, sf_dir, True), "https://example.org", run(spark, sf_dir, False), min_priority=5)
     return plan.select("key", "state", "priority", "level", F.col("page_count").cast("long").alias("page_count"), "before", "after", "title", "marker")
 
 
 def sitemap_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types as sites: entries, the share of the most frequent day, and whether it is nearly all."""
-    days = table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    return days.groupBy("event_type").agg(F.sum("n").alias("entries"), F.max("n").alias("top")).withColumn("uniform", (F.col("entries") >= I.UNIFORM_ENTRIES) & (F.col("top") / F.col("entries") >= I.UNIFORM_SHARE))
+    """Event types as sites, events as the entries of their sitemaps; clicks all say the same day, and every fourth entry says none."""
+    events = table(spark, sf_dir, "events")
+    origin = F.concat(F.lit("https://"), F.col("event_type"), F.lit(".example"))
+    day = F.when(F.col("event_id") % 4 != 0, F.when(F.col("event_type") == "click", "2024-01-01").otherwise(F.date_format("ts", "yyyy-MM-dd")))
+    entries = events.select(F.concat(origin, F.lit("/sitemap.xml")).alias("sitemap"), F.lit(0).alias("position"), F.lit("page").alias("kind"), F.concat(origin, F.lit("/"), F.col("event_id").cast("string")).alias("loc"), day.alias("lastmod"), F.lit(None).cast("string").alias("published"))
+    origins = events.select(origin.alias("origin"), F.lit(None).cast("string").alias("robots_body")).distinct()
+    stats, listed = I.sitemap_stats(origins, entries)
+    return stats.join(listed.groupBy("origin").agg(F.count("*").alias("pages"), F.max("lastmod").alias("newest")), "origin")
 
 
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,3 +297,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ticket_plan, sitemap_uniform, cache_misses, rating_counts,
     )
 }
+QUERIES |= made.QUERIES

@@ -164,3 +164,25 @@ def test_headers(spark):
     assert column(spark, given[:4], lambda v: robots.max_snippet(robots.header_directives(v))) == [None, None, 20, 5]
     assert column(spark, [403, 200, 503, 404], lambda v: robots.is_blocked_response(v, F.lit(None).cast("string")), "int") == [True, False, True, False]
     assert column(spark, [200], lambda v: robots.is_blocked_response(v, F.lit("challenge")), "int") == [True]
+
+
+def test_cuts_of_text(spark):
+    long = "Ein langer Satz über die Heizung, der rund 30 % der Energie im Haus spart und dann noch sehr lange weitergeht, ohne Ende."
+    assert column(spark, [long, "kurz", "x" * 80], text.clip_at_word) == ["Ein langer Satz über die Heizung, der rund 30 % der Energie…", "kurz", "x" * 60 + "…"]
+    cut = column(spark, [long, "nichts davon", "30 % sind kurz", "30 % am Anfang " + long, long[:90] + "genau 5 %"], lambda t: text.match_excerpt(t, [r"\d+ %"]))
+    assert cut[1] is None and cut[2] == "30 % sind kurz" and cut[3].startswith("30 % am Anfang") and cut[3].endswith("…")
+    assert cut[0].startswith("…") and cut[0].endswith("…") and "30 %" in cut[0] and len(cut[0]) <= 62 and cut[0].strip("…") in long
+    many = spark.createDataFrame([(["a b", "c"],)], "t array<string>").select(text.quoted(F.col("t"))).head()[0]
+    assert many == "«a b», «c»"
+
+
+def test_markup_and_placeholders(spark):
+    body = "## Was & wie\n\n**Fett** und `code` siehe https://a.ch/x\n- eins\n- zwei <b>\n---\nEnde\n```html\n<p>\n  \"x\"\n```\nnach"
+    html = column(spark, [body, "", "- a\n\n- b"], text.markdown_html)
+    assert html[0].split("\n") == [
+        "<h2>Was &amp; wie</h2>", '<p><strong>Fett</strong> und <code>code</code> siehe <a href="https://a.ch/x">https://a.ch/x</a></p>', "<ul><li><p>eins</p></li><li><p>zwei &lt;b&gt;</p></li></ul>", "<p>Ende</p>",
+        "<p><code>&lt;p&gt;<br>  &quot;x&quot;</code></p>", "<p>nach</p>",
+    ]
+    assert html[1] == ""
+    row = spark.createDataFrame([("{n} von {m}, {x}", {"n": "3", "m": "4"})], "t string, p map<string,string>").select(text.filled(F.col("t"), F.col("p")), text.escaped(F.lit("a'<"))).head()
+    assert tuple(row) == ("3 von 4, {x}", "a&#39;&lt;")

@@ -52,3 +52,8 @@ def test_targets_and_reports(spark, tmp_path):
     assert P.ticket_markdown(D.plan_tickets(pages, "https://example.ch")).head()["value"].startswith("## ")
     before = pages.withColumn("total_score", F.col("total_score") + 1.5)
     assert P.diff_markdown(D.page_changes(D.matched(before, pages))).head()["value"].split(" (")[1].startswith("-1.5)")
+    assert P.run_lines(D.run_totals(pages, "run_id")).head()["value"].startswith("r: 2/2 pages, mean ")
+    assert P.diff_lines(D.diff_totals(D.matched(before, pages))).head()["value"].startswith("2 pages, ") and P.diff_lines(D.diff_totals(D.matched(before, pages))).head()["value"].endswith(", worse")
+    assert P.ticket_html(D.plan_tickets(pages, "https://example.ch")).head()["html"].startswith("<p><strong>")
+    views = spark.createDataFrame([(1, ("partial", 0.5, 100, 50, ["A", "B"])), (2, None)], "page_id int, crawlerView struct<status: string, coverage: double, renderedChars: int, rawChars: int, missingHeadings: array<string>>")
+    assert [tuple(r) for r in P.crawler_table(views, "page_id").collect()] == [(1, "status", "partial", "ok"), (1, "characters", "50", "100"), (1, "coverage", "50%", "100%"), (1, "missing headings", "A, B", "")]
