@@ -5,14 +5,17 @@ again as the next one's docs. All but the last return the columns of documents.
 
 1. language: documents without a recognisable language go (no letter at all, a score below 0.2, which takes
    more languages than two a family, or n-grams too unlike those of the language told).
-2. lines: boilerplate lines, which recur over documents, are cut out of the texts.
+2. lines: boilerplate lines, which recur over documents, are cut out of the texts. Copies count as one document, so they
+   keep their own lines for the next stage. A document may lose all its lines; it stays, empty.
 3. near_duplicates: of each group of documents linked by shingle similarity one stays, the one with the
    smallest doc_id; documents without words are no one's duplicate and stay.
 4. decontamination: documents that hold a benchmark item go.
 5. packing: what is left is cut into token sequences.
 
-Defined results: nulls, empty tables, repeated rows and further columns are treated as the operators say;
-of repeated rows of a group one stays.
+Defined results: a null text has no language and goes with the first stage, and so does an empty one; nulls in other columns
+are carried along; of repeated rows of a group one stays; of several rows with the smallest doc_id of a group, the one
+with the smallest hash of its text; documents without doc_id come last; texts of any length are read whole; empty tables give an
+empty result; further columns, also with clashing names, are dropped by the first stage.
 """
 
 from __future__ import annotations

@@ -61,7 +61,8 @@ def fired(findings: list[tuple[str, Column]]) -> Column:
     return F.array_sort(F.array_compact(F.array(*made)))
 
 
-#: Expressions of analyze that have been built, by JVM, time and whether evidence is asked for: building them takes seconds.
+#: Expressions of analyze that have been built, by JVM, time and whether evidence is asked for: building them takes seconds. So many are held at most.
+MOST_BUILT = 8
 _BUILT: dict[tuple, tuple] = {}
 
 
@@ -77,6 +78,8 @@ def built(as_of: Column | None, evidence: bool) -> tuple[list[dict[str, Column]]
         layers = [{n: c for s in steps if depth < len(s.layers) for n, c in s.layers[depth].items()} for depth in range(max(len(s.layers) for s in steps))]
         made = {f"_{name}": F.array_compact(F.array(*rows)) for name, (rows, _) in zip(config.CATEGORIES, parts)}
         made["findings"] = fired([x for _, findings in parts for x in findings])
+        if len(_BUILT) >= MOST_BUILT:
+            _BUILT.clear()
         _BUILT[key] = [layer for layer in layers if layer], made
     return _BUILT[key]
 
