@@ -47,6 +47,13 @@ def words_of(text: str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once: behind a generator no expression takes their place, above all not inside lambdas."""
+    for name, value in columns.items():
+        df = df.select("*", F.explode(F.array(value)).alias(name))
+    return df
+
+
 def shingles_of(words: str, size: int = WORDS) -> Column:
     """The hash of the shingle at each place; empty if there are fewer words."""
     w = F.col(words)
@@ -110,22 +117,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
     text_key: the hash of the document's text. start: the number of the window's first word, from 0. Equal texts, and
     equal items, are looked at once.
     """
-    told = pick(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", words_of("text").alias("words"))
-    told = told.where(F.size("words") >= WORDS).select("item_id", F.size("words").alias("n_words"), shingles_of("words").alias("shingles")).withColumn("item", F.xxhash64("shingles"))
+    told = pick(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
+    told = computed(told, words=words_of("text"))
+    told = computed(told.where(F.size("words") >= WORDS), shingles=shingles_of("words")).select("item_id", F.size("words").alias("n_words"), "shingles", F.xxhash64("shingles").alias("item"))
     told = saved(told, "told")
     items = told.groupBy("item").agg(F.first("n_words").alias("n_words"), F.first("shingles").alias("shingles"))
     items = saved(items.select("item", "n_words", "shingles", simhash("shingles").alias("fingerprint"), counted("shingles").alias("members")), "items")
     places = saved(items.select("n_words", F.explode("shingles").alias("hash")).distinct(), "places")
 
     keyed = pick(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
-    # sizes stand beside the arrays before those are exploded, so that no array is carried along with its members
-    cut = keyed.select("text_key", words_of("text").alias("words")).select("text_key", (F.size("words") - (WORDS - 1)).alias("n_shingles"), shingles_of("words").alias("all"))
-    shingles = cut.select("text_key", "n_shingles", F.posexplode("all").alias("p", "hash"))
+    # the size is a column before the generator, so that the words aren't carried along with each shingle
+    cut = computed(keyed.select("text_key", "text"), words=words_of("text")).select("text_key", "words", (F.size("words") - (WORDS - 1)).alias("n_shingles"))
+    shingles = cut.select("text_key", "n_shingles", F.posexplode_outer(shingles_of("words")).alias("p", "hash"))
     hits = shingles.join(light(places, BROADCAST_ROWS), "hash").groupBy("text_key", "n_words").agg(F.max("n_shingles").alias("n_shingles"), F.array_sort(F.collect_set("p")).alias("held"))
     starts = saved(hits.select("text_key", "n_words", starts_of(threshold).alias("starts")).where(F.size("starts") > 0).groupBy("text_key").agg(F.collect_list(F.struct("n_words", "starts")).alias("starts")), "starts")
     texts = keyed.join(light(starts, BROADCAST_TEXTS), "text_key").groupBy("text_key").agg(F.first("text").alias("text"), F.first("starts").alias("starts"))
-    texts = texts.select("text_key", "starts", words_of("text").alias("words")).select("text_key", F.explode("starts").alias("of"), shingles_of("words").alias("all"))
-    windows = texts.select("text_key", "of.n_words", "all", F.explode("of.starts").alias("start")).select("text_key", "n_words", "start", F.slice("all", F.col("start") + 1, F.col("n_words") - (WORDS - 1)).alias("shingles"))
+    texts = computed(computed(texts, words=words_of("text")), all=shingles_of("words")).select("text_key", "all", F.explode("starts").alias("of"))
+    windows = texts.select("text_key", "of.n_words", "all", F.explode("of.starts").alias("start"))
+    windows = computed(windows, shingles=F.slice("all", F.col("start") + 1, F.col("n_words") - (WORDS - 1)))
     windows = saved(windows.select("text_key", "n_words", "start", simhash("shingles").alias("fingerprint"), counted("shingles").alias("members")), "windows")
 
     sought = saved(with_blocks(items.select("item", "n_words", F.col("fingerprint")), radius // BLOCKS).withColumnRenamed("fingerprint", "item_fingerprint"), "blocks")
