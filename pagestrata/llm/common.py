@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -75,6 +76,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files that nothing needs any longer; it learns of them only when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Intermediate results of one operator that it reads several times and needs no longer when it returns.
 

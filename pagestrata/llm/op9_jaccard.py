@@ -17,7 +17,8 @@ comparison of its smaller components with each other and with the largest one: t
 bands, none of two blocks of the largest. Inside a tile pairs meet the bit counts again, and what passes is decided by
 intersecting their sorted arrays. Pairs already connected are skipped, so a group of
 near copies takes about one comparison a member. A tile reports the links that join components, and the
-components of all of them are the result.
+components of all of them are the result. Texts are never dealt out, whatever the size of the table: bitmaps are made
+along with nodes, and the sets of families where their rows lie, as a table of marks tells.
 
 The candidates are complete: every pair at or above the threshold is in a tile or connected without. Only hashes can deceive:
 shingles and nodes are told apart by 64 bits.
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, light, pick, saved, slices
+from .common import Scratch, cleared, light, pick, saved, slices
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -61,6 +62,8 @@ REMEMBERED = 150_000
 BAND = 1.26
 #: Nodes of a key up to which all its pairs are candidates; beyond, its nodes are chained.
 ALL_PAIRS = 96
+#: Bits of the table of marks for each row that it marks, and the bits at most, as a power of 2.
+MARKS, MOST_MARKS = 32, 28
 #: Nodes up to which a list of them is broadcast.
 BROADCAST_ROWS = 1_000_000
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -110,39 +113,40 @@ def signed(hashes: np.ndarray) -> pa.Array:
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_shingles, node, frequent): node is null for an empty set.
+    """(doc_id, text_key, n_shingles, node, bitmap, frequent): node and bitmap are null for an empty set.
 
     Besides a row for each document there are rows without size: their ``frequent`` holds hashes of
     shingles that recur among neighbouring documents, with their counts there.
     """
     kind = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())]))
-    names = ["doc_id", "text_key", "n_shingles", "node", "frequent"]
+    names = ["doc_id", "text_key", "n_shingles", "node", "bitmap", "frequent"]
 
     def recurring(sets: list[np.ndarray]) -> pa.RecordBatch:
         hashes, counts = np.unique(np.concatenate(sets), return_counts=True)
         many = counts > 1
         told = pa.StructArray.from_arrays([signed(hashes[many]), pa.array(counts[many].astype(np.int64))], ["hash", "n"])
         none = pa.array([None], pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.ListArray.from_arrays(pa.array([0, len(told)], pa.int32()), told)], names)
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(told)], pa.int32()), told)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sets, held = Shingler(), [], 0
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, bitmaps = [], [], []
             for text in batch.column(2):
                 s = shingler.hashes(text.as_py() or "")
                 sizes.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
+                bitmaps.append(bitmap_of(s) if len(s) else None)
                 sets.append(s)
                 held += len(s)
                 if held >= BLOCK_HASHES:
                     yield recurring(sets)
                     sets, held = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(sizes), kind)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bitmaps, pa.binary()), pa.nulls(len(sizes), kind)], names)
         if held:
             yield recurring(sets)
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, frequent array<struct<hash: bigint, n: bigint>>")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, bitmap binary, frequent array<struct<hash: bigint, n: bigint>>")
 
 
 def frequent_hashes(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -403,28 +407,47 @@ def pair_tiles(active: DataFrame) -> DataFrame:
     return dealt.join(light(tiles, BROADCAST_ROWS // 10), ["family", "main", "band", "block"]).select("tile", "side", "node", "known")
 
 
-def sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame, what: str, kept: Scratch) -> DataFrame:
-    """(node, n, bitmap or members) of the listed nodes, each from one row of docs."""
-    # copies of a text are one row before they are dealt out by node
+def row_of(text_key: str, doc_id: str) -> F.Column:
+    return F.xxhash64(text_key, doc_id)
+
+
+def marks_of(rows: np.ndarray) -> np.ndarray:
+    """A table with a bit set for each row hash, of bounded size."""
+    bits = min(MOST_MARKS, max(10, (MARKS * len(rows)).bit_length()))
+    table = np.zeros(1 << bits, bool)
+    table[(rows.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return np.packbits(table, bitorder="little")
+
+
+def marked(rows: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Whether the table has a row's bit: true of all that it was made from and of few others."""
+    at = (rows.view(np.uint64) >> np.uint64(65 - (8 * len(marks)).bit_length())).astype(np.int64)
+    return (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame, kept: Scratch) -> DataFrame:
+    """(node, n, members): the sets of the listed nodes, each from one row of docs, and of a few other nodes, which later joins leave out."""
+    # of the copies of a text one row is read
     best = found.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("of")).join(nodes, "node", "left_semi")
-    chosen = saved(best.select("node", F.col("of.text_key").alias("of_key"), F.col("of.doc_id").alias("of_id")), "chosen")
-    texts = docs.join(light(chosen, BROADCAST_ROWS), (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("node", "text")
+    marks = marks_of(best.select(row_of("of.text_key", "of.doc_id")).toArrow().column(0).to_numpy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in slices(batches, 200):
-            sets = [shingler.hashes(text.as_py() or "") for text in batch.column(1)]
-            told = [bitmap_of(s) if what == "bitmap" else s.tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(told, pa.binary())], ["node", "n", what])
+        for batch in slices((b.filter(pa.array(marked(b.column(0).to_numpy(), marks))) for b in batches), 200):
+            sets = [s for text in batch.column(1) if len(s := shingler.hashes(text.as_py() or ""))]
+            told = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(told, ["node", "n", "members"])
 
-    return kept(texts.mapInArrow(run, f"node bigint, n bigint, {what} binary"), now=True)
+    return kept(docs.select(row_of("text_key", "doc_id"), "text").mapInArrow(run, "node bigint, n bigint, members binary"), now=True)
 
 
 def bounded_pairs(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs that the bit counts leave, and the chained ones."""
-    signs = bitmaps.dropDuplicates(["node"])
+    some = pairs.where("NOT chained")
+    wanted = some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
+    signs = saved(bitmaps.where("node IS NOT NULL").dropDuplicates(["node"]).join(wanted, "node", "left_semi"), "bitmaps")
     sides = [signs.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bits_{x}")) for x in "ab"]
-    met = pairs.where("NOT chained").join(sides[0], "a").join(sides[1], "b").select("a", "b", "bits_a", "n_a", "bits_b", "n_b")
+    met = some.join(sides[0], "a").join(sides[1], "b").select("a", "b", "bits_a", "n_a", "bits_b", "n_b")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
@@ -469,10 +492,12 @@ def exact_links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame
     whole = active.groupBy("family").agg((weight() > BLOCK_WEIGHT).alias("heavy"))
     active = saved(active.join(whole, "family"), "active")
     found = saved(compared(sets, home_tiles(active, 0), percent), "home-links")
+    cleared(sets.sparkSession)
     heavy = active.where("heavy")
     if not heavy.head(1):
         return found
     again = saved(compared(sets, home_tiles(heavy, 1), percent), "home-links")
+    cleared(sets.sparkSession)
     known = components(found.union(again))
     heavy = heavy.join(known, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
     main = heavy.groupBy("family", "known").agg(weight().alias("weight")).groupBy("family").agg(F.max(F.struct("weight", "known")).alias("top"), F.count("*").alias("several"))
@@ -486,11 +511,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keyed = pick(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     told = saved(members(keyed), "members")
     found = told.where("n_shingles IS NOT NULL").drop("frequent")
+    bitmaps = found.select("node", F.col("n_shingles").alias("n"), "bitmap")
     with Scratch() as kept:
         pairs = saved(candidate_pairs(keyed, *frequent_hashes(told), percent), "pairs")
-        bitmaps = sets_of(keyed, found, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "bitmap", kept)
+        cleared(docs.sparkSession)
         families = components(bounded_pairs(pairs, bitmaps, percent))
-        joined = components(exact_links(sets_of(keyed, found, families, "members", kept), families, percent))
+        joined = components(exact_links(sets_of(keyed, found, families, kept), families, percent))
     # names are given to nodes first: a group of any size meets its smallest id there, not row by row
     least = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     low = saved(joined.join(least, "node").groupBy("component").agg(F.min("least").alias("lowest")), "lowest")
