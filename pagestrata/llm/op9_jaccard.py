@@ -3,8 +3,9 @@
 A document's set holds the hashes of its distinct word shingles. Equal sets are one node. Two sets that
 are similar enough share at least one of the smallest ``n - ceil(t n) + 1`` hashes of each, in any
 order that is the same for all; the order used puts hashes of very frequent shingles last, so passages
-that many documents share make no candidates. Nodes with a common key and compatible sizes are
-candidate pairs; of a key with very many nodes, only neighbours by size, which keep them together. Keys known to be
+that many documents share make no candidates. Lists that are ``c - 1`` keys longer share at least ``c`` of
+them, so nodes of compatible sizes with ``c`` common keys are candidate pairs, and a single passage or shingle
+that two texts have by chance makes none; of a key with very many nodes, only neighbours by size, which keep them together. Keys known to be
 frequent are split over tasks by node: each part is chained by itself, and the parts' runs of compatible
 sizes are chained by a window over them.
 
@@ -50,6 +51,8 @@ WORDS, PERCENT = 5, 80
 FREQUENT, MOST_FREQUENT = 24, 500_000
 #: Shingles are counted in blocks of so many; those that don't recur in a block are left out of the count.
 BLOCK_HASHES = 1_000_000
+#: One row of so many is read for a count of its first keys over the whole table; one that so many of these rows have is frequent too.
+SAMPLED, RECURRING = 8, 6
 #: Documents of a frequent shingle for each of the parts that its key is split into.
 HOT = 500
 #: Weight of a block that is a tile by itself, and of one that meets others (a set weighs its size, or LEAST_WEIGHT if that is more).
@@ -60,6 +63,8 @@ MOST_BITS = 1 << 14
 REMEMBERED = 150_000
 #: Sizes of a band differ by less than this factor; it exceeds 100 / PERCENT, so only adjacent bands can link.
 BAND = 1.26
+#: Keys that the nodes of a candidate pair have in common, as far as the threshold allows it.
+COMMON = 4
 #: Nodes of a key up to which all its pairs are candidates; beyond, its nodes are chained.
 ALL_PAIRS = 96
 #: Bits of the table of marks for each row that it marks, and the bits at most, as a power of 2.
@@ -149,22 +154,45 @@ def members(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, bitmap binary, frequent array<struct<hash: bigint, n: bigint>>")
 
 
-def frequent_hashes(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def first_keys(docs: DataFrame, percent: int) -> DataFrame:
+    """(hash, n): what is counted among the first keys of one row of SAMPLED, in rows of the table.
+
+    A shingle that is rare in every block of members but common in a large table is only told by this.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, none = Shingler(), np.empty(0, np.uint64)
+        for batch in slices(batches, 1000):
+            sets = [shingler.hashes(text.as_py() or "") for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([signed(np.concatenate([none, *(prefix(s, none, percent, COMMON + len(s) // 20) for s in sets)]))], ["hash"])
+
+    some = docs.where(F.pmod(row_of("text_key", "doc_id"), F.lit(SAMPLED)) == 0).select("text")
+    counted = some.mapInArrow(run, "hash bigint").groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= RECURRING)
+    return counted.select("hash", (SAMPLED * F.col("n")).alias("n"))
+
+
+def frequent_hashes(found: DataFrame, docs: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that come last in the order of keys, at most MOST_FREQUENT of them, sorted; and into how many parts each is split as a key.
 
     Any set of hashes gives the same links, as long as it is one for all; this one makes few candidates.
     """
     counted = found.where("frequent IS NOT NULL").select(F.explode("frequent").alias("x")).groupBy("x.hash").agg(F.sum("x.n").alias("n")).where(F.col("n") >= FREQUENT)
+    counted = counted.union(first_keys(docs, percent)).groupBy("hash").agg(F.max("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "hash").limit(MOST_FREQUENT).toPandas()
     hashes, n = rows["hash"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     order = np.argsort(hashes)
     return hashes[order], (1 + n[order] // HOT).astype(np.int32)
 
 
-def prefix(hashes: np.ndarray, late: np.ndarray, percent: int) -> np.ndarray:
-    """The first keys of a set: one of them is in every set that is similar enough."""
+def common_keys(percent: int) -> int:
+    """Keys that two similar sets have in common, if they aren't equal: with x of x + 1 in common, x is percent / (100 - percent) at least."""
+    return max(1, min(COMMON, percent // max(1, 100 - percent)))
+
+
+def prefix(hashes: np.ndarray, late: np.ndarray, percent: int, common: int = 1) -> np.ndarray:
+    """The first keys of a set: so many of them, ``common``, are in every set that is similar enough."""
     n = len(hashes)
-    k = n - (percent * n + 99) // 100 + 1
+    k = n - (percent * n + 99) // 100 + common
     if not len(late) or k >= n:
         return hashes[:k]
     at = np.minimum(np.searchsorted(late, hashes), len(late) - 1)
@@ -178,7 +206,7 @@ def compatible(small: np.ndarray, large: np.ndarray, percent: int) -> np.ndarray
 
 
 def pairs_of_keys(key: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int, chained: bool = False) -> pa.RecordBatch:
-    """Candidate pairs of whole keys; rows are sorted by key, size and node. chained: the first key is a large one."""
+    """Pairs of whole keys and how many of the keys each has; rows are sorted by key, size and node. chained: the first key is a large one."""
     first = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])) if len(key) else np.empty(0, bool)
     key, node, n = key[first], node[first], n[first]
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
@@ -199,8 +227,8 @@ def pairs_of_keys(key: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int
         b.append(node[d:][same])
         sure.append(large[d:][same])
     a, b, sure = np.concatenate(a), np.concatenate(b), np.concatenate(sure)
-    made = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), sure], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1]), pa.array(made[:, 2].astype(bool))], ["a", "b", "chained"])
+    made, times = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), sure], 1), axis=0, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1]), pa.array(made[:, 2].astype(bool)), pa.array(times.astype(np.int32))], ["a", "b", "chained", "times"])
 
 
 def runs_of(key: int, node: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int, int, int]]:
@@ -210,8 +238,9 @@ def runs_of(key: int, node: np.ndarray, n: np.ndarray, percent: int) -> list[tup
 
 
 def candidate_pairs(docs: DataFrame, late: np.ndarray, parts: np.ndarray, percent: int) -> DataFrame:
-    """(a, b, chained), a < b: nodes that share a key and are of compatible sizes."""
-    schema = "a bigint, b bigint, chained boolean, hot bigint, lo int, hi int"
+    """(a, b, chained), a < b: nodes that share enough keys, or a chained one, and are of compatible sizes."""
+    schema = "a bigint, b bigint, chained boolean, times int, hot bigint, lo int, hi int"
+    common = common_keys(percent)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -220,7 +249,7 @@ def candidate_pairs(docs: DataFrame, late: np.ndarray, parts: np.ndarray, percen
             for text in batch.column(0):
                 s = shingler.hashes(text.as_py() or "")
                 if len(s):
-                    made.append(prefix(s, late, percent))
+                    made.append(prefix(s, late, percent, common))
                     nodes.append(node_of(s))
                     sizes.append(len(s))
             times = [len(x) for x in made[1:]]
@@ -258,11 +287,12 @@ def candidate_pairs(docs: DataFrame, late: np.ndarray, parts: np.ndarray, percen
                             pa.concat_arrays([pa.array(columns[0]), pa.array([r[1] for r in runs], pa.int64())]),
                             pa.concat_arrays([pa.array(columns[1]), pa.nulls(len(runs), pa.int64())]),
                             pa.concat_arrays([pa.array(columns[2]), pa.array([True] * len(runs))]),
+                            pa.array(np.ones(len(left) + len(runs), np.int32)),
                             pa.concat_arrays([pa.nulls(len(left), pa.int64()), pa.array([r[0] for r in runs], pa.int64())]),
                             pa.concat_arrays([pa.nulls(len(left), pa.int32()), pa.array([r[2] for r in runs], pa.int32())]),
                             pa.concat_arrays([pa.nulls(len(left), pa.int32()), pa.array([r[3] for r in runs], pa.int32())]),
                         ],
-                        ["a", "b", "chained", "hot", "lo", "hi"],
+                        ["a", "b", "chained", "times", "hot", "lo", "hi"],
                     )
 
         for batch in batches:
@@ -294,8 +324,9 @@ def candidate_pairs(docs: DataFrame, late: np.ndarray, parts: np.ndarray, percen
     order = W.partitionBy("hot").orderBy("lo", "hi", "a")
     runs = made.where("hot IS NOT NULL").select("hot", "a", "lo", "hi")
     after = runs.select(F.lag("a").over(order).alias("x"), F.col("a").alias("y"), "lo", F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1)).alias("reach"))
-    bridges = after.where((F.col("x") != F.col("y")) & (100 * F.col("reach") >= percent * F.col("lo"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(True).alias("chained"))
-    return made.where("hot IS NULL").select("a", "b", "chained").union(bridges).groupBy("a", "b").agg(F.max("chained").alias("chained"))
+    bridges = after.where((F.col("x") != F.col("y")) & (100 * F.col("reach") >= percent * F.col("lo"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(True).alias("chained"), F.lit(1).alias("times"))
+    met = made.where("hot IS NULL").select("a", "b", "chained", "times").union(bridges).groupBy("a", "b").agg(F.max("chained").alias("chained"), F.sum("times").alias("times"))
+    return met.where(F.col("chained") | (F.col("times") >= common)).select("a", "b", "chained")
 
 
 def bitmap_of(hashes: np.ndarray) -> bytes:
@@ -513,7 +544,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = told.where("n_shingles IS NOT NULL").drop("frequent")
     bitmaps = found.select("node", F.col("n_shingles").alias("n"), "bitmap")
     with Scratch() as kept:
-        pairs = saved(candidate_pairs(keyed, *frequent_hashes(told), percent), "pairs")
+        frequent = frequent_hashes(told, keyed, percent)
+        cleared(docs.sparkSession)
+        pairs = saved(candidate_pairs(keyed, *frequent, percent), "pairs")
         cleared(docs.sparkSession)
         families = components(bounded_pairs(pairs, bitmaps, percent))
         joined = components(exact_links(sets_of(keyed, found, families, kept), families, percent))
