@@ -34,9 +34,10 @@ columns, also with clashing names, are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -456,6 +457,17 @@ def marked(rows: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def is_marked(rows: DataFrame) -> Callable[[F.Column], F.Column]:
+    """A function of a column of row hashes: true of all that rows, one column, has, and of few others. Only the hashes go to Python."""
+    marks = marks_of(rows.toArrow().column(0).to_numpy())
+
+    def asked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for hashes in batches:
+            yield pd.Series(marked(hashes.to_numpy(np.int64), marks))
+
+    return F.pandas_udf(asked, "boolean")
+
+
 def sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame, kept: Scratch) -> DataFrame:
     """(node, n, members): the sets of the listed nodes, each from one row of docs, and of a few other nodes, which later joins leave out."""
     # of the copies of a text one row is read
