@@ -37,8 +37,9 @@ def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_data(table(spark, sf_dir, "pages").select("page_id", "url", "html"), last_year=int(AS_OF[:4]) + 1)
+def records(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """Page records, or the named parts of them."""
+    return page_data(table(spark, sf_dir, "pages").select("page_id", "url", "html"), last_year=int(AS_OF[:4]) + 1, fields=fields or None)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +78,7 @@ def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).select("page_id", "lang", size(F.col("headings")).alias("n_headings"), size(F.col("paragraphs")).alias("n_paragraphs"), size(F.col("links")).alias("n_links"), F.col("crawler.chars").alias("n_chars"))
+    return records(spark, sf_dir, "lang", "headings", "paragraphs", "links", "crawler").select("page_id", "lang", size(F.col("headings")).alias("n_headings"), size(F.col("paragraphs")).alias("n_paragraphs"), size(F.col("links")).alias("n_links"), F.col("crawler.chars").alias("n_chars"))
 
 
 def page_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,23 +90,23 @@ def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = records(spark, sf_dir).select("page_id", F.char_length(X.squeezed(F.col("meta.title"))).cast("long").alias("title_length"))
+    found = records(spark, sf_dir, "meta").select("page_id", F.char_length(X.squeezed(F.col("meta.title"))).cast("long").alias("title_length"))
     return found.withColumn("score_percent", C.percent(C.length_score(F.col("title_length"), 30, 60)).cast("long"))
 
 
 def h1_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     h1s = F.filter("headings", lambda h: h["level"] == 1)
-    return records(spark, sf_dir).select("page_id", F.size(h1s).cast("long").alias("n_h1"), F.char_length(F.get(h1s, 0)["text"]).cast("long").alias("h1_length"))
+    return records(spark, sf_dir, "headings").select("page_id", F.size(h1s).cast("long").alias("n_h1"), F.char_length(F.get(h1s, 0)["text"]).cast("long").alias("h1_length"))
 
 
 def landmark_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = [F.col(f"semanticElements.has{n.capitalize()}") for n in config.SEMANTIC]
     score = sum((F.when(m, F.lit(s)).otherwise(0.0) for m, s in zip(marks, config.SEMANTIC.values())), F.lit(0.0))
-    return records(spark, sf_dir).select("page_id", C.percent(F.least(F.lit(1.0), score)).cast("long").alias("landmark_percent"))
+    return records(spark, sf_dir, "semanticElements").select("page_id", C.percent(F.least(F.lit(1.0), score)).cast("long").alias("landmark_percent"))
 
 
 def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).select("page_id", size(F.col("links")).cast("long").alias("n_links"), size(F.array_distinct(F.transform("links", lambda x: U.link_key(x["href"])))).cast("long").alias("n_targets"), size(F.filter("links", lambda x: x["isExternal"])).cast("long").alias("n_external"))
+    return records(spark, sf_dir, "links").select("page_id", size(F.col("links")).cast("long").alias("n_links"), size(F.array_distinct(F.transform("links", lambda x: U.link_key(x["href"])))).cast("long").alias("n_targets"), size(F.filter("links", lambda x: x["isExternal"])).cast("long").alias("n_external"))
 
 
 def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
