@@ -89,8 +89,9 @@ def flesch(words: Column, sounds: Column, sentences: Column) -> Column:
 
 def rated(lines: Column, english: Column) -> Column:
     """struct(score, raw, formula) of a text, raw null without a word. Flesch is for English, LIX for all else."""
-    words, sentences = word_count(lines), sentence_count(lines)
-    raw = F.when(english, flesch(words, syllable_count(lines), sentences)).otherwise(lix(words, long_word_count(lines), sentences))
+    # counts are bound: the formulas mention each several times, and each mention would be a pass over the text
+    counts = F.struct(word_count(lines).alias("words"), sentence_count(lines).alias("sentences"), F.when(english, syllable_count(lines)).otherwise(long_word_count(lines)).alias("hard"))
+    raw = bind(counts, lambda c: F.when(english, flesch(c["words"], c["hard"], c["sentences"])).otherwise(lix(c["words"], c["hard"], c["sentences"])))
     score = lambda r: clamp(F.when(english, (r - 30) / F.lit(60.0)).otherwise((F.lit(65.0) - r) / F.lit(25.0)))
     return bind(raw, lambda r: F.struct(score(r).alias("score"), r.alias("raw"), F.when(english, F.lit("flesch")).otherwise(F.lit("lix")).alias("formula")))
 
